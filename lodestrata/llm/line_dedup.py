@@ -94,23 +94,24 @@ class LineRuns:
 
 
 def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1) -> DataFrame:
-    """Drops the lines whose hash is in `common` from docs (doc_id, text).
+    """Drops the lines whose hash is in `common` from docs (doc_id, text and any other columns).
 
-    Returns doc_id, text (lines left, joined by \\n), n_lines (before) and n_dropped. Only the line hashes
+    Returns docs with text (lines left, joined by \\n), n_lines (before) and n_dropped. Only the line hashes
     travel to the merge join; rows that lose lines meet their text again by a key of the row's content.
     Repeated rows lose the same lines; a null doc_id is kept; no documents give no rows.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"), F.md5(F.coalesce("text", F.lit(""))).alias("_md"))
-    keyed = rows.select("_row", "_md", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("_at", "_key")).where(F.length("_key") >= min_chars)
-    hit = keyed.select("_row", "_md", "_at", F.unhex(F.md5("_key")).alias("hash")).join(common, "hash", "left_semi")
-    gone = hit.groupBy("_row", "_md").agg(F.collect_set("_at").alias("_gone"))
+    rows = docs.select("*", F.xxhash64("doc_id", "text").alias("__row"), F.md5(F.coalesce("text", F.lit(""))).alias("__md"))
+    keyed = rows.select("__row", "__md", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("__at", "__key")).where(F.length("__key") >= min_chars)
+    hit = keyed.select("__row", "__md", "__at", F.unhex(F.md5("__key")).alias("hash")).join(common, "hash", "left_semi")
+    gone = hit.groupBy("__row", "__md").agg(F.collect_set("__at").alias("__gone"))
     lines = lines_of(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    return rows.join(gone, ["_row", "_md"], "left").select(
-        "doc_id",
-        F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.split("text", "\n", -1), i + 1)), "\n")).alias("text"),
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    left = F.array_join(F.transform(kept, lambda i: F.element_at(F.split("text", "\n", -1), i + 1)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(left).alias("text")
+    return rows.join(gone, ["__row", "__md"], "left").select(
+        *(text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
