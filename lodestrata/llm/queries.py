@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import langid, line_dedup, packing, png_media, quality, sstable
+from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, packing, png_media, quality, sstable
 from lodestrata.llm.common import stored, work_dir
 
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text with a model of six sevenths of them."""
+    return lm_bloom.evaluate(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNG of every whole text in a stored binary column, read back; features: the cosine hash as hex."""
     media = stored(png_media.store(_table(spark, sf_dir, "documents")), work_dir(spark, "media"))
@@ -23,6 +28,19 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 10-word windows of benchmark items, and the items found."""
+    found = decontaminate.matches(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text through sorted-string-table shards."""
     return sstable.token_table(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
@@ -53,7 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media_columns, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op2_lm_scoring, op4_media_columns, op5_decontamination, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

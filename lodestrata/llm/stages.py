@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm import decontaminate as decontamination
 from lodestrata.llm import line_dedup, packing, quality
 
 
@@ -26,7 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that hold a window of a benchmark item go."""
+    found = decontamination.matches(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("hits") == 0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
