@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, packing, png_media, quality, sstable
+from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, ngram_join, packing, png_media, quality, sstable
 from lodestrata.llm.common import stored, work_dir
 
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return ngram_join.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text with a model of six sevenths of them."""
     return lm_bloom.evaluate(spark, _table(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op4_media_columns, op5_decontamination, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op4_media_columns, op5_decontamination, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
