@@ -5,8 +5,9 @@ Steps, each a Spark job over shared files:
 1. `summaries`: each text's shingle set as a class (equal sets share one), and frequent shingles.
 2. `postings`: inverted lists of each class's rarest shingles. A pair that reaches the similarity shares one of
    them (prefix filter), so lists of one member need nothing more.
-3. `candidates`: pairs from short lists that pass the size and position filters; a long list ties its members to
-   its first one. Components of these pairs are clusters, which no link leaves.
+3. `candidates`: pairs from short lists that pass the size and position filters, and the members of long lists.
+   `pruned` drops pairs, and splits long lists, where a bitmap of each set proves that the overlap cannot be
+   reached. Components of what is left are clusters, which no link leaves.
 4. `links`: inside a cluster, blocks of sets meet in one task, where T-occurrence searches (DivideSkip) find
    every pair with the required overlap. Very large clusters first meet one block; only what that leaves
    outside the largest component then meets all blocks.
@@ -31,8 +32,11 @@ WORDS, PERCENT = 5, 80
 #: Frequent shingles that are ordered by frequency (16 bytes each on the driver); others go by their hash.
 FREQUENT = 400_000
 BLOCK_SHINGLES = 2_000_000
-#: Lists up to this length give all their pairs; longer ones tie their members together.
-SHORT_LIST = 16
+#: Lists up to this length give all their pairs; longer ones are split by the members' bitmaps, and beyond
+#: LONG_LIST members stay tied together.
+SHORT_LIST, LONG_LIST = 16, 2048
+#: Bits of a small set's parity bitmap; larger sets have the power of two from twice their size.
+BITMAP = 1024
 #: Sets that meet in one task, and blocks beyond which a cluster is contracted first.
 BLOCK, DIRECT_BLOCKS = 256, 6
 #: Identifiers up to this many are broadcast to fetch texts; beyond it they are joined by shuffle.
@@ -62,6 +66,26 @@ def class_of(shingles: np.ndarray) -> int:
     return int(mix64(np.array([a ^ (np.uint64(len(shingles)) << np.uint64(40))], np.uint64))[0] >> np.uint64(1))
 
 
+def bitmap_of(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each place: two sets' bitmaps differ in no more places than the sets do in shingles."""
+    bits = max(BITMAP, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else BITMAP
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """The bitmap that the same set has in `size` bytes, as 64-bit words: halves of a parity bitmap add up."""
+    words = np.frombuffer(bitmap, np.uint64)
+    while 8 * len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of these sizes whose bitmaps differ in so many places can reach the overlap."""
+    return differ <= na + nb - 2 * (-(-percent * (na + nb) // (100 + percent)))
+
+
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and shingle set of each text of a batch."""
     row = 0
@@ -73,7 +97,8 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """kind 0: a document's doc_id (a), class (b), text hash (h) and set size (n); kind 1: a shingle (a) and in how many of a block's documents it is (n, 2 or more)."""
+    """kind 0: a document's doc_id (a), class (b), text hash (h), set size (n) and bitmap (m); kind 1: a shingle (a) and in how many of a block's documents it is (n, 2 or more)."""
+    names = ["kind", "a", "b", "h", "n", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -82,23 +107,24 @@ def summaries(docs: DataFrame, words: int = WORDS) -> DataFrame:
             t, c = np.unique(np.concatenate(held), return_counts=True)
             t, c = t[c > 1], c[c > 1]
             zero = np.zeros(len(t), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(t.view(np.int64)), pa.array(zero), pa.array(zero), pa.array(c.astype(np.int64))], ["kind", "a", "b", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(t.view(np.int64)), pa.array(zero), pa.array(zero), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.binary())], names)
 
         for batch in batches:
             cls, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            maps: list[bytes | None] = [None] * batch.num_rows
             for i, s in _sets(batch, words):
-                cls[i], n[i] = class_of(s), len(s)
+                cls[i], n[i], maps[i] = class_of(s), len(s), bitmap_of(s)
                 held.append(s)
                 size += len(s)
                 if size >= BLOCK_SHINGLES:
                     yield from flush()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), pa.array(cls), batch.column(2), pa.array(n)], ["kind", "a", "b", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), pa.array(cls), batch.column(2), pa.array(n), pa.array(maps, pa.binary())], names)
         if held:
             yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(run, "kind tinyint, a long, b long, h long, n long")
+    return rows.mapInArrow(run, "kind tinyint, a long, b long, h long, n long, m binary")
 
 
 class Order:
@@ -161,11 +187,10 @@ def _pairs_of(n: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, percen
 
 
 def candidates(lists: DataFrame, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
-    """Pairs of classes (a, b) from inverted lists.
+    """Pairs of classes (a, b) from inverted lists; of a long list (t), its first member (a) with each other one (b).
 
-    Lists arrive sorted by (shingle, size, class). Each entry meets the next `short` ones; a list longer than
-    that ties every member to its first, so all that it could link lie in one cluster. A list streams through
-    its task: only its first and its latest entries are held.
+    Lists arrive sorted by (shingle, size, class). In a list of up to `short` + 1 entries all pairs meet. A list
+    streams through its task: only its first and its latest entries are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +209,7 @@ def candidates(lists: DataFrame, percent: int = PERCENT, short: int = SHORT_LIST
             at = np.arange(len(t))
             begin = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else at
             starts = np.repeat(begin, np.diff(np.r_[begin, len(t)]))
-            out = []
+            out, ties = [], []
             for k in range(1, short + 1):
                 j = at[max(old, k) :]
                 i = j - k
@@ -202,12 +227,11 @@ def candidates(lists: DataFrame, percent: int = PERCENT, short: int = SHORT_LIST
                 place = np.where(mine, place + run_length - old, place)
                 first = np.where(mine, lead[1], first)
             long = (at >= old) & (place > short)
-            out.append(np.stack([first[long], c[long]]))
+            ties.append(np.stack([t[long], first[long], c[long]]))
             reached = (at >= old) & (place == short + 1)
             for k in range(1, short + 1):
                 i = at[reached] - k
-                i = i[i >= 0]
-                out.append(np.stack([first[at[reached]][: len(i)], c[i]]) if len(i) else np.zeros((2, 0), np.int64))
+                ties.append(np.stack([t[reached], first[reached], c[i]]))
             if len(t):
                 run_length, lead = int(place[-1]) + 1, (int(t[-1]), int(first[-1]))
                 keep = (t == t[-1]) & (at >= len(t) - short - 1)
@@ -215,10 +239,71 @@ def candidates(lists: DataFrame, percent: int = PERCENT, short: int = SHORT_LIST
             found = np.concatenate(out, axis=1)
             found = np.unique(np.stack([found.min(0), found.max(0)], 1), axis=0) if found.size else np.zeros((0, 2), np.int64)
             found = found[found[:, 0] != found[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            tied = np.concatenate(ties, axis=1)
+            tied = tied[:, tied[1] != tied[2]]
+            lists = pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(tied[0])])
+            yield pa.RecordBatch.from_arrays([lists, pa.array(np.r_[found[:, 0], tied[1]]), pa.array(np.r_[found[:, 1], tied[2]])], ["t", "a", "b"])
 
     dealt = lists.repartition("t").sortWithinPartitions("t", "n", "c")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "t long, a long, b long")
+
+
+def forest_of(classes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs that span the parts of a long list between which sizes or bitmaps rule out every link."""
+    by = np.lexsort((classes, sizes))
+    classes, sizes, maps = classes[by], sizes[by].astype(np.int64), [maps[i] for i in by]
+    lengths = np.array([len(m) for m in maps])
+    label, out = np.arange(len(classes)), []
+    for level in np.unique(lengths):  # linked sets' bitmaps are of one length or the next
+        at = np.flatnonzero((lengths == level) | (lengths == 2 * level))
+        words, n, own = np.stack([folded(maps[i], level) for i in at]), sizes[at], lengths[at] == level
+        for k in range(1, len(at)):
+            i = np.flatnonzero(own[:-k] & (label[at[:-k]] != label[at[k:]]) & (100 * n[:-k] >= percent * n[k:]))
+            if not len(i):
+                if (label[at] == label[at[0]]).all():
+                    break
+                continue
+            differ = np.bitwise_count(words[i] ^ words[i + k]).sum(axis=1, dtype=np.int64)
+            for x in i[may_link(n[i], n[i + k], differ, percent)]:
+                a, b = at[x], at[x + k]
+                if label[a] != label[b]:
+                    out.append((int(classes[a]), int(classes[b])))
+                    label[label == label[b]] = label[a]
+    return out
+
+
+def pruned(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, most: int = LONG_LIST) -> DataFrame:
+    """Pairs (a, b) that connect all that may link; classes: c, n and bitmap m.
+
+    Two sets overlap in at most half of their sizes' sum less the places in which their bitmaps differ: exact, no
+    link is lost. A long list of up to `most` members meets in one task, a longer one keeps its ties.
+    """
+    x, y = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")), classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    short = pairs.where("t is null").select("a", "b").distinct().join(x, "a").join(y, "b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            ma, mb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            differ = np.zeros(len(a), np.int64)
+            for i, (p, q) in enumerate(zip(ma, mb, strict=True)):
+                size = min(len(p), len(q))
+                differ[i] = np.bitwise_count(folded(p, size) ^ folded(q, size)).sum(dtype=np.int64)
+            stay = may_link(na, nb, differ, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[stay]), pa.array(b[stay])], ["a", "b"])
+
+    short = short.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(test, "a long, b long")
+    ties = pairs.where("t is not null").distinct()
+    lengths = ties.groupBy("t").agg(F.count("*").alias("k"))
+    ties = ties.join(lengths, "t")
+    over = ties.where(F.col("k") >= most).select("a", "b")
+    inside = ties.where(F.col("k") < most)
+    members = inside.select("t", F.col("b").alias("c")).unionByName(inside.select("t", F.col("a").alias("c")).distinct()).join(classes, "c")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(forest_of(part["c"].to_numpy(), part["n"].to_numpy(), [bytes(m) for m in part["m"]], percent), columns=["a", "b"], dtype=np.int64)
+
+    return short.unionByName(members.groupBy("t").applyInPandas(run, "a long, b long")).unionByName(over)
 
 
 class ListIndex:
@@ -361,7 +446,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     summary = stored(summaries(docs, words), folder + "/summary")
     found = summary.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), "h", "n")
     order = frequent(summary)
-    pairs = stored(candidates(postings(docs, order, words, percent), percent), folder + "/pairs")
+    pairs = stored(candidates(postings(docs, order, words, percent), percent), folder + "/met")
+    sized = summary.where("kind = 0 and n > 0").groupBy(F.col("b").alias("c")).agg(F.first("n").alias("n"), F.first("m").alias("m"))
+    pairs = stored(pruned(pairs, sized, percent), folder + "/pairs")
     tied = components(spark, pairs, folder + "/clusters")
     clusters = tied.select(F.col("node").alias("c"), F.col("root").alias("cluster")).unionByName(tied.select(F.col("root").alias("c"), F.col("root").alias("cluster")).distinct())
     clusters = stored(clusters, folder + "/members")
