@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, ngram_join, packing, png_media, quality, sstable
+from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, ngram_join, packing, png_media, quality, sstable, warc
 from lodestrata.llm.common import stored, work_dir
 
 
@@ -26,6 +26,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.evaluate(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a copy of all pages' WARC shards in which one record of a thousand is damaged, as a drill."""
+    out = warc.drill(spark, _table(spark, sf_dir, "pages"), F.col("key").cast("long") % 1000 == 7)
+    return out.select("page_id", "n_bytes", "payload_sha256", "intact")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PNG of every whole text in a stored binary column, read back; features: the cosine hash as hex."""
     media = stored(png_media.store(_table(spark, sf_dir, "documents")), work_dir(spark, "media"))
@@ -76,11 +82,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op4_media_columns, op5_decontamination, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_warc_merkle_audit, op4_media_columns, op5_decontamination, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7}
+    return {"op3_warc_merkle_audit": OP3, "op7_line_dedup": OP7}
+
+
+OP3 = """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(html, '')) AS payload_sha256,
+  coalesce(page_id % 1000 <> 7, true) AS intact
+FROM pages
+"""
 
 
 OP7 = r"""
