@@ -53,6 +53,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns in "__" renamed, so that helper columns can't clash with them, and the names to give back."""
+    names = {c: f"{uuid.uuid4().hex}_{k}" for k, c in enumerate(df.columns) if c.startswith("__")}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def lower_ascii(column):
     """Lower-cases A-Z and nothing else."""
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, ASCII_UPPER, ASCII_LOWER))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import lower_ascii, stored, work_dir
+from lodestrata.llm.common import hidden, lower_ascii, stored, work_dir
 
 WINDOW = 10
 #: Tables of terms up to this many rows are broadcast; beyond it they are joined by shuffle.
@@ -88,6 +88,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     an empty benchmark leaves every document without hits.
     """
     folder = work_dir(spark, "decontaminate")
+    docs, names = hidden(docs)
     items = stored(items_of(benchmark, window), folder + "/items")
     terms = items.select(F.explode("words").alias("term")).distinct()
     counts = stored(term_counts(docs, terms), folder + "/counts")
@@ -114,4 +115,4 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
         F.size("__words").cast("long").alias("n_words"),
         F.array_sort(F.array_distinct(places)).alias("hits"),
         F.array_sort(F.array_distinct(F.transform("__ok", lambda c: c["item_id"]))).alias("items"),
-    )
+    ).withColumnsRenamed(names)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SPACES, drop_dir, lower_ascii, work_dir
+from lodestrata.llm.common import SPACES, drop_dir, hidden, lower_ascii, work_dir
 
 
 def lines_of(text):
@@ -100,6 +100,7 @@ def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1) -> DataF
     travel to the merge join; rows that lose lines meet their text again by a key of the row's content.
     Repeated rows lose the same lines; a null doc_id is kept; no documents give no rows.
     """
+    docs, names = hidden(docs)
     rows = docs.select("*", F.xxhash64("doc_id", "text").alias("__row"), F.md5(F.coalesce("text", F.lit(""))).alias("__md"))
     keyed = rows.select("__row", "__md", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("__at", "__key")).where(F.length("__key") >= min_chars)
     hit = keyed.select("__row", "__md", "__at", F.unhex(F.md5("__key")).alias("hash")).join(common, "hash", "left_semi")
@@ -112,7 +113,7 @@ def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1) -> DataF
         *(text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    ).withColumnsRenamed(names)
 
 
 def dedup_batch(runs: LineRuns, docs: DataFrame, min_docs: int = 1) -> DataFrame:

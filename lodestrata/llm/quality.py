@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import stored, work_dir
+from lodestrata.llm.common import hidden, stored, work_dir
 
 #: Bounds of the model: labelled documents it is fitted on, and features that it keeps for each target.
-TRAIN_DOCS, FEATURES = 20_000, 2_000
+TRAIN_DOCS, FEATURES = 20_000, 500
 MIN_DOCS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\w\s.,;:'\"()\-]")
@@ -65,7 +64,7 @@ def _train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class QualityModel:
-    """Log-likelihood ratios of selected features for two targets (low quality, toxic), and their calibration."""
+    """Weights of selected features for two targets (low quality, toxic), and what turns their sum into evidence."""
 
     def __init__(self, ratios: list[dict[str, float]], base: list[float], scale: list[tuple[float, float]], rate: list[float]):
         self.ratios, self.base, self.scale, self.rate = ratios, base, scale, rate
@@ -84,26 +83,23 @@ class QualityModel:
         return tuple(out)
 
 
-def _platt(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of grouped counts by Newton's method, with a weak prior towards slope 1."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        n = pos + neg
-        ga, gb = ((p * n - pos) * x).sum() + 0.1 * (a - 1), (p * n - pos).sum() + 0.1 * b
-        w = n * p * (1 - p)
-        haa, hab, hbb = (w * x * x).sum() + 0.1, (w * x).sum(), w.sum() + 0.1
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - float(np.clip(da, -1, 1)), b - float(np.clip(db, -3, 3))
-    return max(0.02, a), b
+def _logistic(at: np.ndarray, doc: np.ndarray, y: np.ndarray, features: int, penalty: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a penalised logistic fit; entry k says that row doc[k] has feature at[k]. Adam on all rows."""
+    w, m, v = (np.zeros(features + 1) for _ in range(3))
+    w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    for t in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[at], len(y)) + w[-1], -30, 30)))
+        g = np.append(np.bincount(at, (p - y)[doc], features) + penalty * w[:-1], (p - y).sum()) / len(y)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fits the text model on a bounded sample of labelled rows.
 
     Documents that hold a feature are counted by class in one grouped aggregation; the features whose chi-square
-    is largest stay. A logistic fit over binned scores of the same rows calibrates the sum.
+    is largest stay, and a penalised logistic fit of the sample's rows weighs them.
     Without labels every evidence is 0.
     """
     rows = _train_rows(docs, labels)
@@ -121,45 +117,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     counts = stored(counts.where(F.col("l0") + F.col("l1") + F.col("t0") + F.col("t1") >= 2 * MIN_DOCS), work_dir(docs.sparkSession, "quality") + "/features")
     every = counts.where(F.col("feature") == "#all").collect()
     if not every:
-        return QualityModel([{}, {}], [0.0, 0.0], [(1.0, 0.0)] * 2, [0.5, 0.5])
-    ratios, base, rate = [], [], []
+        return QualityModel([{}, {}], [0.0, 0.0], [(1.0, 0.0)] * 2, [0.02, 0.02])
+    names: list[str] = []
+    rate = []
     for no, yes in (("l0", "l1"), ("t0", "t1")):
         n0, n1 = every[0][no], every[0][yes]
         rate.append((n1 + 0.5) / (n0 + n1 + 1))
-        if not n0 or not n1:
-            ratios.append({})
-            base.append(0.0)
-            continue
-        a, b = F.col(yes).cast("double"), F.col(no).cast("double")
-        n, total = a + b, float(n0 + n1)
-        gap = a * n0 - b * n1
-        chi = gap * gap * total / (n * (total - n) * n0 * n1)
-        top = counts.where((F.col("feature") != "#all") & (n >= MIN_DOCS) & (n < total)).withColumn("chi", chi).where("chi > 30").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
-        table = {}
-        for r in top:
-            p1, p0 = (r[yes] + 0.5) / (n1 + 1), (r[no] + 0.5) / (n0 + 1)
-            table[r["feature"]] = math.log(p1 / p0)
-        ratios.append(table)
-        base.append(0.0)
-    model = QualityModel(ratios, base, [(1.0, 0.0)] * 2, rate)
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if n0 and n1:
+            a, b = F.col(yes).cast("double"), F.col(no).cast("double")
+            n, total = a + b, float(n0 + n1)
+            gap = a * n0 - b * n1
+            chi = gap * gap * total / (n * (total - n) * n0 * n1)
+            top = counts.where((F.col("feature") != "#all") & (n >= MIN_DOCS) & (n < total)).withColumn("chi", chi).where("chi > 15").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+            names += [r["feature"] for r in top if r["feature"] not in names]
+    number = {f: k for k, f in enumerate(names)}
+
+    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            seen: Counter = Counter()
-            for text, low, toxic in zip(part["text"], part["low"], part["toxic"], strict=True):
-                found = features_of(text)
-                for k, y in enumerate((low, toxic)):
-                    if y == 0 or y == 1:
-                        seen[k, int(y), float(np.clip(round(model.raw(found, k) * 2) / 2, -200, 200))] += 1
-            yield pd.DataFrame([(*key, n) for key, n in seen.items()], columns=["k", "y", "x", "n"])
-
-    bins = rows.mapInPandas(score, "k int, y int, x double, n long").groupBy("k", "y", "x").agg(F.sum("n").alias("n")).toPandas()
-    for k in range(len(_TARGETS)):
-        part = bins[bins["k"] == k].pivot_table(index="x", columns="y", values="n", aggfunc="sum", fill_value=0)
-        if {0, 1} <= set(part.columns):
-            a, b = _platt(part.index.to_numpy(float), part[1].to_numpy(float), part[0].to_numpy(float))
+            found = [np.array(sorted(number[f] for f in features_of(t) if f in number), "<i4").tobytes() for t in part["text"]]
+            yield pd.DataFrame({"low": part["low"], "toxic": part["toxic"], "found": found})
+
+    # At most about TRAIN_DOCS rows of selected features' numbers come to the driver.
+    got = rows.mapInPandas(pick, "low double, toxic double, found binary").toPandas()
+    got = got.sort_values(["low", "toxic", "found"], ignore_index=True)
+    model = QualityModel([{}, {}], [0.0, 0.0], [(1.0, 0.0)] * 2, rate)
+    for k, target in enumerate(_TARGETS):
+        part = got[got[target].isin([0.0, 1.0])]
+        y = part[target].to_numpy(float)
+        if len(names) and 0 < y.sum() < len(y):
+            ids = [np.frombuffer(bytes(x), "<i4") for x in part["found"]]
+            w, b = _logistic(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids]), y, len(names))
+            model.ratios[k], model.base[k] = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, b
             # What is left is evidence: the sample's own rate goes out, the site's prior comes in later.
-            model.scale[k] = (a, b - math.log(rate[k] / (1 - rate[k])))
+            model.scale[k] = (1.0, -math.log(rate[k] / (1 - rate[k])))
     return model
 
 
@@ -216,6 +206,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str
     document then meets its site's prior. Null hosts or paths are groups of their own, a null text is empty
     text, repeated rows are judged alike, and no documents give no rows.
     """
+    docs, names = hidden(docs)
     model = fit(docs, labels)
     rows = with_evidence(docs, model)
     rows = stored(rows if carry_text else rows.drop("text"), work_dir(spark, "quality") + "/evidence")
@@ -225,4 +216,4 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str
         odds = F.col("__ev")[t] + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"prior_{t}"))))
         joined = joined.withColumn(f"p_{t}", F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
     out = joined.select(*(c for c in docs.columns if carry_text or c != "text"), "p_low", "p_toxic")
-    return out.withColumn("keep", (F.col("p_low") < threshold) & (F.col("p_toxic") < threshold))
+    return out.withColumn("keep", (F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).withColumnsRenamed(names)
