@@ -195,8 +195,8 @@ def site_priors(rows: DataFrame, rate: list[float], host: str, path: str) -> Dat
     joined = low.join(out.withColumnRenamed(host, "__host"), F.col(host).eqNullSafe(F.col("__host")))
     for t in _TARGETS:
         m, _ = moments(low, "n", f"s_{t}")
-        joined = joined.withColumn(f"prior_{t}", (F.col(f"s_{t}") + m * F.col(f"host_{t}")) / (F.col("n") + m))
-    return joined.select(F.col(host).alias("__host"), F.col(path).alias("__path"), *(f"prior_{t}" for t in _TARGETS))
+        joined = joined.withColumn(f"__prior_{t}", (F.col(f"s_{t}") + m * F.col(f"host_{t}")) / (F.col("n") + m))
+    return joined.select(F.col(host).alias("__host"), F.col(path).alias("__path"), *(f"__prior_{t}" for t in _TARGETS))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, carry_text: bool = True) -> DataFrame:
@@ -213,7 +213,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str
     priors = site_priors(rows, model.rate, host, path)
     joined = rows.join(priors, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
     for t in _TARGETS:
-        odds = F.col("__ev")[t] + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"prior_{t}"))))
+        odds = F.col("__ev")[t] + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"__prior_{t}"))))
         joined = joined.withColumn(f"p_{t}", F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
-    out = joined.select(*(c for c in docs.columns if carry_text or c != "text"), "p_low", "p_toxic")
+    out = joined.select(*(c for c in docs.columns if (carry_text or c != "text") and c not in ("p_low", "p_toxic")), "p_low", "p_toxic")
     return out.withColumn("keep", (F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).withColumnsRenamed(names)
