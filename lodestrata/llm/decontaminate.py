@@ -104,7 +104,9 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
         """Starts of the item's windows that are all there at this shift."""
         same = F.transform(c["words"], lambda w, i: F.get(F.col("__words"), c["shift"] + i).eqNullSafe(w))
         starts = F.sequence(F.lit(0), F.size(c["words"]) - c["n"])
-        return F.filter(starts, lambda s: F.forall(F.slice(same, s + 1, c["n"]), lambda x: x))
+        # The comparison is bound once, in an array of one, and not made again for each start.
+        once = F.transform(F.array(same), lambda m: F.filter(starts, lambda s: F.forall(F.slice(m, s + 1, c["n"]), lambda x: x)))
+        return F.element_at(once, 1)
 
     checked = F.transform(F.col("__found"), lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), c["n"].alias("n"), agreed(c).alias("starts")))
     checked = F.filter(checked, lambda c: F.size(c["starts"]) > 0)
