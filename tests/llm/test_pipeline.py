@@ -27,7 +27,7 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first() == docs.agg(F.sum("length")).first()
 
 
-@pytest.mark.xfail(reason="399 labels are too few: 13 of 51 toxic documents stay; see the README")
+@pytest.mark.xfail(reason="13 of 51 toxic documents stay; the cause is not established, see the README")
 def test_labelled_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
