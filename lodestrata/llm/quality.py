@@ -15,7 +15,9 @@ from lodestrata.llm.common import hidden, stored, work_dir
 
 #: Bounds of the model: labelled documents it is fitted on, and features that it keeps for each target.
 TRAIN_DOCS, FEATURES = 20_000, 500
-MIN_DOCS = 8
+MIN_DOCS = 4
+#: Lengths of the word beginnings that are features beside whole words: inflected words share their stem.
+STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\w\s.,;:'\"()\-]")
 _TARGETS = ("low", "toxic")
@@ -47,10 +49,12 @@ def shape(text: str, words: list[str]) -> list[str]:
 
 
 def features_of(text: str | None) -> set[str]:
-    """Distinct lower-cased letter runs of the whole text and its form; null is empty."""
+    """Distinct lower-cased letter runs of the whole text, their beginnings, and its form; null is empty."""
     text = text or ""
     words = _WORD.findall(text)
-    return {w.lower() for w in words}.union(shape(text, words))
+    found = {w.lower() for w in words}
+    stems = ({f"{w[:k]}~" for w in found if len(w) >= k} for k in STEMS)
+    return found.union(shape(text, words), *stems)
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
