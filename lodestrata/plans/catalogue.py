@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import mask_pii
+from lodestrata.functions.text import add_workdays, digits_template, mask_pii
 from lodestrata.operators import dictionary as dic
-from lodestrata.operators import filters, stats
+from lodestrata.operators import filters, normalize, qc, stats
 from lodestrata.plans import views
+from lodestrata.schema import PENDING
+from lodestrata.streaming import windows
 
 
 def month_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,86 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
 
+def deduction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.deduction_stats(views.deductions(spark, sf_dir))
+
+
+def duplicate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.records(spark, sf_dir).withColumn("text_hash", F.md5(F.concat(F.col("department"), F.col("score").cast("string"))))
+    return qc.duplicate_flag(rows).select("id", "duplicate")
+
+
+def review_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.records(spark, sf_dir).where((F.col("grade") == PENDING) & F.col("visit_time").isNotNull())
+    deadline = rows.select("id", add_workdays(F.col("visit_time").cast("date"), 7).alias("deadline"))
+    return deadline.where(F.col("deadline") < F.to_date(F.lit("1998-01-01")))
+
+
+def log_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.logs(spark, sf_dir)
+
+    def count(role: str) -> DataFrame:
+        return filters.visible_logs(rows, role, "7", "1").agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), "n")
+
+    return count("admin").unionAll(count("owner")).unionAll(count("member")).unionAll(count("other"))
+
+
+def log_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.keyword(views.logs(spark, sf_dir), "err").unionAll(filters.keyword(views.logs(spark, sf_dir), '": 6')).select("event_id", "target")
+
+
+def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sliding_rate(views.table(spark, sf_dir, "events"), "user_id", "ts", 3600, 1).select("event_id", "n", "limited")
+
+
+def orphan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "lineitem")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+def tasks_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = filters.RecordFilter(grade="合格").apply(views.records(spark, sf_dir)).select("id")
+    tasks = views.table(spark, sf_dir, "lineitem").join(records, F.col("l_orderkey") == F.col("id"), "left_semi")
+    return tasks.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+
+
+def dict_snapshot_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.logs(spark, sf_dir).select("org_id", F.col("target").alias("type"), F.col("event_id").alias("version_no"))
+    return dic.prune_snapshots(rows)
+
+
+def dict_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.quality(views.dictionary(spark, sf_dir))
+
+
+def dict_cross_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.cross_type(views.dictionary(spark, sf_dir))
+
+
+def dict_effective_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.effective_counts(views.dictionary(spark, sf_dir), "org")
+
+
+def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "supplier")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct(digits_template(F.col("s_name"))).alias("templates"))
+
+
+def term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = views.table(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("standard_term")).distinct()
+    terms = words.select(F.lit("word").alias("type"), "standard_term", F.array().cast("array<string>").alias("aliases"))
+    return normalize.scan(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), terms)
+
+
+def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = views.table(spark, sf_dir, "part")
+    inputs = part.where("p_size % 5 = 0").select(F.col("p_type").alias("type"), F.col("p_name").alias("input"))
+    terms = part.where("p_size % 2 = 0").select(F.col("p_type").alias("type"), F.col("p_name").alias("standard_term"))
+    out = normalize.suggest(inputs, terms)
+    return out.select("type", "input", "standard_term", F.col("overlap").cast("long").alias("overlap"), "rn")
+
+
 _R, _E, _D = views.RECORDS_SQL, views.ENTITIES_SQL, views.DICTIONARY_SQL
 _RATE = "CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE floor(qualified::DOUBLE * 1000.0::DOUBLE / total::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE END AS rate"
 
@@ -132,6 +214,33 @@ SELECT type, word, count(DISTINCT standard_term) AS owners FROM w GROUP BY 1, 2
     "dict_content_version": f"""WITH {_D} SELECT org_id, type, substr(sha256(string_agg(e, chr(1) ORDER BY e)), 1, 32) AS version
 FROM (SELECT org_id, type, standard_term || chr(2) || array_to_string(aliases, ',') AS e FROM dictionary) GROUP BY 1, 2""",
     "pii_mask": r"""SELECT doc_id, regexp_replace('tel 13812345678, ' || coalesce(source, ''), '\b1[3-9]\d{9}\b', '***', 'g') AS masked FROM documents""",
+    "deduction_stats": f"""WITH {views.DEDUCTIONS_SQL}, g AS (
+  SELECT type, item, CAST(grouping(type, item) AS INTEGER) AS "grouping", count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM deductions GROUP BY GROUPING SETS ((type, item), (type), ()))
+SELECT * FROM g QUALIFY "grouping" > 0 OR row_number() OVER (PARTITION BY "grouping" ORDER BY points DESC, type, item) <= 20""",
+    "duplicate_flag": f"""WITH {_R}, h AS (SELECT *, md5(department || CAST(score AS VARCHAR)) AS k FROM records)
+SELECT id, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY visit_time DESC NULLS LAST, id) > 1 AS duplicate FROM h""",
+    "review_overdue": f"""WITH {_R}, d AS (SELECT id, list_filter(list_transform(range(1, 12), lambda i: CAST(visit_time AS DATE) + CAST(i AS INTEGER)), lambda d: dayofweek(d) NOT IN (0, 6))[7] AS deadline
+  FROM records WHERE grade = '待复核' AND visit_time IS NOT NULL) SELECT id, deadline FROM d WHERE deadline < DATE '1998-01-01'""",
+    "log_visibility": f"""WITH {views.LOGS_SQL} SELECT 'admin' AS role, count(*) AS n FROM logs UNION ALL SELECT 'owner', count(*) FROM logs WHERE org_id = '1'
+UNION ALL SELECT 'member', count(*) FROM logs WHERE org_id = '1' AND operator = '7' UNION ALL SELECT 'other', count(*) FROM logs WHERE operator = '7'""",
+    "log_keyword": f"""WITH {views.LOGS_SQL} SELECT event_id, target FROM logs WHERE contains(operator, 'err') OR contains(target, 'err') OR contains(detail, 'err')
+UNION ALL SELECT event_id, target FROM logs WHERE contains(operator, '": 6') OR contains(target, '": 6') OR contains(detail, '": 6')""",
+    "rate_limit_window": """SELECT event_id, n, n > 1 AS limited FROM (
+  SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events)""",
+    "orphan_tasks": """SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
+    "tasks_in_scope": f"""WITH {_R} SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT id FROM records WHERE grade = '合格') GROUP BY 1""",
+    "dict_snapshot_prune": f"""WITH {views.LOGS_SQL} SELECT org_id, target AS type, event_id AS version_no FROM logs QUALIFY row_number() OVER (PARTITION BY org_id, target ORDER BY event_id DESC) <= 5""",
+    "dict_quality": f"""WITH {_D} SELECT type, count(*) AS terms, count(*) FILTER (WHERE len(aliases) > 0) AS aliased, count(*) FILTER (WHERE list_contains(aliases, standard_term)) AS self_aliased FROM dictionary GROUP BY 1""",
+    "dict_cross_type": f"""WITH {_D} SELECT standard_term, count(DISTINCT type) AS types FROM dictionary GROUP BY 1 HAVING count(DISTINCT type) > 1""",
+    "dict_effective_counts": f"""WITH {_D}, c AS (SELECT type, count(*) FILTER (WHERE org_id = 'org') AS own, count(*) FILTER (WHERE org_id = '') AS base FROM dictionary GROUP BY 1)
+SELECT type, CASE WHEN own > 0 THEN own ELSE base END AS terms FROM c""",
+    "dataset_shape": r"""SELECT count(*) AS n, count(DISTINCT regexp_replace(s_name, '\d+', 'N', 'g')) AS templates FROM supplier""",
+    "term_scan": """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS standard_term FROM part)
+SELECT p_partkey AS id, 'word' AS type, standard_term FROM part JOIN w ON contains(p_name, standard_term) AND p_name <> standard_term AND length(standard_term) >= 2""",
+    "candidate_topk": """WITH i AS (SELECT DISTINCT p_type AS type, p_name AS input FROM part WHERE p_size % 5 = 0), t AS (SELECT DISTINCT p_type AS type, p_name AS standard_term FROM part WHERE p_size % 2 = 0),
+c AS (SELECT type, input, standard_term, unnest(list_distinct(string_split(input, ''))) AS ch FROM i JOIN t USING (type)),
+o AS (SELECT type, input, standard_term, CAST(sum(least(length(input) - length(replace(input, ch, '')), length(standard_term) - length(replace(standard_term, ch, '')))) AS BIGINT) AS overlap FROM c GROUP BY 1, 2, 3)
+SELECT type, input, standard_term, overlap, CAST(row_number() OVER (PARTITION BY type, input ORDER BY overlap DESC, standard_term) AS INTEGER) AS rn FROM o WHERE overlap >= 2 QUALIFY rn <= 5""",
     "json_props": """SELECT event_type, props ->> '$.k' AS k, count(*) AS n FROM events GROUP BY 1, 2""",
 }
 

@@ -64,3 +64,23 @@ DICTIONARY_SQL = """dictionary AS (
   SELECT '' AS org_id, p_type AS type, p_name AS standard_term, list_sort(list_distinct(list(p_brand))) AS aliases FROM part WHERE p_size % 2 = 0 GROUP BY ALL
   UNION ALL
   SELECT 'org', p_type, p_name, list_sort(list_distinct(list(p_brand))) FROM part WHERE p_size % 5 = 0 GROUP BY ALL)"""
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event stands for a line of the operation log."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select("event_id", "ts", user.cast("string").alias("operator"), (user % 3).cast("string").alias("org_id"), F.col("event_type").alias("target"), F.col("props").alias("detail"))
+
+
+LOGS_SQL = """logs AS (
+  SELECT event_id, ts, CAST(user_id AS VARCHAR) AS operator, CAST(user_id % 3 AS VARCHAR) AS org_id, event_type AS target, props AS detail FROM events)"""
+
+
+def deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item stands for a deduction of a record's score."""
+    item = F.concat("l_linestatus", F.col("l_linenumber").cast("string"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), item.alias("item"), F.col("l_quantity").cast("int").alias("points"))
+
+
+DEDUCTIONS_SQL = """deductions AS (
+  SELECT l_returnflag AS type, l_linestatus || CAST(l_linenumber AS VARCHAR) AS item, CAST(trunc(l_quantity) AS INTEGER) AS points FROM lineitem)"""
