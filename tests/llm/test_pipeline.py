@@ -6,7 +6,7 @@ import zlib
 
 import corpus_pipeline
 import pytest
-from lodestrata.llm import queries
+from lodestrata.llm import quality, queries
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first() == docs.agg(F.sum("length")).first()
 
 
-@pytest.mark.xfail(reason="13 of 51 toxic documents stay; the cause is not established, see the README")
+@pytest.mark.xfail(reason="8 of 51 toxic documents stay when 399 labels are all there is, see the README")
 def test_labelled_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -40,3 +40,23 @@ def test_labelled_clean_documents_stay(spark):
 def test_held_out_flags(spark):
     for r in queries.op9_language_id(spark, SF).limit(50).collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_quality_on_the_half_without_labels(spark):
+    """Fitted on half of the labels, the classifier finds the other half's toxic documents and leaves clean ones."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2
+    out = quality.classify(spark, spark.read.parquet(f"{d}/documents.parquet"), labels.where(half == 0), carry_text=False)
+    met = labels.where(half == 1).join(out.select("doc_id", "keep"), "doc_id")
+    rows = met.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept")).collect()
+    clean = [r for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    toxic = [r for r in rows if r["toxic"] == 1]
+    assert sum(r["kept"] for r in clean) >= 0.98 * sum(r["n"] for r in clean) > 0
+    assert sum(r["kept"] for r in toxic) <= 0.12 * sum(r["n"] for r in toxic)
+
+
+def test_word_beginnings_are_features():
+    found = quality.features_of("Straße straßen")
+    assert {"straße", "straßen", "stra~", "straß~", "straße~", "straßen~"} <= found
+    assert not any(f.endswith("~") for f in quality.features_of("a bc"))
