@@ -1,12 +1,13 @@
-"""A bigram language model in a log-frequency Bloom filter, built by Spark and broadcast to score texts."""
+"""A bigram language model in a log-frequency Bloom filter, built by Spark; texts meet it by broadcast or, beyond its bounds, by shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +18,16 @@ END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 BASE = 1.2
 PROBES, BITS_AN_ENTRY = 6, 10
 SEGMENT_BITS = 1 << 19
-#: The filter has at most this many segments of 64 KB (64 MB); beyond that the rarest bigrams stay out of it.
-MOST_SEGMENTS = 1 << 10
+#: A filter of up to this many segments of 64 KB (64 MB) is broadcast; a larger one stays a table of segments on shared storage.
+BROADCAST_SEGMENTS = 1 << 10
 BUCKETS = 1 << 12
 #: Word counts are broadcast up to this many words (12 bytes each); beyond it they are joined by shuffle.
 BROADCAST_WORDS = 8_000_000
 #: Weight of the unigram distribution in a bigram's.
 MU = 1000.0
 BLOCK_TOKENS = 2_000_000
+#: Text of a block that meets its n-grams' levels by shuffle, where the filter isn't broadcast.
+BLOCK_BYTES = 8 << 20
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +102,18 @@ class LogBloom:
     segments: int
     bits: np.ndarray
 
+    @staticmethod
+    def segment(h: np.ndarray, segments: int) -> np.ndarray:
+        """The segment that the hash's highest bits name."""
+        return h >> np.uint64(64 - (segments.bit_length() - 1)) if segments > 1 else np.zeros_like(h)
+
     @staticmethod
     def places(h: np.ndarray, level: int, segments: int) -> np.ndarray:
-        """Bit positions (n x PROBES), all in the segment that the hash's highest bits name."""
+        """Bit positions (n x PROBES), all in the hash's segment."""
         g = mix64(h ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         first, step = g & np.uint64(SEGMENT_BITS - 1), (g >> np.uint64(32)) | np.uint64(1)
         inside = (first[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(SEGMENT_BITS - 1)
-        segment = h >> np.uint64(64 - (segments.bit_length() - 1)) if segments > 1 else np.zeros_like(h)
-        return segment[:, None] * np.uint64(SEGMENT_BITS) + inside
+        return LogBloom.segment(h, segments)[:, None] * np.uint64(SEGMENT_BITS) + inside
 
     def holds(self, h: np.ndarray, level: int) -> np.ndarray:
         p = self.places(h, level, self.segments).astype(np.int64)
@@ -135,50 +142,84 @@ def lower_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
 
 
-def build(counts: DataFrame, min_count: int = 2, most_segments: int = MOST_SEGMENTS) -> LogBloom:
-    """Fills the filter, a group of segments in each task; only finished segments come to the driver (64 MB at most).
+@dataclass
+class StoredBloom:
+    """The same filter as a table on shared storage: segment and bits. Rows of one segment are or-ed."""
+
+    segments: int
+    table: DataFrame
+
+    def levels(self, probes: DataFrame) -> DataFrame:
+        """probes (block, segment, h) as block, h and level q; each segment's probes meet its bits in one task."""
+
+        def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            h = left.column("h").to_numpy().view(np.uint64)
+            level = np.zeros(len(h), np.int64)
+            if right.num_rows and len(h):
+                bits = np.zeros(SEGMENT_BITS // 8, np.uint8)
+                for b in right.column("bits"):
+                    bits |= np.frombuffer(b.as_py(), np.uint8)
+                words, back = np.unique(h, return_inverse=True)
+                level = LogBloom(1, bits).levels(words)[back]
+            return pa.table({"block": left.column("block"), "h": left.column("h"), "q": pa.array(level.astype(np.int16))})
+
+        return probes.groupBy("segment").cogroup(self.table.groupBy("segment")).applyInArrow(look, "block long, h long, q smallint")
+
+
+@dataclass
+class Known:
+    """Levels of all n-grams of one block, sorted by hash."""
+
+    h: np.ndarray
+    q: np.ndarray
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return self.q[np.searchsorted(self.h, h)]
+
 
-    Its size follows the number of entries. Where they would not fit, min_count rises until they do, by the
-    exact number of bigrams of each level. All unigram counts are kept as long as that is possible.
+def build(counts: DataFrame, min_count: int = 1, broadcast_segments: int = BROADCAST_SEGMENTS) -> LogBloom | StoredBloom:
+    """Fills the filter, a group of segments in each task. Its size follows the number of entries, whatever that is.
+
+    Up to broadcast_segments the segments come to the driver, which broadcasts them; more stay on shared storage.
     """
     level = (F.floor(F.log(F.col("c").cast("double")) / float(np.log(BASE)) + 1e-9) + 1).cast("int")
     leveled = counts.where((F.col("n") == 1) | (F.col("c") >= min_count)).withColumn("q", level)
-    sizes = sorted(((r["q"], r["n"], r["k"]) for r in leveled.groupBy("q", "n").agg(F.count("*").alias("k")).collect()), reverse=True)
-    room, entries, lowest = most_segments * SEGMENT_BITS // BITS_AN_ENTRY, 0, {1: 1 << 30, 2: 1 << 30}
-    for order in (1, 2):
-        for q, n, k in sizes:
-            if n == order:
-                if entries + q * k > room:
-                    break
-                entries, lowest[order] = entries + q * k, q
+    entries = leveled.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
     segments = 1
-    while segments < most_segments and segments * SEGMENT_BITS < entries * BITS_AN_ENTRY:
+    while segments * SEGMENT_BITS < entries * BITS_AN_ENTRY:
         segments *= 2
-    kept = leveled.where(((F.col("n") == 1) & (F.col("q") >= lowest[1])) | ((F.col("n") == 2) & (F.col("q") >= lowest[2])))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Untouched pages take no memory: a task only ever writes the segments of its buckets.
-        bits, touched = np.zeros(segments * SEGMENT_BITS // 8, np.uint8), np.zeros(segments, bool)
+        # A task holds only the segments of its buckets; slot tells where each one is.
+        size, slot, held = SEGMENT_BITS // 8, {}, np.zeros(0, np.uint8)
         for batch in batches:
             h, q = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            named, at = np.unique(LogBloom.segment(h, segments), return_inverse=True)
+            for s in named.tolist():
+                slot.setdefault(s, len(slot))
+            if len(slot) * size > len(held):
+                held = np.concatenate([held, np.zeros(max(len(held), len(slot) * size - len(held)), np.uint8)])
+            base = np.array([slot[s] * SEGMENT_BITS for s in named.tolist()], np.uint64)[at]
             for j in range(1, int(q.max(initial=0)) + 1):
-                p = LogBloom.places(h[q >= j], j, segments).ravel()
-                np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-                touched[np.unique((p // np.uint64(SEGMENT_BITS)).astype(np.int64))] = True
-        size = SEGMENT_BITS // 8
-        for s in np.flatnonzero(touched):
-            yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([bits[s * size : (s + 1) * size].tobytes()], pa.binary())], ["segment", "bits"])
-
+                more = q >= j
+                p = (LogBloom.places(h[more], j, 1) + base[more][:, None]).ravel()
+                np.bitwise_or.at(held, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        for s, k in slot.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held[k * size : (k + 1) * size].tobytes()], pa.binary())], ["segment", "bits"])
+
+    filled = leveled.repartition("bucket").select("h", "q").mapInArrow(fill, "segment int, bits binary")
+    if segments > broadcast_segments:
+        return StoredBloom(segments, stored(filled, work_dir(counts.sparkSession, "lm") + "/segments"))
     whole = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     size = SEGMENT_BITS // 8
-    for r in kept.repartition("bucket").select("h", "q").mapInArrow(fill, "segment int, bits binary").toLocalIterator():
+    for r in filled.toLocalIterator():
         whole[r["segment"] * size : (r["segment"] + 1) * size] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return LogBloom(segments, whole)
 
 
 @dataclass
 class Model:
-    bloom: LogBloom
+    bloom: LogBloom | StoredBloom | Known | None
     tokens: int
     distinct: int
     texts: int
@@ -199,20 +240,67 @@ class Model:
         return np.log10((both + mu * p1) / (context + mu))
 
 
-def fit(spark: SparkSession, docs: DataFrame, min_count: int = 2) -> tuple[Model, DataFrame]:
+def fit(spark: SparkSession, docs: DataFrame, min_count: int = 1, broadcast_segments: int = BROADCAST_SEGMENTS) -> tuple[Model, DataFrame]:
     """The model of docs (text), and the exact count of each of their tokens (h, c)."""
     counts = ngram_counts(docs).where((F.col("n") == 1) | (F.col("c") >= min_count))
     counts = stored(counts, work_dir(spark, "lm") + "/counts")
     words = counts.where("n = 1").select("h", "c")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("texts")).first()
-    return Model(build(counts, min_count), int(total["n"]), int(total["v"]), int(total["texts"])), words
+    return Model(build(counts, min_count, broadcast_segments), int(total["n"]), int(total["v"]), int(total["texts"])), words
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """rows (with text) plus block: runs of rows of about BLOCK_BYTES of text, at least one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in chunks(batch):
+                size += len(text_buffer(part.column(part.schema.get_field_index("text")))[0])
+                yield part.append_column("block", pa.array(np.full(part.num_rows, block, np.int64)))
+                if size >= BLOCK_BYTES:
+                    block, size = block + 1, 0
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", block long")
+
+
+def probes_of(blocks: DataFrame, segments: int) -> DataFrame:
+    """block, segment and h of the n-grams that scoring a block's texts asks for, each about once a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at, size = None, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            held.clear()
+            for k in range(0, len(h), 50_000):
+                x = h[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at, np.int64)), pa.array(LogBloom.segment(x, segments).astype(np.int32)), pa.array(x.view(np.int64))], ["block", "segment", "h"])
+
+        for batch in batches:
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for part in chunks(batch.slice(a, b - a)):
+                    if keys[a] != at or size >= BLOCK_TOKENS:
+                        yield from flush()
+                        at, size = keys[a], 0
+                    tokens, begins = _tokens(part)
+                    before = _contexts(tokens, begins)
+                    held += [np.unique(np.concatenate([tokens, before])), np.unique(_pairs(before, tokens))]
+                    size += len(tokens)
+        yield from flush()
+
+    return blocks.select("text", "block").mapInArrow(run, "block long, segment int, h long")
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of docs (doc_id, text).
 
     A null or empty text is its end alone. The base score needs exact counts: a bounded table of them is
-    broadcast; a larger one meets the tokens of each text by shuffle.
+    broadcast; a larger one meets the tokens of each text by shuffle. A filter that isn't broadcast gives each
+    block of texts the levels of its n-grams, with the same scores.
     """
     sc = docs.sparkSession.sparkContext
     wide = model.distinct > broadcast_words
@@ -223,35 +311,53 @@ def score(docs: DataFrame, model: Model, words: DataFrame, broadcast_words: int
         order = np.argsort(h)
         table = (h[order], np.minimum(c[order], (1 << 31) - 1).astype(np.int32) if len(c) and c.max() < 1 << 31 else c[order])
         del got, h, c, order
-    shared = sc.broadcast((model, table))
+    dealt = isinstance(model.bloom, StoredBloom)
+    shared = sc.broadcast((replace(model, bloom=None) if dealt else model, table))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if wide:
         # Equal rows have equal scores, so the key of a row may be that of its content.
         rows = rows.select("doc_id", "text", F.xxhash64("text").alias("t"))
 
+    def scores(part: pa.RecordBatch, model: Model, table: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+        low = float(np.log10(1 / (model.tokens + model.distinct + 1)))
+        tokens, begins = _tokens(part)
+        at = begins[:-1]
+        values = model.log10(_contexts(tokens, begins), tokens)
+        known, base = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+        if table is not None and len(table[0]):
+            u, back = np.unique(tokens, return_inverse=True)
+            k = np.minimum(np.searchsorted(table[0], u), len(table[0]) - 1)
+            c = np.where(table[0][k] == u, table[1][k], 0)
+            known, base = (c > 0)[back].astype(np.int64), np.log10(c + 1.0)[back]
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(np.diff(begins)), pa.array(np.add.reduceat(known, at)), pa.array(np.add.reduceat(base, at) + low * np.diff(begins)), pa.array(np.add.reduceat(values, at)), *part.columns[2:]],
+            ["doc_id", "n_tokens", "n_known", "base_score", "score", *part.schema.names[2:]],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = shared.value
-        low = float(np.log10(1 / (model.tokens + model.distinct + 1)))
         for batch in batches:
             for part in chunks(batch):
-                tokens, begins = _tokens(part)
-                at = begins[:-1]
-                values = model.log10(_contexts(tokens, begins), tokens)
-                known, base = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-                if table is not None and len(table[0]):
-                    u, back = np.unique(tokens, return_inverse=True)
-                    k = np.minimum(np.searchsorted(table[0], u), len(table[0]) - 1)
-                    c = np.where(table[0][k] == u, table[1][k], 0)
-                    known, base = (c > 0)[back].astype(np.int64), np.log10(c + 1.0)[back]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(begins)), pa.array(np.add.reduceat(known, at)), pa.array(np.add.reduceat(base, at) + low * np.diff(begins)), pa.array(np.add.reduceat(values, at)), *part.columns[2:]],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", *part.schema.names[2:]],
-                )
+                yield scores(part, model, table)
+
+    def run_block(key: tuple, texts: pa.Table, levels: pa.Table) -> pa.Table:
+        model, table = shared.value
+        h, first = np.unique(levels.column("h").to_numpy().view(np.uint64), return_index=True)
+        model = replace(model, bloom=Known(h, levels.column("q").to_numpy()[first].astype(np.int64)))
+        parts = [scores(part, model, table) for batch in texts.drop_columns(["block"]).to_batches() for part in chunks(batch)]
+        return pa.Table.from_batches(parts)
 
     types = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    every = types + ", t long" if wide else types
+    if dealt:
+        blocks = stored(blocks_of(rows), work_dir(docs.sparkSession, "lm") + "/blocks")
+        levels = model.bloom.levels(probes_of(blocks, model.bloom.segments))
+        scored = blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(run_block, every)
+    else:
+        scored = rows.mapInArrow(run, every)
     if not wide:
-        return rows.mapInArrow(run, types)
-    scored = rows.mapInArrow(run, types + ", t long").drop("n_known", "base_score")
+        return scored
+    scored = scored.drop("n_known", "base_score")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,10 +374,10 @@ def score(docs: DataFrame, model: Model, words: DataFrame, broadcast_words: int
     return scored.join(met, "t").select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
-def evaluate(spark: SparkSession, docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def evaluate(spark: SparkSession, docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, broadcast_segments: int = BROADCAST_SEGMENTS) -> DataFrame:
     """Learns from documents whose crc32(doc_id as text) mod 7 is not 2 and scores all (a null doc_id is learned from)."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = docs.select("doc_id", "text")
-    model, words = fit(spark, rows.where(~held))
+    model, words = fit(spark, rows.where(~held), broadcast_segments=broadcast_segments)
     out = score(rows, model, words, broadcast_words)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -122,6 +122,35 @@ def test_lm(spark, request, name, limit):
         assert sum(r["score"] for r in out if r["held_out"]) > sum(r["base_score"] for r in out if r["held_out"])
 
 
+@pytest.mark.parametrize("name", ["documents", "edge"])
+@pytest.mark.parametrize("limit", [lm_bloom.BROADCAST_WORDS, 0])
+def test_lm_with_stored_segments_gives_equal_scores(spark, request, name, limit, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "BLOCK_BYTES", 50_000)
+    docs = request.getfixturevalue(name)
+    a, b = (order([tuple(r) for r in lm_bloom.evaluate(spark, docs, limit, n).collect()]) for n in (lm_bloom.BROADCAST_SEGMENTS, 0))
+    assert [r[:5] for r in a] == [r[:5] for r in b]
+    assert [r[5:] for r in a] == [pytest.approx(r[5:], rel=1e-12) for r in b]
+
+
+@pytest.mark.parametrize("most", [lm_bloom.BROADCAST_SEGMENTS, 0, 1])
+def test_lm_filter_holds_every_ngram(spark, most):
+    """Every unigram and bigram of the texts, those of count 1 too, has its level, however small the broadcast bound."""
+    text = " ".join(f"a{i} b{i % 5000}" for i in range(20_000))
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    counts = lm_bloom.ngram_counts(docs)
+    bloom = lm_bloom.build(counts, broadcast_segments=most)
+    rows = counts.collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    if isinstance(bloom, lm_bloom.StoredBloom):
+        probes = spark.createDataFrame([(0, int(s), int(x)) for s, x in zip(lm_bloom.LogBloom.segment(h, bloom.segments), h.view(np.int64), strict=True)], "block long, segment int, h long")
+        level = {r["h"]: r["q"] for r in bloom.levels(probes).collect()}
+    else:
+        level = dict(zip(h.view(np.int64).tolist(), bloom.levels(h).tolist(), strict=True))
+    assert bloom.segments > 1 and any(r["n"] == 2 and r["c"] == 1 for r in rows)
+    assert all(level[r["h"]] >= 1 + math.floor(math.log(r["c"]) / math.log(lm_bloom.BASE) + 1e-9) for r in rows)
+    assert np.mean([level[r["h"]] == 1 + math.floor(math.log(r["c"]) / math.log(lm_bloom.BASE) + 1e-9) for r in rows]) > 0.99
+
+
 def test_log_bloom_levels():
     h = np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64)
     bloom = lm_bloom.LogBloom(2, np.zeros(lm_bloom.SEGMENT_BITS // 4, np.uint8))
