@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import duckdb
 import pytest
@@ -34,6 +35,18 @@ def test_query_matches_sql(spark, duck, name):
     assert rows == sorted(want.fetchall(), key=key) and rows
 
 
+def test_whole_texts_are_masked(spark, tmp_path):
+    """Phones and identity numbers anywhere in a text, beside each other and beside letters; longer numbers stay."""
+    phone, ident = re.compile(r"(?<!\d)1[3-9]\d{9}(?!\d)", re.A), re.compile(r"(?<!\d)\d{17}[\dXx](?!\d)", re.A)
+    texts = ["a 13812345678 b", "13812345678 13912345678,15012345678", "x13812345678y\n11010519491231002x", "1381234567899", "1234567890123456789", "123456789012345678 11010519491231002X", "12345678901", "", None, "long " * 5000 + "13812345678"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: ident.sub("***", phone.sub("***", "tel 13812345678, id 11010519491231002X, " + (t or ""))) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["masked"] for r in catalogue.queries()["pii_mask_text"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(catalogue.ORACLE["pii_mask_text"]).fetchall()) == want
+
+
 def test_text_rules():
     assert text.punctuation_of("舌淡 , 苔白.. 脉细") == "舌淡，苔白。脉细"
     assert text.negated_span("反酸", "无腹痛反酸") and not text.negated_span("食欲不振", "食欲不振")
