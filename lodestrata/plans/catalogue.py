@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,27 +68,27 @@ def distinct_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.distinct_values(views.records(spark, sf_dir), "department")
 
 
-def dict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dic.overlay(views.dictionary(spark, sf_dir), "org")
+def dict_overlay(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    out = dic.overlay(views.dictionary(spark, sf_dir, whole), "org")
     return out.select("type", "standard_term", F.array_join("aliases", ",").alias("aliases"), "own")
 
 
-def dict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = views.dictionary(spark, sf_dir)
+def dict_diff(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    terms = views.dictionary(spark, sf_dir, whole)
     return dic.diff(terms.where("org_id = ''"), terms.where("org_id = 'org'"))
 
 
-def dict_merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dic.merge(views.dictionary(spark, sf_dir).drop("org_id"))
+def dict_merge_aliases(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    out = dic.merge(views.dictionary(spark, sf_dir, whole).drop("org_id"))
     return out.select("type", "standard_term", F.array_join("aliases", ",").alias("aliases"))
 
 
-def dict_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.collisions(views.dictionary(spark, sf_dir).where("org_id = ''"))
+def dict_collisions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dic.collisions(views.dictionary(spark, sf_dir, whole).where("org_id = ''"))
 
 
-def dict_content_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.versions(views.dictionary(spark, sf_dir))
+def dict_content_version(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dic.versions(views.dictionary(spark, sf_dir, whole))
 
 
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,16 +155,16 @@ def dict_snapshot_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dic.prune_snapshots(rows)
 
 
-def dict_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.quality(views.dictionary(spark, sf_dir))
+def dict_quality(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dic.quality(views.dictionary(spark, sf_dir, whole))
 
 
-def dict_cross_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.cross_type(views.dictionary(spark, sf_dir))
+def dict_cross_type(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dic.cross_type(views.dictionary(spark, sf_dir, whole))
 
 
-def dict_effective_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.effective_counts(views.dictionary(spark, sf_dir), "org")
+def dict_effective_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return dic.effective_counts(views.dictionary(spark, sf_dir, whole), "org")
 
 
 def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +187,14 @@ def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("type", "input", "standard_term", F.col("overlap").cast("long").alias("overlap"), "rn")
 
 
+def candidate_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part asked against the terms of all parts."""
+    part = views.table(spark, sf_dir, "part")
+    inputs, terms = part.select(F.col("p_type").alias("type"), F.col("p_name").alias("input")), part.select(F.col("p_type").alias("type"), F.col("p_name").alias("standard_term"))
+    out = normalize.suggest(inputs, terms)
+    return out.select("type", "input", "standard_term", F.col("overlap").cast("long").alias("overlap"), "rn")
+
+
 _R, _E, _D = views.RECORDS_SQL, views.ENTITIES_SQL, views.DICTIONARY_SQL
 _RATE = "CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE floor(qualified::DOUBLE * 1000.0::DOUBLE / total::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE END AS rate"
 
@@ -255,5 +264,12 @@ SELECT type, input, standard_term, overlap, CAST(row_number() OVER (PARTITION BY
 }
 
 
+#: The same queries over a dictionary that holds every part.
+WHOLE = {f"{f.__name__}_whole": partial(f, whole=True) for f in (dict_overlay, dict_diff, dict_merge_aliases, dict_collisions, dict_content_version, dict_quality, dict_cross_type, dict_effective_counts)}
+ORACLE |= {name: ORACLE[name.removesuffix("_whole")].replace(_D, views.WHOLE_DICTIONARY_SQL) for name in WHOLE}
+ORACLE["candidate_topk_whole"] = ORACLE["candidate_topk"].replace(" WHERE p_size % 5 = 0", "").replace(" WHERE p_size % 2 = 0", "")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in ORACLE}
+    found = globals() | WHOLE
+    return {name: found[name] for name in ORACLE}

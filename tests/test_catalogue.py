@@ -35,6 +35,13 @@ def test_query_matches_sql(spark, duck, name):
     assert rows == sorted(want.fetchall(), key=key) and rows
 
 
+def test_every_part_is_asked_and_in_the_dictionary(spark):
+    want = {tuple(r) for r in spark.read.parquet(f"{SF}/part.parquet").select("p_type", "p_name").distinct().collect()}
+    found = catalogue.queries()
+    assert {(r["type"], r["input"]) for r in found["candidate_topk_whole"](spark, SF).collect()} == want
+    assert {(r["type"], r["standard_term"]) for r in found["dict_overlay_whole"](spark, SF).collect()} == want
+
+
 def test_whole_texts_are_masked(spark, tmp_path):
     """Phones and identity numbers anywhere in a text, beside each other and beside letters; longer numbers stay."""
     phone, ident = re.compile(r"(?<!\d)1[3-9]\d{9}(?!\d)", re.A), re.compile(r"(?<!\d)\d{17}[\dXx](?!\d)", re.A)
