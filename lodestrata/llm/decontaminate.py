@@ -70,14 +70,39 @@ def alignments(postings: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.where((F.col("need") == 1) | (F.col("a") < F.col("b"))).select("__id", "__h", "item", "shift")
 
 
-def near(postings: DataFrame, anchors: DataFrame, span: int = 50, least: int = 3) -> DataFrame:
-    """Proximity matches: document key, item and block of positions in which `least` rare places' terms of the item meet.
+def rare_terms(items: DataFrame, counts: DataFrame, most: int = 4, least: int = 3) -> DataFrame:
+    """The rarest terms of every window of an item, of those that the corpus has: item, term, and how many must meet (need).
 
-    Blocks of 2 * span positions overlap by half, so any matches within span share one.
+    A window with terms that the corpus lacks still has its others. No item needs more terms than it has.
     """
-    hits = postings.join(_bounded(anchors.select("item", "term").distinct()), "term")
-    blocks = hits.select("__id", "__h", "item", "term", F.explode(F.array(F.floor(F.col("pos") / span), F.floor(F.col("pos") / span) - 1)).alias("block"))
-    return blocks.groupBy("__id", "__h", "item", "block").agg(F.countDistinct("term").alias("terms")).where(F.col("terms") >= least)
+    placed = items.select("item", "n", F.size("words").alias("size"), F.size(F.array_distinct("words")).alias("own"), F.posexplode("words").alias("place", "term")).join(counts, "term")
+    starts = placed.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("n") + 1), F.least(F.col("place"), F.col("size") - F.col("n")))).alias("start"))
+    ranked = starts.select("item", "own", "start", "term", "df").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("item", "start").orderBy("df", "term")))
+    return ranked.where(F.col("rank") <= most).select("item", "term", F.least("own", F.lit(least)).alias("need")).distinct()
+
+
+def near(postings: DataFrame, terms: DataFrame, span: int = 50) -> DataFrame:
+    """Proximity matches: document key and item of which `need` different rare terms are within `span` places of the document."""
+    hits = postings.join(_bounded(terms), "term")
+    ahead = Window.partitionBy("__id", "__h", "item").orderBy("pos").rangeBetween(0, span - 1)
+    met = hits.select("__id", "__h", "item", "need", F.size(F.collect_set("term").over(ahead)).alias("terms"))
+    return met.where(F.col("terms") >= F.col("need")).select("__id", "__h", "item").distinct()
+
+
+def proximity(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = 50, least: int = 3) -> DataFrame:
+    """docs (any columns) plus near: the sorted ids of items whose rare terms meet in the text, altered copies among them.
+
+    It is wider than an exact match and says that a text should be looked at; matches() says what is a copy.
+    """
+    folder = work_dir(spark, "proximity")
+    docs, names = hidden(docs)
+    items = stored(items_of(benchmark, window), folder + "/items")
+    counts = stored(term_counts(docs, items.select(F.explode("words").alias("term")).distinct()), folder + "/counts")
+    terms = stored(rare_terms(items, counts, least=least), folder + "/terms")
+    found = near(postings_of(docs, terms.select("term").distinct()), terms, span).join(_bounded(items.select("item", "item_id")), "item")
+    by_doc = found.groupBy("__id", "__h").agg(F.array_sort(F.collect_set("item_id")).alias("__near"))
+    out = docs.select("*", *_doc_key()).join(by_doc, ["__id", "__h"], "left")
+    return out.select(*(c for c in docs.columns if c != "near"), F.coalesce("__near", F.array().cast("array<string>")).alias("near")).withColumnsRenamed(names)
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

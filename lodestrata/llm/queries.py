@@ -52,6 +52,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items whose rare terms meet within 50 words of a document, altered copies among them."""
+    found = decontaminate.proximity(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ",").cast("binary"), 256).alias("near_sha256"))
+
+
 def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text through sorted-string-table shards."""
     return sstable.token_table(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
@@ -82,7 +88,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_warc_merkle_audit, op4_media_columns, op5_decontamination, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_warc_merkle_audit, op4_media_columns, op5_decontamination, op5_proximity, op6_sstable, op7_line_dedup, op8_best_fit_packing, op9_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

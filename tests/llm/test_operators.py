@@ -246,6 +246,34 @@ def test_decontamination(spark, request, name):
     assert any(r["hits"] for r in out)
 
 
+def near_of(texts, items, most=4, least=3, span=50):
+    docs = [TERM.findall((t or "").translate(LOWER)) for t in texts]
+    df, found = Counter(w for d in docs for w in d), [set() for _ in docs]
+    for item, t in items:
+        q = TERM.findall((t or "").translate(LOWER))
+        k = min(10, len(q))
+        rare = {w for i in range(len(q) - k + 1) for w in sorted({x for x in q[i : i + k] if df[x]}, key=lambda x: (df[x], x.encode()))[:most]} if k else set()
+        for d, f in zip(docs, found, strict=True):
+            if rare and any(len(rare.intersection(d[i : i + span])) >= min(least, len(set(q))) for i in range(len(d)) if d[i] in rare):
+                f.add(str(item))
+    return [sorted(f) for f in found]
+
+
+@pytest.mark.parametrize("name", ["documents", "edge"])
+def test_proximity(spark, request, name):
+    docs = request.getfixturevalue(name)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    if name == "edge":
+        bench = spark.createDataFrame([(1, "one TWO"), (2, None), (3, ""), (4, "line nowhere1 these texts all that nowhere2 share nowhere3 word"), (5, "漢字"), (6, "nowhere1 nowhere2 nowhere3")], "item_id long, text string")
+    items, rows = [tuple(r) for r in bench.select("item_id", "text").collect()], rows_of(docs)
+    got = decontaminate.proximity(spark, docs, bench).select("doc_id", "near").collect()
+    want = [(d, n) for (d, _), n in zip(rows, near_of([t for _, t in rows], items), strict=True)]
+    assert order(tuple(r) for r in got) == order(want) and any(n for _, n in want)
+    if name == "edge":
+        near, exact = {r["doc_id"]: r["near"] for r in got}, {r["doc_id"]: r["items"] for r in decontaminate.matches(spark, docs, bench).collect()}
+        assert near[4] == ["1"] and near[8] == ["5"] and near[10] == ["4"] and exact[10] == []
+
+
 # 6
 
 
