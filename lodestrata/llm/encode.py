@@ -25,8 +25,8 @@ class CachedEncoder:
     """Encodes whole texts; the ids equal those of the tokenizers library on the whole text.
 
     A text of code points below 256 is split by the file's own pattern here, and each distinct part goes to
-    the file's merge model once; parts stay in a bounded cache of two generations. Any other text goes to the
-    library whole.
+    the file's merge model once; parts stay in a bounded cache of two generations. Any other text, and one that
+    holds an added token's content in any case, goes to the library whole.
     """
 
     def __init__(self, path: str, kind: str):
@@ -34,7 +34,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge, self.split, self.lower = self.tokenizer.model.tokenize, _SPLIT[kind].findall, kind == "word"
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: "".join(x for x, _ in level.pre_tokenize_str(chr(i))) for i in range(256)}
@@ -50,7 +50,10 @@ class CachedEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return None
-        return None if _UNSURE.search(text) else self.split(text.lower() if self.lower else text)
+        low = text.lower()
+        if _UNSURE.search(text) or any(a in low for a in self.added):
+            return None
+        return self.split(low if self.lower else text)
 
     def _fill(self, wanted: set[str]) -> None:
         if len(self.cache) + len(wanted) > CACHE_ENTRIES:

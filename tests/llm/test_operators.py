@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, ngram_join, packing, png_media, quality, sstable, warc
 from lodestrata.llm.common import work_dir
+from lodestrata.llm.encode import CachedEncoder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD, TERM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -296,6 +297,15 @@ def test_sstable(spark, request, name):
     assert ids == sorted(ids, key=lambda d: (d is not None, d))
 
 
+@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_added_tokens_as_the_library_has_them_by_default(file, kind):
+    path = public_tokenizers.path(file)
+    tok = Tokenizer.from_file(path)
+    texts = ["abc <|endoftext|> def", "<|endoftext|>", "a<|startoftext|>b", "x <|ENDOFTEXT|> y", "<|endoftext", "plain words 12", "", None]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert CachedEncoder(path, kind)(texts) == want
+
+
 def test_sstable_lookup(spark, documents):
     folder = work_dir(spark, "t")
     shards = sstable.write_shards(documents, folder, public_tokenizers.path("word_bpe_49k.json")).collect()
