@@ -1,15 +1,15 @@
 """Packing by a configuration linear program over the length histogram.
 
 The program has a variable for each pattern (lengths that fit one sequence together) and a constraint for each
-length. Multiplicative weights solve it: weights on the lengths, a knapsack over the capacity prices the best
-pattern, and weights of lengths that the pattern serves fall. The fractional patterns are rounded down, and
-what is left is packed best fit, longest first. All of this works on at most `capacity` histogram bins,
+length. Multiplicative weights solve it: weights on the lengths, a knapsack over the capacity prices patterns,
+and weights of lengths that a pattern serves fall. The fractional patterns are rounded to whole sequences, the
+program is solved again for what is left, and the last pieces (below a tenth on texts' lengths) go best fit into
+what room there is. All of this works on at most `capacity` histogram bins and on (pattern, count) pairs,
 whatever the number of documents; placing the pieces into the patterns' slots is distributed.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import stored, work_dir
 from lodestrata.llm.encode import CachedEncoder
 
+#: Rounds of weights in one solution, lengths served in a round, the share of a length's pieces that a pattern serves
+#: at once, and how far from the best value a pattern may be.
+ROUNDS, BATCH, STEP, SLACK = 60, 128, 0.25, 0.002
+#: Solutions at most; tokens that a rounded pattern may waste where fuller ones exist; pieces kept for the end.
+SOLUTIONS, WASTE, HELD = 8, 2, 0.03
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,115 +53,154 @@ def cut(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, ca
     return rows.mapInPandas(pieces, PIECES.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _knapsack(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of most value: dynamic programming over the capacity (lengths ascending, copies up to `most`).
+def _values(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack's most value for every room up to the capacity (lengths ascending), by dynamic programming."""
+    best = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for c in range(1, capacity + 1):
+        if n := upto[c]:
+            best[c] = max(best[c - 1], (price[:n] + best[c - lengths[:n]]).max())
+    return best
+
+
+def _priced(k: int, lengths: np.ndarray, price: np.ndarray, best: np.ndarray, cover: np.ndarray, most: np.ndarray) -> dict[int, int]:
+    """A pattern through length k (index: copies) within SLACK of the best value; of such, the least covered lengths.
 
     A pattern takes copies of a length only while the histogram has them.
     """
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        n = upto[c]
-        best[c], pick[c] = best[c - 1], -1
-        if n:
-            total = value[:n] + best[c - lengths[:n]]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], pick[c] = total[k], k
-    pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        k = int(pick[c])
-        if k < 0:
-            c -= 1
-            continue
-        if pattern.get(k, 0) < most[k]:
-            pattern[k] = pattern.get(k, 0) + 1
-        c -= int(lengths[k])
+    pattern, got, room = {k: 1}, price[k], len(best) - 1 - int(lengths[k])
+    least = (1 - SLACK) * best[-1]
+    while room >= lengths[0]:
+        n = np.searchsorted(lengths, room, side="right")
+        value = got + price[:n] + best[room - lengths[:n]]
+        for j, m in pattern.items():
+            if j < n and m >= most[j]:
+                value[j] = -1.0
+        top = value.max()
+        if top < 0:
+            break
+        j = int(np.where(value >= min(least, top), cover[:n], np.inf).argmin())
+        pattern[j] = pattern.get(j, 0) + 1
+        got, room = got + price[j], room - int(lengths[j])
     return pattern
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400, step: float = 0.2) -> list[tuple[dict[int, int], float]]:
-    """Multiplicative weights for min sum(x) with every length covered: patterns (index: copies) and their x."""
-    log_w = np.zeros(len(lengths))
-    served = np.zeros(len(lengths))
-    used: dict[tuple, float] = {}
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], float]:
+    """Multiplicative weights for min sum(x) with every length covered: patterns ((index, copies), ...) and their x.
+
+    Weights start in proportion to the lengths. A round prices all rooms once and serves the least covered
+    lengths through near-best patterns; a length's weight falls as it is served.
+    """
+    log_w, served = np.log(lengths.astype(float)), np.zeros(len(lengths))
+    used: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(rounds):
-        w = np.exp(log_w - log_w.max()) / counts
-        pattern = _knapsack(lengths, w, counts, capacity)
-        # The number of such sequences that changes no length's weight by more than the step.
-        amount = min(counts[k] / n for k, n in pattern.items())
-        for k, n in pattern.items():
-            served[k] += amount * n
-            log_w[k] -= step * amount * n / counts[k]
-        key = tuple(sorted(pattern.items()))
-        used[key] = used.get(key, 0.0) + amount
-    scale = (served / counts).min()
-    if scale <= 0:  # lengths that no pattern served yet stay for the rounding
-        positive = served[served > 0] / counts[served > 0]
-        scale = np.median(positive)
-    return [(dict(key), x / scale) for key, x in used.items()]
-
-
-def _best_fit(lengths: list[int], left: np.ndarray, capacity: int) -> dict[tuple[int, ...], int]:
-    """Best fit, longest first, for what rounding left; sequences by the room that they have."""
-    rooms: dict[int, list[tuple[int, ...]]] = {}
-    for n in sorted((int(x) for x in np.flatnonzero(left)), reverse=True):
-        todo = int(left[n])
-        order = [r for r in sorted(rooms) if r >= n]
-        heapq.heapify(order)
-        while todo:
-            while order and not rooms.get(order[0]):
-                heapq.heappop(order)
-            if not order:
-                k = min(todo, capacity // n)
-                full, todo = divmod(todo, k) if k else (0, 0)
-                rooms.setdefault(capacity - n * k, []).extend([(n,) * k] * full)
-                if todo:
-                    rooms.setdefault(capacity - n * todo, []).append((n,) * todo)
+        cover = served / counts
+        if cover.min() >= 1:
+            break
+        price = np.exp(log_w - log_w.max())
+        best = _values(lengths, price, capacity)
+        for k in np.argsort(cover, kind="stable")[:BATCH]:
+            if cover[k] >= 1:
                 break
-            room = order[0]
-            held = rooms[room].pop()
-            k = min(todo, room // n)
-            rest = room - n * k
-            todo -= k
-            rooms.setdefault(rest, []).append(held + (n,) * k)
-            if rest >= n:
-                heapq.heappush(order, rest)
+            pattern = _priced(int(k), lengths, price, best, cover, counts)
+            at, n = np.fromiter(pattern.keys(), int), np.fromiter(pattern.values(), float)
+            amount = STEP * (counts[at] / n).min()
+            served[at] += amount * n
+            log_w[at] -= amount * n / counts[at]
+            cover[at] = served[at] / counts[at]
+            key = tuple(sorted(pattern.items()))
+            used[key] = used.get(key, 0.0) + amount
+    return used
+
+
+def _add(rooms: dict[int, dict[tuple[int, ...], int]], room: int, pattern: tuple[int, ...], times: int) -> None:
+    held = rooms.setdefault(room, {})
+    held[pattern] = held.get(pattern, 0) + times
+
+
+def _best_fit(left: dict[int, int], rooms: dict[int, dict[tuple[int, ...], int]], capacity: int) -> None:
+    """Best fit, longest first, of what rounding left (length: pieces) into rooms (room: pattern: sequences).
+
+    Sequences that hold the same lengths are one entry with a count, so work follows patterns, not documents.
+    """
+    for n in sorted(left, reverse=True):
+        todo = left[n]
+        for room in sorted(r for r in rooms if r >= n):
+            k, held = room // n, rooms.pop(room)
+            for pattern in sorted(held):
+                if full := min(held[pattern], todo // k):
+                    _add(rooms, room - k * n, pattern + (n,) * k, full)
+                    held[pattern] -= full
+                    todo -= full * k
+                if 0 < todo < k and held[pattern]:
+                    _add(rooms, room - todo * n, pattern + (n,) * todo, 1)
+                    held[pattern] -= 1
+                    todo = 0
+                if held[pattern]:
+                    _add(rooms, room, pattern, held[pattern])
+        if todo:
+            k = capacity // n
+            for copies, times in ((k, todo // k), (todo % k, 1)):
+                if copies and times:
+                    _add(rooms, capacity - copies * n, (n,) * copies, times)
+
+
+def rounded(histogram: dict[int, int], capacity: int = 2048) -> tuple[dict[tuple[int, ...], int], dict[int, int]]:
+    """Patterns of the linear program with whole numbers of sequences, and the pieces (length: count) that they leave.
+
+    The program is solved, rounded by running sums of x over the patterns, fullest first, and solved again for
+    what is left, until a solution places little. A share HELD of each run of pieces stays out for the end.
+    """
     out: dict[tuple[int, ...], int] = {}
-    for many in rooms.values():
-        for held in many:
-            key = tuple(sorted(held, reverse=True))
-            out[key] = out.get(key, 0) + 1
-    return out
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(n)] for n in lengths], np.int64)
+    total, upto = int(counts.sum()), np.cumsum(counts)
+    held = np.diff(np.floor(np.r_[0, upto] * HELD).astype(np.int64)) if total else counts
+    left = counts - held
+    for _ in range(SOLUTIONS):
+        at = np.flatnonzero(left)
+        if not len(at):
+            break
+        placed = whole = 0
+        running = 0.0
+        found = fractional(lengths[at], left[at].astype(float), capacity)
+        fill = {p: sum(int(lengths[at[k]]) * n for k, n in p) for p in found}
+        enough = min(capacity - WASTE, max(fill.values()))
+        for pattern in sorted(found, key=lambda p: (-fill[p], -found[p], p)):
+            if fill[pattern] < enough:
+                break
+            running += found[pattern]
+            times, whole = int(running + 0.5) - whole, int(running + 0.5)
+            times = min(times, *(int(left[at[k]]) // n for k, n in pattern))
+            if times > 0:
+                key = tuple(int(lengths[at[k]]) for k, n in pattern for _ in range(n))
+                out[key] = out.get(key, 0) + times
+                for k, n in pattern:
+                    left[at[k]] -= n * times
+                    placed += n * times
+        if placed < total / 50:
+            break
+    return out, {int(n): int(c) for n, c in zip(lengths, left + held, strict=True) if c}
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, longest first) and how many sequences use each; serves every piece exactly once."""
     if not histogram:
         return []
     if min(histogram) < 1 or max(histogram) > capacity:
         raise ValueError("lengths are from 1 to the capacity")
-    left = np.zeros(capacity + 1, np.int64)
-    for n, count in histogram.items():
-        left[n] += count
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+    if full := histogram.get(capacity):  # a full piece is a sequence
+        _add(rooms, 0, (capacity,), full)
+    patterns, left = rounded({n: c for n, c in histogram.items() if n < capacity and c}, capacity)
+    for pattern, times in patterns.items():
+        _add(rooms, capacity - sum(pattern), pattern, times)
+    _best_fit(left, rooms, capacity)
     out: dict[tuple[int, ...], int] = {}
-    if left[capacity]:  # a full piece is a sequence
-        out[(capacity,)] = int(left[capacity])
-        left[capacity] = 0
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        found = fractional(lengths, left[lengths].astype(float), capacity, rounds)
-        fill = lambda p: sum(int(lengths[k]) * n for k, n in p.items())
-        for pattern, x in sorted(found, key=lambda f: (-fill(f[0]), -f[1])):
-            times = min(int(x), *(int(left[lengths[k]]) // n for k, n in pattern.items()))
-            if times > 0 and fill(pattern) >= capacity - 2:
-                for k, n in pattern.items():
-                    left[lengths[k]] -= n * times
-                key = tuple(int(lengths[k]) for k in sorted(pattern, reverse=True) for _ in range(pattern[k]))
-                out[key] = out.get(key, 0) + times
-    for key, times in _best_fit(lengths.tolist(), left, capacity).items():
-        out[key] = out.get(key, 0) + times
+    for held in rooms.values():
+        for pattern, times in held.items():
+            key = tuple(sorted(pattern, reverse=True))
+            out[key] = out.get(key, 0) + times
     return sorted(out.items())
 
 
@@ -197,7 +241,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str = "byte
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(begins, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_begin"))
 
-    # The slot table is bounded by the patterns: at most rounds + capacity of them with capacity lengths each.
+    # The slot table is bounded by the patterns: SOLUTIONS * ROUNDS * BATCH and what best fit adds, whatever the documents.
     shared = spark.sparkContext.broadcast({c: table[c].to_numpy(np.int64) for c in table})
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
