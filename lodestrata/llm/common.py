@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +25,24 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+@functools.cache
+def _local_dir() -> str:
+    path = tempfile.mkdtemp(prefix="lodestrata-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run, below spark.checkpoint.dir.
 
-    The setting names storage that all executors and the driver share. Only where it is unset (local
-    tests) a temporary folder takes its place.
+    The setting names storage that all executors and the driver share; on a cluster it must be set. Only a
+    session that is one process (local tests) may do without: its folder goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,6 +64,21 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(out: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """out, after the tables below folder that it doesn't read are deleted; those named in keep stay."""
+    spark = out.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(root):
+        base = fs.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+        read = {urlsplit(f).path for f in out.inputFiles()}
+        used = {unquote(f)[len(base) :].split("/")[0] for f in read if unquote(f).startswith(base)}
+        for s in fs.listStatus(root):
+            if s.getPath().getName() not in used | set(keep):
+                fs.delete(s.getPath(), True)
+    return out
+
+
 def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns in "__" renamed, so that helper columns can't clash with them, and the names to give back."""
     names = {c: f"{uuid.uuid4().hex}_{k}" for k, c in enumerate(df.columns) if c.startswith("__")}
@@ -167,6 +193,7 @@ def task_name() -> str:
     return f"{context.partitionId():06d}-{context.attemptNumber()}-{uuid.uuid4().hex[:8]}"
 
 
-def slots(spark: SparkSession) -> int:
-    """Tasks that the session spreads a keyless exchange over."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), SparkContext.getOrCreate().defaultParallelism)
+def parts_for(spark: SparkSession, size: int, each: int) -> int:
+    """Partitions for `size` bytes, or rows, of `each` a task; at least one round of the session's cores, as far as there is work."""
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, min(size, least), -(-size // each))

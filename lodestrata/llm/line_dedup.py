@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SPACES, drop_dir, hidden, lower_ascii, work_dir
+from lodestrata.llm.common import SPACES, drop_dir, hidden, lower_ascii, stored, work_dir
 
 
 def lines_of(text):
@@ -21,51 +20,46 @@ def line_key(line):
     return lower_ascii(F.btrim(line, F.lit(SPACES)))
 
 
-def line_hash(key):
-    """16 bytes of MD5; null for a key shorter than one code point."""
-    return F.when(F.length(key) >= 1, F.unhex(F.md5(key)))
-
-
 class LineRuns:
-    """Counts of documents per line hash in levelled runs of Parquet files, each sorted by hash.
+    """Counts of documents per line hash in levelled runs, each dealt into the same buckets by hash and sorted in them.
 
     A batch of documents adds one run to level 0. When a level holds `fanout` runs they are merged into one
-    run of the next level, so a hash is rewritten once a level and a lookup meets few runs. All runs are dealt
-    by hash: merging or joining them is a merge of sorted files.
+    run of the next, so a hash is rewritten once a level and a lookup meets few runs. A run is a bucketed table
+    whose files are below folder: two runs merge by a join of their sorted buckets without a shuffle, and a
+    batch's hashes are dealt once to meet them. close() takes the tables out of the catalogue.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4, min_chars: int = 1):
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 2, min_chars: int = 1, buckets: int | None = None):
         self.spark, self.folder, self.fanout, self.min_chars = spark, folder, fanout, min_chars
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
 
-    def _hashes(self, docs: DataFrame, *keep: str) -> DataFrame:
+    def _hashes(self, docs: DataFrame) -> DataFrame:
         keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-        return docs.select(*keep, F.explode(F.filter(keys, lambda k: F.length(k) >= self.min_chars)).alias("key")).select(*keep, F.unhex(F.md5("key")).alias("hash"))
+        return docs.select(F.explode(F.filter(keys, lambda k: F.length(k) >= self.min_chars)).alias("key")).select(F.unhex(F.md5("key")).alias("hash"))
 
     def _write(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.folder}/level={level}/{uuid.uuid4().hex}"
-        run.sortWithinPartitions("hash").write.parquet(path)
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("hash binary, docs long").parquet(*paths)
+        name = f"line_run_{uuid.uuid4().hex}"
+        run.sortWithinPartitions("hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        self.levels[level].append(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_dir(self.spark, f"{self.folder}/{name}")
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Two runs meet bucket by bucket in a merge join that shuffles nothing; each further one joins the result."""
+        rows = self.spark.table(names[0])
+        for name in names[1:]:
+            rows = rows.join(self.spark.table(name).withColumnRenamed("docs", "more"), "hash", "full_outer")
+            rows = rows.select("hash", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+        return rows
 
     def add(self, docs: DataFrame) -> None:
         """Adds the run of one batch (each document counts once for a key), then compacts full levels."""
-        self._write(self._hashes(docs).groupBy("hash").agg(F.count("*").alias("docs")), 0)
-        self.compact()
-
-    def add_many(self, docs: DataFrame, batches: int) -> None:
-        """Adds `batches` runs from one scan, dealt by the hash of the text."""
-        rows = self._hashes(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(batches)).alias("batch")), "batch")
-        path = f"{self.folder}/level=0/{uuid.uuid4().hex}"
-        counts = rows.groupBy("batch", "hash").agg(F.count("*").alias("docs"))
-        counts.sortWithinPartitions("batch", "hash").write.partitionBy("batch").parquet(path)
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs)
-        self.levels[0] += sorted(s.getPath().toString() for s in there if s.isDirectory() and s.getPath().getName().startswith("batch="))
+        self._write(self._hashes(docs).repartition(self.buckets, "hash").groupBy("hash").agg(F.count("*").alias("docs")), 0)
         self.compact()
 
     def compact(self) -> None:
@@ -74,19 +68,22 @@ class LineRuns:
         while level < len(self.levels):
             old = self.levels[level]
             if len(old) >= self.fanout:
-                self._write(self._read(old).groupBy("hash").agg(F.sum("docs").alias("docs")), level + 1)
+                self._write(self._merged(old), level + 1)
                 self.levels[level] = []
-                for path in old:
-                    drop_dir(self.spark, path)
+                for name in old:
+                    self._drop(name)
             level += 1
 
+    def close(self) -> None:
+        """Ends the runs: their tables and files go."""
+        for name in (n for level in self.levels for n in level):
+            self._drop(name)
+        self.levels = [[]]
+
     def counts(self) -> DataFrame:
         """Documents per hash over all live runs."""
-        live = [p for level in self.levels for p in level]
-        if not live:
-            return self.spark.createDataFrame([], "hash binary, docs long")
-        rows = functools.reduce(DataFrame.unionByName, (self._read([p]) for p in live))
-        return rows if len(live) == 1 else rows.groupBy("hash").agg(F.sum("docs").alias("docs"))
+        live = [n for level in self.levels for n in level]
+        return self._merged(live) if live else self.spark.createDataFrame([], "hash binary, docs long")
 
     def common(self, min_docs: int) -> DataFrame:
         """Hashes found in at least min_docs documents."""
@@ -98,7 +95,8 @@ def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1) -> DataF
 
     Returns docs with text (lines left, joined by \\n), n_lines (before) and n_dropped. Only the line hashes
     travel to the merge join; rows that lose lines meet their text again by a key of the row's content.
-    Repeated rows lose the same lines; a null doc_id is kept; no documents give no rows.
+    Repeated rows lose the same lines; a null doc_id is kept; no documents give no rows. Columns that are named
+    n_lines or n_dropped before are replaced.
     """
     docs, names = hidden(docs)
     rows = docs.select("*", F.xxhash64("doc_id", "text").alias("__row"), F.md5(F.coalesce("text", F.lit(""))).alias("__md"))
@@ -107,7 +105,8 @@ def drop_common(docs: DataFrame, common: DataFrame, min_chars: int = 1) -> DataF
     gone = hit.groupBy("__row", "__md").agg(F.collect_set("__at").alias("__gone"))
     lines = lines_of(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
-    left = F.array_join(F.transform(kept, lambda i: F.element_at(F.split("text", "\n", -1), i + 1)), "\n")
+    # The text is split once: an array of one binds its lines for all the places that stay.
+    left = F.element_at(F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n")), 1)
     text = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(left).alias("text")
     return rows.join(gone, ["__row", "__md"], "left").select(
         *(text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
@@ -126,7 +125,16 @@ def dedup_batch(runs: LineRuns, docs: DataFrame, min_docs: int = 1) -> DataFrame
 
 
 def dedup_corpus(spark: SparkSession, docs: DataFrame, min_docs: int = 10, batches: int = 4, min_chars: int = 1) -> DataFrame:
-    """Drops every line whose key is in at least min_docs documents of docs; see drop_common."""
-    runs = LineRuns(spark, work_dir(spark, "lines"), fanout=min(4, batches), min_chars=min_chars)
-    runs.add_many(docs.select("doc_id", "text"), batches)
-    return drop_common(docs, runs.common(min_docs), min_chars)
+    """Drops every line whose key is in at least min_docs documents of docs (doc_id, text and any other columns).
+
+    The corpus comes in `batches`, dealt by the hash of the text, each of which adds a run; all runs together
+    tell which lines are common. A null or empty text is one empty line, repeated rows count each and lose the
+    same lines, other columns stay as they are, and no documents give no rows; see drop_common.
+    """
+    folder = work_dir(spark, "lines")
+    runs = LineRuns(spark, folder, min_chars=min_chars)
+    for k in range(batches):
+        runs.add(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k))
+    common = stored(runs.common(min_docs), f"{folder}/common")
+    runs.close()
+    return drop_common(docs, common, min_chars)

@@ -106,15 +106,15 @@ OP7 = r"""
 WITH split AS (
   SELECT rowid AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
 ), line AS (
-  SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM split
+  SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split
 ), keyed AS (
   SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line
 ), common AS (
   SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
 ), marked AS (
-  SELECT k.r, k.doc_id, k.line, k.at, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c USING (key)
+  SELECT k.r, k.doc_id, k.line, k.pos, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c USING (key)
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id
 """

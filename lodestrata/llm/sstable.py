@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import file_system, stored, task_name, work_dir
+from lodestrata.llm.common import file_system, stored, task_name, tidy, work_dir
 from lodestrata.llm.encode import CachedEncoder
 
 MAGIC = b"LSTRSST1"
@@ -37,6 +37,8 @@ BLOCK_BYTES = 1 << 16
 #: A task starts another shard beyond this.
 SHARD_BYTES = 64 << 20
 PROBES, BITS_A_KEY = 7, 10
+#: Partitions that shards are read back in, at most.
+MOST_TASKS = 100_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -190,8 +192,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
 def read_shards(manifest: DataFrame) -> DataFrame:
     """Reads all shards of a manifest back: doc_id, start (ids before), n_tokens, ids_crc32, path, shard_bytes.
 
-    The only ordered pass over everything is over the manifest, a row for each shard of up to 64 MB.
+    The only ordered pass over everything is over the manifest, a row for each shard of up to 64 MB. Each
+    shard is a task of its own (up to MOST_TASKS): the manifest itself is too small to tell how much there is to read.
     """
+    tasks = min(max(1, manifest.count()), MOST_TASKS)
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -204,11 +208,11 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
-    out = placed.repartition(F.col("path")).mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    out = placed.repartition(tasks, "path").mapInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_table(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1) -> DataFrame:
     """Writes docs as shards in the shared work folder and reads the files back; see read_shards."""
     folder = work_dir(spark, "sstable")
-    return read_shards(stored(write_shards(docs, folder + "/shards", tokenizer, kind, end_id), folder + "/manifest"))
+    return tidy(read_shards(stored(write_shards(docs, folder + "/shards", tokenizer, kind, end_id), folder + "/manifest")), folder, keep=("shards",))

@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, ngram_join, packing, png_media, quality, sstable, warc
+from lodestrata.llm import decontaminate, langid, line_dedup, lm_bloom, ngram_join, packing, png_media, quality, queries, sstable, warc
 from lodestrata.llm.common import work_dir
 from lodestrata.llm.encode import CachedEncoder
 
@@ -282,7 +284,6 @@ def test_proximity(spark, request, name):
 def test_sstable(spark, request, name):
     docs, tok = request.getfixturevalue(name), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = sorted(sstable.token_table(spark, docs, public_tokenizers.path("word_bpe_49k.json")).collect(), key=lambda r: r["start"])
-    tok.encode_special_tokens = True
     want = {}
     for d, t in rows_of(docs):
         raw = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
@@ -341,6 +342,30 @@ def test_line_runs_compact_and_anti_join(spark):
         assert out["text"] == (f"same\nnew {k}" if k == 0 else f"new {k}")
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.counts().agg(F.max("docs")).first()[0] == 5
+    plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.close()
+    assert runs.counts().count() == 0
+
+
+def test_line_dedup_of_one_text_with_very_many_lines(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(n))), (2, "\n".join(f"l{i}" for i in range(0, n, 2)))], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_corpus(spark, docs, min_docs=2).collect()}
+    assert time.time() - began < 60
+    assert got[1]["text"] == "\n".join(f"l{i}" for i in range(1, n, 2)) and got[1]["n_dropped"] == n // 2 and got[2]["text"] == ""
+
+
+@pytest.mark.parametrize("name", ["op3_warc_merkle_audit", "op7_line_dedup"])
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert order(map(tuple, got)) == order(want.fetchall())
 
 
 # 8
@@ -349,7 +374,6 @@ def test_line_runs_compact_and_anti_join(spark):
 @pytest.mark.parametrize("name", ["documents", "edge"])
 def test_packing(spark, request, name):
     docs, tok = request.getfixturevalue(name), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     texts = defaultdict(list)
     for d, t in rows_of(docs):
@@ -387,6 +411,30 @@ def test_packing_plan_serves_every_piece():
     assert packing.plan({}) == []
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_packing_goes_through_the_program(times):
+    """At least nine of ten pieces are placed by rounded patterns, and hardly any room is lost."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE doc_id % 4 = 0").fetchall()
+    encode, histogram = CachedEncoder(path, "byte"), Counter()
+    for at in range(0, len(texts), 256):
+        for raw in encode([t for (t,) in texts[at : at + 256]]):
+            n = len(raw) // 4 + 1
+            histogram[n % 2048] += times
+            histogram[2048] += n // 2048 * times
+    histogram.pop(0, None)
+    short = {n: c for n, c in histogram.items() if n < 2048}
+    patterns, left = packing.rounded(short)
+    assert sum(left.values()) <= 0.1 * sum(short.values())
+    served = Counter(left)
+    for pattern, k in patterns.items():
+        assert sum(pattern) <= 2048
+        for n in pattern:
+            served[n] += k
+    assert served == short
+    assert sum(k for _, k in packing.plan(histogram)) <= 1.002 * sum(n * c for n, c in histogram.items()) / 2048 + 2
+
+
 # 9, 10
 
 
