@@ -1,9 +1,16 @@
-"""A bigram language model in a log-frequency Bloom filter, built by Spark; texts meet it by broadcast or, beyond its bounds, by shuffle."""
+"""A bigram language model in a log-frequency Bloom filter, built by Spark; texts meet it by broadcast or, beyond its bound, by shuffle.
+
+Texts come in blocks. A block asks for each of its distinct tokens and bigrams once, in hash order, and tells how
+often its training texts hold them. Asks are dealt into buckets by the hash's highest bits. A bucket sums the
+counts, fills its own part of the filter and answers with levels that repeated membership probes of it find. Only
+the answers, a byte an n-gram, go back to the blocks. Every n-gram of the training texts is in the filter: what
+travels and what is kept grow with the corpus, and no task holds more than a bucket or a block.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,23 +18,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import chunks, mix64, ngram_hashes, stored, text_buffer, word_hashes, work_dir
+from lodestrata.llm.common import chunks, mix64, ngram_hashes, stored, text_buffer, tidy, word_hashes, work_dir
 
 END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 #: A count c is stored as the level 1 + floor(log(c) / log(BASE)).
 BASE = 1.2
 PROBES, BITS_AN_ENTRY = 6, 10
-SEGMENT_BITS = 1 << 19
-#: A filter of up to this many segments of 64 KB (64 MB) is broadcast; a larger one stays a table of segments on shared storage.
-BROADCAST_SEGMENTS = 1 << 10
-BUCKETS = 1 << 12
-#: Word counts are broadcast up to this many words (12 bytes each); beyond it they are joined by shuffle.
-BROADCAST_WORDS = 8_000_000
 #: Weight of the unigram distribution in a bigram's.
 MU = 1000.0
-BLOCK_TOKENS = 2_000_000
-#: Text of a block that meets its n-grams' levels by shuffle, where the filter isn't broadcast.
-BLOCK_BYTES = 8 << 20
+#: Text of a block, and of the corpus for each bucket of the filter.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+#: A corpus of up to this much text has its filter broadcast. A token is 2 bytes or more and its two n-grams cost at
+#: most 2.4 entries for each occurrence, so such a filter has at most 96 MB; on prose it has about 6.
+BROADCAST_TEXT = 32 << 20
+ASKS = "bucket long, block long, n tinyint, h binary, c binary"
+ANSWERS = "block long, bucket long, n tinyint, q binary, c binary, tokens long, distinct long, texts long"
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -57,327 +62,283 @@ def _pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return ngram_hashes(both, 2)[::2]
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """order (1 or 2), bucket, hash and count of every token and bigram of docs (text), counted over all of them.
-
-    A task sums blocks of tokens before anything is shuffled, so a frequent n-gram travels once a block. Rows
-    are dealt by bucket, the hash's highest bits, which also choose the filter's segment.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for order in (1, 2):
-                if held[order - 1]:
-                    h, c = np.unique(np.concatenate(held[order - 1]), return_counts=True)
-                    held[order - 1].clear()
-                    for at in range(0, len(h), 50_000):
-                        x = h[at : at + 50_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(x), order, np.int8)), pa.array((x >> np.uint64(52)).astype(np.int16)), pa.array(x.view(np.int64)), pa.array(c[at : at + 50_000].astype(np.int32))],
-                            ["n", "bucket", "h", "c"],
-                        )
+def lower_count(level: np.ndarray) -> np.ndarray:
+    """The smallest count of a level; 0 for level 0."""
+    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
 
-        for batch in batches:
-            for part in chunks(batch):
-                tokens, begins = _tokens(part)
-                held[0].append(tokens)
-                held[1].append(_pairs(_contexts(tokens, begins), tokens))
-                size += len(tokens)
-                if size >= BLOCK_TOKENS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
 
-    rows = docs.select("text").mapInArrow(run, "n tinyint, bucket smallint, h long, c int")
-    return rows.repartition("bucket").groupBy("bucket", "n", "h").agg(F.sum("c").alias("c"))
+def level_of(count: np.ndarray) -> np.ndarray:
+    """Level of each count; 0 for none."""
+    return np.where(count > 0, np.floor(np.log(np.maximum(count, 1)) / np.log(BASE) + 1e-9).astype(np.int64) + 1, 0)
 
 
 @dataclass
 class LogBloom:
     """Log-frequency Bloom filter: an n-gram of level q is inserted as (hash, 1) to (hash, q)."""
 
-    segments: int
+    size: int
     bits: np.ndarray
 
-    @staticmethod
-    def segment(h: np.ndarray, segments: int) -> np.ndarray:
-        """The segment that the hash's highest bits name."""
-        return h >> np.uint64(64 - (segments.bit_length() - 1)) if segments > 1 else np.zeros_like(h)
+    @classmethod
+    def of(cls, h: np.ndarray, level: np.ndarray, bits_an_entry: int = BITS_AN_ENTRY) -> LogBloom:
+        """A filter sized by its entries."""
+        size = max(64, -(-int(level.sum()) * bits_an_entry // 64) * 64)
+        held = np.zeros(size, bool)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            for k in range(PROBES):
+                held[cls.places(h[level >= j], j, size, k)] = True
+        return cls(size, np.packbits(held, bitorder="little"))
 
     @staticmethod
-    def places(h: np.ndarray, level: int, segments: int) -> np.ndarray:
-        """Bit positions (n x PROBES), all in the hash's segment."""
+    def places(h: np.ndarray, level: int, size: int, probe: int) -> np.ndarray:
         g = mix64(h ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        first, step = g & np.uint64(SEGMENT_BITS - 1), (g >> np.uint64(32)) | np.uint64(1)
-        inside = (first[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(SEGMENT_BITS - 1)
-        return LogBloom.segment(h, segments)[:, None] * np.uint64(SEGMENT_BITS) + inside
-
-    def holds(self, h: np.ndarray, level: int) -> np.ndarray:
-        p = self.places(h, level, self.segments).astype(np.int64)
-        found = (self.bits[p[:, 0] >> 3] >> (p[:, 0] & 7).astype(np.uint8)) & 1
-        alive = np.flatnonzero(found)
-        for k in range(1, PROBES):
-            q = p[alive, k]
-            alive = alive[((self.bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1) == 1]
-        out = np.zeros(len(h), bool)
-        out[alive] = True
-        return out
+        return ((g + np.uint64(probe) * ((g >> np.uint64(32)) | np.uint64(1))) % np.uint64(size)).astype(np.int64)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram by repeated probes: the last before the first miss; 0: never seen."""
-        out = np.zeros(len(h), np.int64)
+        out = np.zeros(len(h), np.uint8)
         alive, level = np.arange(len(h)), 1
-        while len(alive):
-            alive = alive[self.holds(h[alive], level)]
+        while len(alive) and level < 256:
+            for k in range(PROBES):
+                p = self.places(h[alive], level, self.size, k)
+                alive = alive[((self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1) == 1]
             out[alive] = level
             level += 1
         return out
 
 
-def lower_count(level: np.ndarray) -> np.ndarray:
-    """The smallest count of a level; 0 for level 0."""
-    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that the hash's highest bits name (buckets: a power of two)."""
+    return (h >> np.uint64(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
 
 
-@dataclass
-class StoredBloom:
-    """The same filter as a table on shared storage: segment and bits. Rows of one segment are or-ed."""
+def blocks_of(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """rows (with text) plus block: runs of rows of about `size` bytes of text, at least one row each."""
 
-    segments: int
-    table: DataFrame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in chunks(batch):
+                held += len(text_buffer(part.column(part.schema.get_field_index("text")))[0])
+                yield part.append_column("block", pa.array(np.full(part.num_rows, block, np.int64)))
+                if held >= size:
+                    block, held = block + 1, 0
 
-    def levels(self, probes: DataFrame) -> DataFrame:
-        """probes (block, segment, h) as block, h and level q; each segment's probes meet its bits in one task."""
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", block long")
 
-        def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            h = left.column("h").to_numpy().view(np.uint64)
-            level = np.zeros(len(h), np.int64)
-            if right.num_rows and len(h):
-                bits = np.zeros(SEGMENT_BITS // 8, np.uint8)
-                for b in right.column("bits"):
-                    bits |= np.frombuffer(b.as_py(), np.uint8)
-                words, back = np.unique(h, return_inverse=True)
-                level = LogBloom(1, bits).levels(words)[back]
-            return pa.table({"block": left.column("block"), "h": left.column("h"), "q": pa.array(level.astype(np.int16))})
 
-        return probes.groupBy("segment").cogroup(self.table.groupBy("segment")).applyInArrow(look, "block long, h long, q smallint")
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of (hashes, weights) in order, the sums of their weights, and where each one is among them."""
+    h = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+    u, back = np.unique(h, return_inverse=True)
+    w = np.concatenate([y for _, y in parts]) if parts else np.zeros(0)
+    return u, np.rint(np.bincount(back, w, len(u))).astype(np.int64), back
 
 
-@dataclass
-class Known:
-    """Levels of all n-grams of one block, sorted by hash."""
+def _packed(c: np.ndarray) -> bytes:
+    """Counts in one byte each where all fit, else in eight."""
+    return c.astype(np.uint8 if not len(c) or c.max() < 256 else "<i8").tobytes()
 
-    h: np.ndarray
-    q: np.ndarray
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        return self.q[np.searchsorted(self.h, h)]
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else "<i8").astype(np.int64)
 
 
-def build(counts: DataFrame, min_count: int = 1, broadcast_segments: int = BROADCAST_SEGMENTS) -> LogBloom | StoredBloom:
-    """Fills the filter, a group of segments in each task. Its size follows the number of entries, whatever that is.
+def asks_of(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Of each block and bucket, the distinct token (n 1) and bigram (n 2) hashes in order and their counts in training texts.
 
-    Up to broadcast_segments the segments come to the driver, which broadcasts them; more stay on shared storage.
+    blocks: text, block, train; a block's rows follow each other.
     """
-    level = (F.floor(F.log(F.col("c").cast("double")) / float(np.log(BASE)) + 1e-9) + 1).cast("int")
-    leveled = counts.where((F.col("n") == 1) | (F.col("c") >= min_count)).withColumn("q", level)
-    entries = leveled.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
-    segments = 1
-    while segments * SEGMENT_BITS < entries * BITS_AN_ENTRY:
-        segments *= 2
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A task holds only the segments of its buckets; slot tells where each one is.
-        size, slot, held = SEGMENT_BITS // 8, {}, np.zeros(0, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for n in (1, 2):
+                u, c, _ = _distinct(held[n - 1])
+                held[n - 1].clear()
+                named, at = np.unique(bucket_of(u, buckets), return_index=True)
+                cuts = [*at.tolist(), len(u)]
+                for lo in range(0, len(named), 256):
+                    part = range(lo, min(lo + 256, len(named)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(named[part.start : part.stop]), pa.array([now] * len(part), pa.int64()), pa.array([n] * len(part), pa.int8()), pa.array([u[cuts[i] : cuts[i + 1]].tobytes() for i in part], pa.binary()), pa.array([_packed(c[cuts[i] : cuts[i + 1]]) for i in part], pa.binary())],
+                        ["bucket", "block", "n", "h", "c"],
+                    )
+
         for batch in batches:
-            h, q = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
-            named, at = np.unique(LogBloom.segment(h, segments), return_inverse=True)
-            for s in named.tolist():
-                slot.setdefault(s, len(slot))
-            if len(slot) * size > len(held):
-                held = np.concatenate([held, np.zeros(max(len(held), len(slot) * size - len(held)), np.uint8)])
-            base = np.array([slot[s] * SEGMENT_BITS for s in named.tolist()], np.uint64)[at]
-            for j in range(1, int(q.max(initial=0)) + 1):
-                more = q >= j
-                p = (LogBloom.places(h[more], j, 1) + base[more][:, None]).ravel()
-                np.bitwise_or.at(held, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-        for s, k in slot.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held[k * size : (k + 1) * size].tobytes()], pa.binary())], ["segment", "bits"])
-
-    filled = leveled.repartition("bucket").select("h", "q").mapInArrow(fill, "segment int, bits binary")
-    if segments > broadcast_segments:
-        return StoredBloom(segments, stored(filled, work_dir(counts.sparkSession, "lm") + "/segments"))
-    whole = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    size = SEGMENT_BITS // 8
-    for r in filled.toLocalIterator():
-        whole[r["segment"] * size : (r["segment"] + 1) * size] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return LogBloom(segments, whole)
+            keys = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for part in chunks(batch.slice(a, b - a)):
+                    if keys[a] != now and now is not None:
+                        yield from flush()
+                    now = int(keys[a])
+                    tokens, begins = _tokens(part)
+                    train = np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(float), np.diff(begins))
+                    held[0].append((tokens, train))
+                    held[1].append((_pairs(_contexts(tokens, begins), tokens), train))
+        if now is not None:
+            yield from flush()
+
+    return blocks.select("text", "block", "train").mapInArrow(run, ASKS)
+
+
+def _filled(asks: pa.Table, bits_an_entry: int) -> tuple[LogBloom, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A bucket's filter; its distinct hashes, their counts and which of them are tokens; where each asked hash is, and where each ask ends."""
+    hs = [np.frombuffer(x.as_py(), "<u8") for x in asks.column("h")]
+    cs = [_unpacked(x.as_py(), len(h)) for x, h in zip(asks.column("c"), hs, strict=True)]
+    ends = np.cumsum([len(h) for h in hs]).tolist()
+    u, c, back = _distinct(list(zip(hs, cs, strict=True)))
+    token = np.zeros(len(u), bool)
+    token[back[np.repeat(asks.column("n").to_numpy() == 1, [len(h) for h in hs])]] = True
+    return LogBloom.of(u, level_of(c), bits_an_entry), u, c, token, back, ends
+
+
+def answers_of(asks: DataFrame, bits_an_entry: int = BITS_AN_ENTRY) -> DataFrame:
+    """Levels (q, a byte each) of what each block asked a bucket, exact counts (c) of tokens, and a row of totals for each bucket."""
+
+    def run(part: pa.Table) -> pa.Table:
+        bloom, u, c, token, back, ends = _filled(part, bits_an_entry)
+        level, n = bloom.levels(u), part.column("n").to_pylist()
+        begins = [0, *ends[:-1]]
+        q = [level[back[a:b]].tobytes() for a, b in zip(begins, ends, strict=True)]
+        exact = [_packed(c[back[a:b]]) if k == 1 else None for k, a, b in zip(n, begins, ends, strict=True)]
+        k = len(n)
+        none = [None] * k
+        own = c[token]
+        return pa.table(
+            {
+                "block": pa.array([*part.column("block").to_pylist(), None], pa.int64()),
+                "bucket": pa.array([*part.column("bucket").to_pylist(), None], pa.int64()),
+                "n": pa.array([*n, 0], pa.int8()),
+                "q": pa.array([*q, None], pa.binary()),
+                "c": pa.array([*exact, None], pa.binary()),
+                "tokens": pa.array([*none, int(own.sum())], pa.int64()),
+                "distinct": pa.array([*none, int((own > 0).sum())], pa.int64()),
+                "texts": pa.array([*none, int(own[u[token] == END].sum())], pa.int64()),
+            }
+        )
+
+    return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
 @dataclass
 class Model:
-    bloom: LogBloom | StoredBloom | Known | None
+    """Totals of the training texts: tokens, distinct tokens and texts."""
+
     tokens: int
     distinct: int
     texts: int
 
-    def log10(self, before: np.ndarray, tokens: np.ndarray, mu: float = MU) -> np.ndarray:
-        """log10 of each token's smoothed probability after the one before it.
+    def log10(self, before: np.ndarray, own: np.ndarray, context: np.ndarray, pair: np.ndarray, mu: float = MU) -> np.ndarray:
+        """log10 of each token's smoothed probability after the one before it, from levels.
 
         Contexts count at their level's upper end and tokens at the lower, so the distribution sums to at most
         1 up to the filter's false positives.
         """
-        words, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        level = self.bloom.levels(words)[back]
-        own, context = lower_count(level[: len(tokens)]), BASE ** level[len(tokens) :]
-        context = np.where(before == START, self.texts, np.where(level[len(tokens) :] > 0, context, 0.0))
-        pairs, back = np.unique(_pairs(before, tokens), return_inverse=True)
-        both = np.minimum(lower_count(self.bloom.levels(pairs))[back], np.minimum(context, np.maximum(own, 1.0) * BASE))
-        p1 = (own + 1) / (self.tokens + self.distinct + 1)
-        return np.log10((both + mu * p1) / (context + mu))
-
-
-def fit(spark: SparkSession, docs: DataFrame, min_count: int = 1, broadcast_segments: int = BROADCAST_SEGMENTS) -> tuple[Model, DataFrame]:
-    """The model of docs (text), and the exact count of each of their tokens (h, c)."""
-    counts = ngram_counts(docs).where((F.col("n") == 1) | (F.col("c") >= min_count))
-    counts = stored(counts, work_dir(spark, "lm") + "/counts")
-    words = counts.where("n = 1").select("h", "c")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("texts")).first()
-    return Model(build(counts, min_count, broadcast_segments), int(total["n"]), int(total["v"]), int(total["texts"])), words
-
-
-def blocks_of(rows: DataFrame) -> DataFrame:
-    """rows (with text) plus block: runs of rows of about BLOCK_BYTES of text, at least one row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for part in chunks(batch):
-                size += len(text_buffer(part.column(part.schema.get_field_index("text")))[0])
-                yield part.append_column("block", pa.array(np.full(part.num_rows, block, np.int64)))
-                if size >= BLOCK_BYTES:
-                    block, size = block + 1, 0
-
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", block long")
-
-
-def probes_of(blocks: DataFrame, segments: int) -> DataFrame:
-    """block, segment and h of the n-grams that scoring a block's texts asks for, each about once a block."""
+        count = lower_count(own)
+        upper = np.where(before == START, self.texts, np.where(context > 0, BASE ** context.astype(float), 0.0))
+        both = np.minimum(lower_count(pair), np.minimum(upper, np.maximum(count, 1.0) * BASE))
+        p1 = (count + 1) / (self.tokens + self.distinct + 1)
+        return np.log10((both + mu * p1) / (upper + mu))
+
+    def scores(self, part: pa.RecordBatch, words: np.ndarray, word_level: np.ndarray, word_count: np.ndarray, pairs: np.ndarray, pair_level: np.ndarray) -> pa.RecordBatch:
+        """Scores of a chunk (doc_id, text) by tables of the n-grams that it holds, each in hash order."""
+        tokens, begins = _tokens(part)
+        before = _contexts(tokens, begins)
+        at, back = np.searchsorted(words, tokens), np.searchsorted(words, np.where(before == START, tokens, before))
+        values = self.log10(before, word_level[at], word_level[back], pair_level[np.searchsorted(pairs, _pairs(before, tokens))])
+        c, first = word_count[at], begins[:-1]
+        base = np.log10((c + 1.0) / (self.tokens + self.distinct + 1))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(np.diff(begins)), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(values, first))],
+            ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        at, size = None, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            held.clear()
-            for k in range(0, len(h), 50_000):
-                x = h[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at, np.int64)), pa.array(LogBloom.segment(x, segments).astype(np.int32)), pa.array(x.view(np.int64))], ["block", "segment", "h"])
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-        for batch in batches:
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                for part in chunks(batch.slice(a, b - a)):
-                    if keys[a] != at or size >= BLOCK_TOKENS:
-                        yield from flush()
-                        at, size = keys[a], 0
-                    tokens, begins = _tokens(part)
-                    before = _contexts(tokens, begins)
-                    held += [np.unique(np.concatenate([tokens, before])), np.unique(_pairs(before, tokens))]
-                    size += len(tokens)
-        yield from flush()
 
-    return blocks.select("text", "block").mapInArrow(run, "block long, segment int, h long")
+def _model(totals: DataFrame) -> Model:
+    row = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "texts"))).first()
+    return Model(int(row["tokens"]), int(row["distinct"]), int(row["texts"]))
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of docs (doc_id, text).
+def dealt_scores(blocks: DataFrame, buckets: int, folder: str, bits_an_entry: int = BITS_AN_ENTRY) -> tuple[DataFrame, Model]:
+    """Scores of all blocks from the buckets' answers, which meet their block's texts by shuffle."""
+    answers = stored(answers_of(asks_of(blocks, buckets), bits_an_entry), folder + "/answers")
+    model = _model(answers.where("n = 0"))
 
-    A null or empty text is its end alone. The base score needs exact counts: a bounded table of them is
-    broadcast; a larger one meets the tokens of each text by shuffle. A filter that isn't broadcast gives each
-    block of texts the levels of its n-grams, with the same scores.
-    """
-    sc = docs.sparkSession.sparkContext
-    wide = model.distinct > broadcast_words
-    table = None
-    if not wide:
-        got = words.toArrow()
-        h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
-        order = np.argsort(h)
-        table = (h[order], np.minimum(c[order], (1 << 31) - 1).astype(np.int32) if len(c) and c.max() < 1 << 31 else c[order])
-        del got, h, c, order
-    dealt = isinstance(model.bloom, StoredBloom)
-    shared = sc.broadcast((replace(model, bloom=None) if dealt else model, table))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if wide:
-        # Equal rows have equal scores, so the key of a row may be that of its content.
-        rows = rows.select("doc_id", "text", F.xxhash64("text").alias("t"))
-
-    def scores(part: pa.RecordBatch, model: Model, table: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
-        low = float(np.log10(1 / (model.tokens + model.distinct + 1)))
-        tokens, begins = _tokens(part)
-        at = begins[:-1]
-        values = model.log10(_contexts(tokens, begins), tokens)
-        known, base = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-        if table is not None and len(table[0]):
-            u, back = np.unique(tokens, return_inverse=True)
-            k = np.minimum(np.searchsorted(table[0], u), len(table[0]) - 1)
-            c = np.where(table[0][k] == u, table[1][k], 0)
-            known, base = (c > 0)[back].astype(np.int64), np.log10(c + 1.0)[back]
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(np.diff(begins)), pa.array(np.add.reduceat(known, at)), pa.array(np.add.reduceat(base, at) + low * np.diff(begins)), pa.array(np.add.reduceat(values, at)), *part.columns[2:]],
-            ["doc_id", "n_tokens", "n_known", "base_score", "score", *part.schema.names[2:]],
-        )
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by([("n", "ascending"), ("bucket", "ascending")])
+        n = told.column("n").to_numpy()
+        q = [np.frombuffer(x, np.uint8) for x in told.column("q").to_pylist()]
+        level = [np.concatenate([x for x, k in zip(q, n, strict=True) if k == order]) for order in (1, 2)]
+        count = np.concatenate([_unpacked(x, len(y)) for x, y, k in zip(told.column("c").to_pylist(), q, n, strict=True) if k == 1])
+        parts = [part for batch in texts.select(["doc_id", "text"]).combine_chunks().to_batches() for part in chunks(batch)]
+        held: list[list[np.ndarray]] = [[], []]
+        for part in parts:
+            tokens, begins = _tokens(part)
+            held[0].append(np.unique(tokens))
+            held[1].append(np.unique(_pairs(_contexts(tokens, begins), tokens)))
+        words, pairs = (np.unique(np.concatenate(x)) for x in held)
+        return pa.Table.from_batches([model.scores(part, words, level[0], count, pairs, level[1]) for part in parts])
+
+    told = answers.where("n > 0").select("block", "bucket", "n", "q", "c")
+    return blocks.select("doc_id", "text", "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORES), model
+
+
+def broadcast_scores(blocks: DataFrame, buckets: int, bits_an_entry: int = BITS_AN_ENTRY) -> tuple[DataFrame, Model]:
+    """Scores by a filter that every worker holds, for a corpus whose text is bounded by BROADCAST_TEXT."""
+
+    def fill(part: pa.Table) -> pa.Table:
+        bloom, u, c, token, _, _ = _filled(part, bits_an_entry)
+        known = token & (c > 0)
+        own = {"tokens": c[known].sum(), "distinct": known.sum(), "texts": c[known & (u == END)].sum()}
+        return pa.table({"bucket": part.column("bucket").slice(0, 1), "bits": [bloom.bits.tobytes()], "h": [u[known].tobytes()], "c": [c[known].astype("<i8").tobytes()], **{k: pa.array([int(v)], pa.int64()) for k, v in own.items()}})
+
+    got = asks_of(blocks, buckets).groupBy("bucket").applyInArrow(fill, "bucket long, bits binary, h binary, c binary, tokens long, distinct long, texts long").orderBy("bucket").collect()
+    model = Model(*(sum(r[k] for r in got) for k in ("tokens", "distinct", "texts")))
+    blooms = {r["bucket"]: LogBloom(8 * len(r["bits"]), np.frombuffer(bytes(r["bits"]), np.uint8)) for r in got}
+    words = np.frombuffer(b"".join(bytes(r["h"]) for r in got), "<u8")
+    counts = np.frombuffer(b"".join(bytes(r["c"]) for r in got), "<i8")
+    shared = blocks.sparkSession.sparkContext.broadcast((blooms, words, counts))
+
+    def levels(blooms: dict[int, LogBloom], u: np.ndarray) -> np.ndarray:
+        named, at = np.unique(bucket_of(u, buckets), return_index=True)
+        cuts = [*at.tolist(), len(u)]
+        return np.concatenate([blooms[int(b)].levels(u[cuts[i] : cuts[i + 1]]) for i, b in enumerate(named)]) if len(u) else np.zeros(0, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
-        for batch in batches:
-            for part in chunks(batch):
-                yield scores(part, model, table)
-
-    def run_block(key: tuple, texts: pa.Table, levels: pa.Table) -> pa.Table:
-        model, table = shared.value
-        h, first = np.unique(levels.column("h").to_numpy().view(np.uint64), return_index=True)
-        model = replace(model, bloom=Known(h, levels.column("q").to_numpy()[first].astype(np.int64)))
-        parts = [scores(part, model, table) for batch in texts.drop_columns(["block"]).to_batches() for part in chunks(batch)]
-        return pa.Table.from_batches(parts)
-
-    types = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    every = types + ", t long" if wide else types
-    if dealt:
-        blocks = stored(blocks_of(rows), work_dir(docs.sparkSession, "lm") + "/blocks")
-        levels = model.bloom.levels(probes_of(blocks, model.bloom.segments))
-        scored = blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(run_block, every)
-    else:
-        scored = rows.mapInArrow(run, every)
-    if not wide:
-        return scored
-    scored = scored.drop("n_known", "base_score")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blooms, words, counts = shared.value
         for batch in batches:
             for part in chunks(batch):
                 tokens, begins = _tokens(part)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                for i in range(len(begins) - 1):
-                    h, n = np.unique(tokens[begins[i] : begins[i + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), keys[i], np.int64)), pa.array(h.view(np.int64)), pa.array(n)], ["t", "h", "k"])
+                u, pairs = np.unique(tokens), np.unique(_pairs(_contexts(tokens, begins), tokens))
+                k = np.minimum(np.searchsorted(words, u), max(0, len(words) - 1))
+                count = np.where(words[k] == u, counts[k], 0) if len(words) else np.zeros(len(u), np.int64)
+                yield model.scores(part, u, levels(blooms, u), count, pairs, levels(blooms, pairs))
+
+    return blocks.select("doc_id", "text").mapInArrow(run, SCORES), model
 
-    low = float(np.log10(1 / (model.tokens + model.distinct + 1)))
-    texts = rows.dropDuplicates(["t"]).select("t", "text").mapInArrow(bags, "t long, h long, k long")
-    met = texts.join(words, "h", "left").groupBy("t").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"), F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) + low)).alias("base_score"))
-    return scored.join(met, "t").select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
+def evaluate(spark: SparkSession, docs: DataFrame, broadcast_text: int = BROADCAST_TEXT, bits_an_entry: int = BITS_AN_ENTRY, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Learns from documents whose crc32(doc_id as text) mod 7 is not 2 and scores all (a null doc_id is learned from).
 
-def evaluate(spark: SparkSession, docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, broadcast_segments: int = BROADCAST_SEGMENTS) -> DataFrame:
-    """Learns from documents whose crc32(doc_id as text) mod 7 is not 2 and scores all (a null doc_id is learned from)."""
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. A null or empty text is its
+    end alone, repeated rows count and are scored each, other columns are ignored, no documents give no rows.
+    Scores are the same whether the filter is broadcast or dealt.
+    """
+    folder = work_dir(spark, "lm")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    rows = docs.select("doc_id", "text")
-    model, words = fit(spark, rows.where(~held), broadcast_segments=broadcast_segments)
-    out = score(rows, model, words, broadcast_words)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held).alias("train"))
+    blocks = stored(blocks_of(rows, block_bytes), folder + "/blocks")
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = 1 << max(0, (size // bucket_bytes).bit_length())
+    if size <= broadcast_text:
+        out, model = broadcast_scores(blocks, buckets, bits_an_entry)
+    else:
+        out, model = dealt_scores(blocks, buckets, folder, bits_an_entry)
+    return tidy(out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"), folder)

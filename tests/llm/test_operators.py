@@ -104,64 +104,58 @@ def test_t_occurrence_search():
 # 2
 
 
-@pytest.mark.parametrize("limit", [lm_bloom.BROADCAST_WORDS, 0])
-@pytest.mark.parametrize("name", ["documents", "edge"])
-def test_lm(spark, request, name, limit):
-    docs = request.getfixturevalue(name)
-    rows = rows_of(docs)
+def levels_of(c):
+    return 1 + math.floor(math.log(c) / math.log(lm_bloom.BASE) + 1e-9) if c else 0
+
+
+def lm_scores(rows):
+    """Rows as evaluate() gives them, with exact levels in place of the filter."""
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
-    counts = Counter(w for (_, t), h in zip(rows, held, strict=True) if not h for w in [*words(t), None])
-    n, v = sum(counts.values()), len(counts)
-    want = []
-    for (d, t), h in zip(rows, held, strict=True):
-        tokens = [*words(t), None]
-        want.append((d, h, len(tokens), sum(counts[w] > 0 for w in tokens), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)))
-    out = lm_bloom.evaluate(spark, docs, limit).collect()
-    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in out]
-    for a, b in zip(order(got), order(want), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-6)
-    assert all(r["score"] < 0 for r in out)
-    if name == "documents":
-        assert sum(r["score"] for r in out if r["held_out"]) > sum(r["base_score"] for r in out if r["held_out"])
+    texts = [[*words(t), None] for _, t in rows]
+    counts = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in t)
+    pairs = Counter(p for t, h in zip(texts, held, strict=True) if not h for p in zip([0, *t], t, strict=False))
+    n, v, begun = sum(counts.values()), len(counts), counts[None]
+    least = lambda q: math.ceil(lm_bloom.BASE ** (q - 1) - 1e-9) if q else 0
+    out = []
+    for (d, _), h, t in zip(rows, held, texts, strict=True):
+        score = 0.0
+        for a, w in zip([0, *t], t, strict=False):
+            own, q = least(levels_of(counts[w])), levels_of(counts[a]) if a != 0 else 0
+            context = begun if a == 0 else lm_bloom.BASE**q if q else 0
+            both = min(least(levels_of(pairs[a, w])), context, max(own, 1) * lm_bloom.BASE)
+            score += math.log10((both + lm_bloom.MU * (own + 1) / (n + v + 1)) / (context + lm_bloom.MU))
+        out.append((d, h, len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), score))
+    return out
 
 
 @pytest.mark.parametrize("name", ["documents", "edge"])
-@pytest.mark.parametrize("limit", [lm_bloom.BROADCAST_WORDS, 0])
-def test_lm_with_stored_segments_gives_equal_scores(spark, request, name, limit, monkeypatch):
-    monkeypatch.setattr(lm_bloom, "BLOCK_BYTES", 50_000)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lm(spark, request, name, broadcast):
+    """By broadcast or dealt, over many blocks and buckets, every figure is that of exact levels where the filter is wide."""
     docs = request.getfixturevalue(name)
-    a, b = (order([tuple(r) for r in lm_bloom.evaluate(spark, docs, limit, n).collect()]) for n in (lm_bloom.BROADCAST_SEGMENTS, 0))
-    assert [r[:5] for r in a] == [r[:5] for r in b]
-    assert [r[5:] for r in a] == [pytest.approx(r[5:], rel=1e-12) for r in b]
-
-
-@pytest.mark.parametrize("most", [lm_bloom.BROADCAST_SEGMENTS, 0, 1])
-def test_lm_filter_holds_every_ngram(spark, most):
-    """Every unigram and bigram of the texts, those of count 1 too, has its level, however small the broadcast bound."""
-    text = " ".join(f"a{i} b{i % 5000}" for i in range(20_000))
-    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
-    counts = lm_bloom.ngram_counts(docs)
-    bloom = lm_bloom.build(counts, broadcast_segments=most)
-    rows = counts.collect()
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    if isinstance(bloom, lm_bloom.StoredBloom):
-        probes = spark.createDataFrame([(0, int(s), int(x)) for s, x in zip(lm_bloom.LogBloom.segment(h, bloom.segments), h.view(np.int64), strict=True)], "block long, segment int, h long")
-        level = {r["h"]: r["q"] for r in bloom.levels(probes).collect()}
-    else:
-        level = dict(zip(h.view(np.int64).tolist(), bloom.levels(h).tolist(), strict=True))
-    assert bloom.segments > 1 and any(r["n"] == 2 and r["c"] == 1 for r in rows)
-    assert all(level[r["h"]] >= 1 + math.floor(math.log(r["c"]) / math.log(lm_bloom.BASE) + 1e-9) for r in rows)
-    assert np.mean([level[r["h"]] == 1 + math.floor(math.log(r["c"]) / math.log(lm_bloom.BASE) + 1e-9) for r in rows]) > 0.99
+    want = order(lm_scores(rows_of(docs)))
+    sizes = {"block_bytes": 60_000, "bucket_bytes": 20_000} | ({} if broadcast else {"broadcast_text": 0})
+    for bits in (60, lm_bloom.BITS_AN_ENTRY):
+        got = order(tuple(r) for r in lm_bloom.evaluate(spark, docs, bits_an_entry=bits, **sizes).collect())
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
+        # At ten bits an entry a false positive now and then makes an unseen n-gram look seen once.
+        assert [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-9 if bits == 60 else 0.03)
+    if name == "documents":
+        assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
+
+
+def test_lm_broadcast_and_dealt_scores_are_equal(spark, documents):
+    a, b = (order(tuple(r) for r in lm_bloom.evaluate(spark, documents, n).collect()) for n in (lm_bloom.BROADCAST_TEXT, 0))
+    assert [r[:5] for r in a] == [r[:5] for r in b] and [r[5:] for r in a] == [pytest.approx(r[5:], rel=1e-12) for r in b]
 
 
 def test_log_bloom_levels():
     h = np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64)
-    bloom = lm_bloom.LogBloom(2, np.zeros(lm_bloom.SEGMENT_BITS // 4, np.uint8))
     level = 1 + np.arange(len(h)) % 9
-    for j in range(1, 10):
-        p = lm_bloom.LogBloom.places(h[level >= j], j, 2).ravel()
-        np.bitwise_or.at(bloom.bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-    assert (bloom.levels(h) >= level).all() and (bloom.levels(h) == level).mean() > 0.99
+    bloom = lm_bloom.LogBloom.of(h, level)
+    assert (bloom.levels(h) >= level).all() and (bloom.levels(h) == level).mean() > 0.98
+    assert lm_bloom.level_of(np.array([0, 1, 2, 3, 1000])).tolist() == [levels_of(c) for c in (0, 1, 2, 3, 1000)]
 
 
 # 3
