@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import stages
-from lodestrata.llm.common import stored, work_dir
+from lodestrata.llm.common import drop_dir, stored, work_dir
 
 STAGES = [
     ("quality classifier", stages.quality_filter),
@@ -26,4 +26,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"{folder}/{k}")
+            if k:
+                drop_dir(spark, f"{folder}/{k - 1}")
     return docs

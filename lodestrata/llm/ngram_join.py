@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import chunks, mix64, shingle_set, stored, text_buffer, word_hashes, work_dir
+from lodestrata.llm.common import chunks, mix64, parts_for, shingle_set, stored, text_buffer, tidy, word_hashes, work_dir
 from lodestrata.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -37,6 +37,8 @@ BLOCK_SHINGLES = 2_000_000
 SHORT_LIST, LONG_LIST = 16, 2048
 #: Bits of a small set's parity bitmap; larger sets have the power of two from twice their size.
 BITMAP = 1024
+#: Members of long lists in one task.
+TASK_MEMBERS = 4096
 #: Sets that meet in one task, and blocks beyond which a cluster is contracted first.
 BLOCK, DIRECT_BLOCKS = 256, 6
 #: Identifiers up to this many are broadcast to fetch texts; beyond it they are joined by shuffle.
@@ -298,12 +300,13 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, most: i
     ties = ties.join(lengths, "t")
     over = ties.where(F.col("k") >= most).select("a", "b")
     inside = ties.where(F.col("k") < most)
+    parts = parts_for(pairs.sparkSession, pairs.where("t is not null").count(), TASK_MEMBERS)
     members = inside.select("t", F.col("b").alias("c")).unionByName(inside.select("t", F.col("a").alias("c")).distinct()).join(classes, "c")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(forest_of(part["c"].to_numpy(), part["n"].to_numpy(), [bytes(m) for m in part["m"]], percent), columns=["a", "b"], dtype=np.int64)
 
-    return short.unionByName(members.groupBy("t").applyInPandas(run, "a long, b long")).unionByName(over)
+    return short.unionByName(members.repartition(parts, "t").groupBy("t").applyInPandas(run, "a long, b long")).unionByName(over)
 
 
 class ListIndex:
@@ -388,15 +391,19 @@ def block_links(classes: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, a
     return out
 
 
-def _meet(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links inside each block: rows (cluster, q, i, c, s, asks, answers)."""
+def _meet(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside each block: rows (cluster, q, i, c, asks, answers) meet their sets (c, s).
+
+    Blocks are dealt to as many tasks as there are blocks' worth of rows, whatever the bytes of these short rows say.
+    """
+    parts = parts_for(dealt.sparkSession, dealt.count(), 2 * BLOCK)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.groupby("c", as_index=False, sort=True).agg({"s": "first", "asks": "max", "answers": "max"})
         sets = [np.frombuffer(x, np.uint64) for x in part["s"]]
         return pd.DataFrame(block_links(part["c"].to_numpy(), sets, part["asks"].to_numpy(), part["answers"].to_numpy(), percent), columns=["a", "b"], dtype=np.int64)
 
-    return dealt.groupBy("cluster", "q", "i").applyInPandas(run, "a long, b long")
+    return dealt.join(sets, "c").repartition(parts, "cluster", "q", "i").groupBy("cluster", "q", "i").applyInPandas(run, "a long, b long")
 
 
 def links(spark: SparkSession, sets: DataFrame, clusters: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
@@ -417,7 +424,7 @@ def links(spark: SparkSession, sets: DataFrame, clusters: DataFrame, folder: str
     # Everything in a large cluster asks its block 0, which travels to each of the cluster's tasks.
     first = large.select("cluster", F.col("block").alias("q"), F.lit(0).alias("i"), "c", both.alias("asks"), (F.col("block") == 0).alias("answers"))
     core = large.where("block = 0").select("cluster", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("q"), F.lit(0).alias("i"), "c", F.lit(False).alias("asks"), both.alias("answers"))
-    found = stored(_meet(small.unionByName(first).unionByName(core).join(sets, "c"), percent), folder + "/links")
+    found = stored(_meet(small.unionByName(first).unionByName(core), sets, percent), folder + "/links")
     if large.isEmpty():
         return found
     # Those outside the cluster's largest component then ask all its blocks.
@@ -430,14 +437,19 @@ def links(spark: SparkSession, sets: DataFrame, clusters: DataFrame, folder: str
     asking = outside.select("cluster", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "c", both.alias("asks"), F.lit(False).alias("answers"))
     blocks = outside.select("cluster", F.col("block").alias("q")).distinct()
     answering = named.join(blocks, "cluster").select("cluster", "q", F.col("block").alias("i"), "c", F.lit(False).alias("asks"), both.alias("answers"))
-    more = _meet(asking.unionByName(answering).join(sets, "c"), percent)
+    more = _meet(asking.unionByName(answering), sets, percent)
     return found.unionByName(stored(more, folder + "/more"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for docs (doc_id, text).
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for docs (doc_id, text); see groups()."""
+    return groups(spark, docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, h (the text's hash), n_shingles, root and component_id.
 
-    Two texts link when 100 * common >= percent * union of their shingle sets. A text without words or a null
+    root names the component (null for a text without shingles), component_id is the smallest doc_id in it. Two texts link when 100 * common >= percent * union of their shingle sets. A text without words or a null
     has no shingles and links with nothing. Equal sets are one class from the start, so copies cost one set.
     A null doc_id is kept and never names a component unless all its members lack one. No documents, no rows.
     """
@@ -475,6 +487,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     classes = found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("root", "c").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(named, "root").select("c", "component_id")
-    out = found.where("n > 0").join(classes, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    classes = classes.join(named, "root").select("c", "root", "component_id")
+    n = F.col("n").alias("n_shingles")
+    out = found.where("n > 0").join(classes, "c").select("doc_id", "h", n, "root", "component_id")
+    return tidy(out.unionByName(found.where("n = 0").select("doc_id", "h", n, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))), folder)

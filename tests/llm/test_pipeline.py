@@ -6,7 +6,7 @@ import zlib
 
 import corpus_pipeline
 import pytest
-from lodestrata.llm import quality, queries
+from lodestrata.llm import quality, queries, stages
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +37,32 @@ def test_labelled_clean_documents_stay(spark):
     assert toxic.join(kept, "doc_id").count() <= 0.1 * toxic.count() + 1
 
 
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    """Another text under a copy's doc_id stays, one of equal rows stays, texts without words all stay."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w59", "x"), " ".join(f"o{i}" for i in range(30))
+    rows = [(3, a), (5, near), (5, other), (8, "one text of some words here"), (8, "one text of some words here"), (None, a), (None, "alone without a number it is"), (9, None), (9, None), (10, ""), (2, "  ")]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, __id int, root int")
+    got = stages.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(3, a), (5, other), (8, rows[3][1]), (None, rows[6][1]), (9, None), (9, None), (10, ""), (2, "  ")], key=str)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_edge_and_empty_tables(spark, edge, edge_rows, empty, k):
+    """Nulls, repeated rows, clashing columns and no rows at all, in each stage."""
+    stage = corpus_pipeline.STAGES[k][1]
+    extra = edge.select("*", *(F.lit(1).alias(c) for c in ("n", "h", "root", "hits", "n_lines", "p_low", "keep", "length", "__row", "__id", "component_id")))
+    out = stage(spark, extra, SF)
+    if k < 4:
+        assert out.columns == extra.columns
+        assert out.count() <= len(edge_rows)
+    else:
+        assert out.count() >= len(edge_rows)
+    assert stage(spark, empty, SF).count() == 0
+
+
 def test_held_out_flags(spark):
     for r in queries.op9_language_id(spark, SF).limit(50).collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
