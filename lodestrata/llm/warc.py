@@ -2,8 +2,10 @@
 
 Pages become WARC shards (a gzip member for each record, as usual for .warc.gz). The index of the primary names
 each record's offset range. A replica is a byte-identical copy, so its bytes at the same ranges must hash alike:
-the leaves of a shard's tree are hashes of its records' ranges, in order, and a node covers FANOUT ordered
-ranges below it. Roots are compared by shard; only children of nodes that differ are looked at, down to records.
+a leaf hashes its place, its offset range and the bytes there, a node its place, the range that it covers and its
+FANOUT ordered children, and a shard's root the top node and the file's size. Roots are compared by shard; only
+children of nodes that differ are looked at, down to records. Bytes beyond the last record change the size and so
+the root alone; files that the index doesn't name have no root to compare with. Both are reported beside records.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import file_system, stored, task_name, work_dir
+from lodestrata.llm.common import file_system, parts_for, stored, task_name, tidy, work_dir
 
 FANOUT = 16
 #: Leaves that one task hashes into a subtree of three levels.
 SUBTREE, SUBTREE_LEVELS = FANOUT**3, 3
 SHARD_BYTES = 32 << 20
+#: Bytes of shards that one task copies or hashes.
+TASK_BYTES = 16 << 20
 #: Differing nodes up to this many are broadcast to the next level; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 INDEX = "shard string, seq long, key string, offset long, length long"
@@ -96,7 +100,7 @@ def replicate(index: DataFrame, source: str, target: str, damage: Column | None
     damage: for drills, a condition on index rows; one byte in the middle of such a record is flipped.
     """
     hurt = F.lit(False) if damage is None else F.coalesce(damage, F.lit(False))
-    shards = index.groupBy("shard").agg(F.max(F.col("offset") + F.col("length")).alias("size"), F.collect_list(F.when(hurt, F.col("offset") + F.col("length").cast("long") / F.lit(2)).cast("long")).alias("flips"))
+    shards = index.repartition(_tasks(index), "shard").groupBy("shard").agg(F.max(F.col("offset") + F.col("length")).alias("size"), F.collect_list(F.when(hurt, F.col("offset") + F.col("length").cast("long") / F.lit(2)).cast("long")).alias("flips"))
 
     def copy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (fs, path), (to_fs, to) = file_system(source), file_system(target)
@@ -118,8 +122,26 @@ def replicate(index: DataFrame, source: str, target: str, damage: Column | None
     return shards.mapInPandas(copy, "shard string, bytes long")
 
 
-def _above(hashes: list[str]) -> str:
-    return hashlib.sha256("".join(hashes).encode()).hexdigest()
+def _leaf(shard: str, seq: int, at: int, end: int, raw: bytes) -> str:
+    return hashlib.sha256(f"{shard}|{seq}|{at}|{end}|".encode() + raw).hexdigest()
+
+
+def _node(level: int, idx: int, first: int, last: int, hashes: list[str]) -> str:
+    return hashlib.sha256(f"{level}|{idx}|{first}|{last}|{''.join(hashes)}".encode()).hexdigest()
+
+
+def _tasks(index: DataFrame) -> int:
+    """Tasks that the bytes of the shards ask for; the index itself is too small to tell."""
+    return parts_for(index.sparkSession, index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], TASK_BYTES)
+
+
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """shard and size of the files that a folder holds now; their content is not read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "shard string, size long")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return found.select(F.substring_index("path", "/", -1).alias("shard"), F.col("length").alias("size"))
 
 
 def hash_tree(index: DataFrame, folder: str, parse: bool = False) -> DataFrame:
@@ -144,7 +166,7 @@ def hash_tree(index: DataFrame, folder: str, parse: bool = False) -> DataFrame:
                 groups: dict[int, list[tuple]] = {}
                 for x in now:
                     groups.setdefault(x[0] // FANOUT, []).append(x)
-                now = [(i, g[0][1], g[-1][2], _above([x[3] for x in g])) for i, g in groups.items()]
+                now = [(i, g[0][1], g[-1][2], _node(level, i, g[0][1], g[-1][2], [x[3] for x in g])) for i, g in groups.items()]
                 rows += [(level, shard, *x, None, None) for x in now]
             return pd.DataFrame(rows, columns=["level", "shard", "idx", "first", "last", "hash", "n_bytes", "payload_sha256"]).astype({"n_bytes": "Int64"})
 
@@ -170,13 +192,13 @@ def hash_tree(index: DataFrame, folder: str, parse: bool = False) -> DataFrame:
                         n, digest = len(body), hashlib.sha256(body).hexdigest()
                     except ValueError:
                         pass
-                leaves.append((shard, seq, at, at + length, hashlib.sha256(raw).hexdigest(), n, digest))
+                leaves.append((shard, seq, at, at + length, _leaf(shard, seq, at, at + length, raw), n, digest))
         if leaves:
             yield subtree()
         if state["file"] is not None:
             state["file"].close()
 
-    dealt = index.select("shard", "seq", "offset", "length", F.floor(F.col("seq") / SUBTREE).alias("part")).repartition("shard", "part").sortWithinPartitions("shard", "seq")
+    dealt = index.select("shard", "seq", "offset", "length", F.floor(F.col("seq") / SUBTREE).alias("part")).repartition(_tasks(index), "shard", "part").sortWithinPartitions("shard", "seq")
     return dealt.select("shard", "seq", "offset", "length").mapInPandas(run, NODES)
 
 
@@ -184,18 +206,28 @@ def climb(nodes: DataFrame, top: int) -> list[DataFrame]:
     """The levels above the subtrees, up to `top`, by grouped aggregation."""
     out, now = [], nodes.where(F.col("level") == SUBTREE_LEVELS)
     for level in range(SUBTREE_LEVELS + 1, top + 1):
-        kids = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"])
-        now = now.groupBy("shard", F.floor(F.col("idx") / FANOUT).alias("up")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(kids, ""), 256).alias("hash"))
-        now = now.select(F.lit(level).alias("level"), "shard", F.col("up").alias("idx"), "first", "last", "hash", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("payload_sha256"))
+        kids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]), "")
+        now = now.groupBy("shard", F.floor(F.col("idx") / FANOUT).alias("up")).agg(F.min("first").alias("first"), F.max("last").alias("last"), kids.alias("kids"))
+        digest = F.sha2(F.concat_ws("|", F.lit(str(level)), F.col("up").cast("string"), F.col("first").cast("string"), F.col("last").cast("string"), "kids"), 256)
+        now = now.select("shard", F.col("up").alias("idx"), "first", "last", digest.alias("hash"))
         out.append(now)
     return out
 
 
 def stored_tree(index: DataFrame, replica: str, folder: str, top: int, parse: bool = False) -> list[DataFrame]:
-    """A replica's tree as one stored table a level, root first."""
-    low = stored(hash_tree(index, replica, parse), folder + "/low")
-    high = [stored(x, f"{folder}/{SUBTREE_LEVELS + 1 + k}") for k, x in enumerate(climb(low, top))]
-    return [*reversed(high), *(low.where(F.col("level") == k) for k in range(SUBTREE_LEVELS, -1, -1))]
+    """A replica's tree as one stored table a level, root first; the roots hash the top nodes and the files' sizes.
+
+    Levels are folders of their own, so a comparison reads no level that it doesn't reach.
+    """
+    spark = index.sparkSession
+    hash_tree(index, replica, parse).write.partitionBy("level").parquet(folder + "/low")
+    schema = ", ".join(c for c in NODES.split(", ") if not c.startswith("level "))
+    low = [spark.read.schema(schema).parquet(f"{folder}/low/level={k}") for k in range(SUBTREE_LEVELS + 1)]
+    high = [stored(x, f"{folder}/{SUBTREE_LEVELS + 1 + k}") for k, x in enumerate(climb(low[-1].withColumn("level", F.lit(SUBTREE_LEVELS)), top))]
+    head = (high or low)[-1].select("shard", "idx", "hash")
+    sized = head.join(files_of(spark, replica), "shard", "left")
+    roots = sized.select("shard", "idx", F.sha2(F.concat_ws("|", "hash", F.coalesce(F.col("size").cast("string"), F.lit("none"))), 256).alias("hash"))
+    return [stored(roots, folder + "/roots"), *reversed(high), *reversed(low)]
 
 
 def height(index: DataFrame) -> int:
@@ -206,31 +238,46 @@ def height(index: DataFrame) -> int:
     return top
 
 
-def descend(ours: list[DataFrame], theirs: list[DataFrame], folder: str) -> DataFrame:
-    """shard and seq of every record whose hash differs, from the roots down; each list is root first.
+def descend(ours: list[DataFrame], theirs: list[DataFrame], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Records (shard, seq) whose hash differs, and shards whose root differs, from the roots down; lists are root first.
 
-    A level is joined only below nodes that differ, so agreeing shards end at their roots.
+    A level is joined only below nodes that differ, so agreeing shards end at their roots. The first step below
+    the roots is to the top nodes, which have the roots' places.
     """
-    bad = None
+    bad = roots = None
     for k, (a, b) in enumerate(zip(ours, theirs, strict=True)):
         a, b = a.select("shard", "idx", "hash"), b.select("shard", "idx", F.col("hash").alias("other"))
         if bad is not None:
             n = bad.count()
             if not n:
-                return bad.select("shard", F.col("idx").alias("seq"))
+                return bad.select("shard", F.col("idx").alias("seq")), roots
             few = bad.select("shard", F.col("idx").alias("up"))
             few = F.broadcast(few) if n <= BROADCAST_ROWS else few
-            a = a.withColumn("up", F.floor(F.col("idx") / FANOUT)).join(few, ["shard", "up"], "left_semi").drop("up")
-            b = b.withColumn("up", F.floor(F.col("idx") / FANOUT)).join(few, ["shard", "up"], "left_semi").drop("up")
+            up = F.col("idx") if k == 1 else F.floor(F.col("idx") / FANOUT)
+            a = a.withColumn("up", up).join(few, ["shard", "up"], "left_semi").drop("up")
+            b = b.withColumn("up", up).join(few, ["shard", "up"], "left_semi").drop("up")
         bad = stored(a.join(b, ["shard", "idx"], "left").where(~F.col("hash").eqNullSafe(F.col("other"))).select("shard", "idx"), f"{folder}/{k}")
-    return bad.select("shard", F.col("idx").alias("seq"))
+        roots = bad.select("shard") if roots is None else roots
+    return bad.select("shard", F.col("idx").alias("seq")), roots
 
 
-def audit(index: DataFrame, primary: str, replica: str, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Leaves of the primary (with payload length and digest) and the records (shard, seq) in which the replica differs."""
+def audit(index: DataFrame, primary: str, replica: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaves of the primary (with payload length and digest), the records (shard, seq) in which the replica differs, and its odd files.
+
+    Odd files: shard and problem. "size" is a shard whose size alone differs (every record agrees, bytes follow the
+    last one or are lost after it), "unknown" a file that the index doesn't name. An index without rows has no
+    leaves, and every file is unknown.
+    """
+    spark = index.sparkSession
+    known = index.select("shard").distinct()
+    unknown = files_of(spark, replica).join(known, "shard", "left_anti").select("shard", F.lit("unknown").alias("problem"))
+    if index.isEmpty():
+        return spark.createDataFrame([], NODES), spark.createDataFrame([], "shard string, seq long"), unknown
     top = height(index)
     ours, theirs = stored_tree(index, primary, folder + "/ours", top, parse=True), stored_tree(index, replica, folder + "/theirs", top)
-    return ours[-1], descend(ours, theirs, folder + "/bad")
+    records, roots = descend(ours, theirs, folder + "/bad")
+    size = roots.join(records.select("shard").distinct(), "shard", "left_anti").select("shard", F.lit("size").alias("problem"))
+    return ours[-1], records, size.unionByName(unknown)
 
 
 def drill(spark: SparkSession, pages: DataFrame, damage: Column | None = None) -> DataFrame:
@@ -244,9 +291,9 @@ def drill(spark: SparkSession, pages: DataFrame, damage: Column | None = None) -
     index = stored(write_shards(pages, folder + "/a"), folder + "/index")
     copied = stored(replicate(index, folder + "/a", folder + "/b", damage), folder + "/copied")
     copied.count()
-    leaves, bad = audit(index, folder + "/a", folder + "/b", folder + "/audit")
+    leaves, bad, _ = audit(index, folder + "/a", folder + "/b", folder + "/audit")
     marked = bad.select("shard", "seq", F.lit(True).alias("bad"))
     marked = F.broadcast(marked) if bad.count() <= BROADCAST_ROWS else marked
     names = index.select("shard", "seq", "key")
     out = leaves.select("shard", F.col("idx").alias("seq"), "n_bytes", "payload_sha256").join(names, ["shard", "seq"]).join(marked, ["shard", "seq"], "left")
-    return out.select(F.col("key").cast("long").alias("page_id"), "n_bytes", "payload_sha256", "shard", "seq", F.col("bad").isNull().alias("intact"))
+    return tidy(out, folder, keep=("audit",)).select(F.col("key").cast("long").alias("page_id"), "n_bytes", "payload_sha256", "shard", "seq", F.col("bad").isNull().alias("intact"))

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -171,20 +172,27 @@ def test_warc_audit_finds_the_damage(spark):
     assert warc.drill(spark, pages.where("page_id < 0")).count() == 0
 
 
-def test_warc_missing_and_short_shards(spark):
-    from pathlib import Path
-
-    pages = spark.createDataFrame([(i, "u", "x" * 500) for i in range(100)], "page_id long, url string, html string").repartition(3)
+def test_warc_missing_short_longer_and_unknown_shards(spark):
+    pages = spark.createDataFrame([(i, "u", "x" * 500) for i in range(100)], "page_id long, url string, html string").repartition(5)
     folder = work_dir(spark, "t")
     index = warc.write_shards(pages, folder + "/a").cache()
-    warc.replicate(index, folder + "/a", folder + "/b").collect()
-    files = sorted(Path(folder.removeprefix("file://"), "b").iterdir())
+    copied = warc.replicate(index, folder + "/a", folder + "/b")
+    assert copied.rdd.getNumPartitions() >= 4  # many shards are many tasks' work, however short their index
+    copied.collect()
+    files = sorted(x for x in Path(folder.removeprefix("file://"), "b").iterdir() if x.name.endswith(".warc.gz"))
     files[0].unlink()
     files[1].write_bytes(files[1].read_bytes()[:-10])
-    _, bad = warc.audit(index, folder + "/a", folder + "/b", folder + "/x")
+    files[2].write_bytes(files[2].read_bytes() + b"more")
+    files[3].with_name("other.warc.gz").write_bytes(b"x")
+    _, bad, odd = warc.audit(index, folder + "/a", folder + "/b", folder + "/x")
     got = Counter(r["shard"] for r in bad.collect())
     sizes = Counter(r["shard"] for r in index.collect())
     assert got == {files[0].name: sizes[files[0].name], files[1].name: 1}
+    assert {(r["shard"], r["problem"]) for r in odd.collect()} == {(files[2].name, "size"), ("other.warc.gz", "unknown")}
+
+
+def test_warc_ranges_are_part_of_the_hashes():
+    assert warc._leaf("s", 0, 0, 5, b"x") != warc._leaf("s", 0, 0, 6, b"x") and warc._node(1, 0, 0, 5, ["a"]) != warc._node(1, 0, 1, 5, ["a"])
 
 
 # 4
