@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import hidden, lower_ascii, stored, work_dir
+from lodestrata.llm.common import hidden, lower_ascii, stored, tidy, work_dir
 
 WINDOW = 10
 #: Tables of terms up to this many rows are broadcast; beyond it they are joined by shuffle.
@@ -102,7 +102,7 @@ def proximity(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window
     found = near(postings_of(docs, terms.select("term").distinct()), terms, span).join(_bounded(items.select("item", "item_id")), "item")
     by_doc = found.groupBy("__id", "__h").agg(F.array_sort(F.collect_set("item_id")).alias("__near"))
     out = docs.select("*", *_doc_key()).join(by_doc, ["__id", "__h"], "left")
-    return out.select(*(c for c in docs.columns if c != "near"), F.coalesce("__near", F.array().cast("array<string>")).alias("near")).withColumnsRenamed(names)
+    return tidy(out, folder).select(*(c for c in docs.columns if c != "near"), F.coalesce("__near", F.array().cast("array<string>")).alias("near")).withColumnsRenamed(names)
 
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -110,7 +110,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
 
     The index holds every posting of the windows' rarest terms. Shifts at which they agree are compared word by
     word with the item. A null text has no words; an item without words matches nothing; equal rows match alike;
-    an empty benchmark leaves every document without hits.
+    an empty benchmark leaves every document without hits; no documents give no rows. Columns that are named
+    n_words, hits or items before are replaced.
     """
     folder = work_dir(spark, "decontaminate")
     docs, names = hidden(docs)
@@ -119,25 +120,26 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     counts = stored(term_counts(docs, terms), folder + "/counts")
     anchors = stored(anchors_of(items, counts), folder + "/anchors")
     postings = stored(postings_of(docs, anchors.select("term").distinct()), folder + "/postings")
-    # Item words are few (a benchmark's size, checked) and join by broadcast or shuffle as their count tells.
-    found = alignments(postings, anchors).join(_bounded(items), "item")
-    by_doc = found.groupBy("__id", "__h").agg(F.collect_list(F.struct("item_id", "shift", "words", "n")).alias("__found"))
+    # Shifts of an item are gathered first; its words then join once for each document that has it (by broadcast
+    # or shuffle, as their count tells), so a document's row grows with its places and items, not with both at once.
+    found = alignments(postings, anchors).groupBy("__id", "__h", "item").agg(F.collect_list("shift").alias("shifts")).join(_bounded(items), "item")
+    by_doc = found.groupBy("__id", "__h").agg(F.collect_list(F.struct("item_id", "shifts", "words", "n")).alias("__found"))
 
     keyed = docs.select("*", *_doc_key()).join(by_doc, ["__id", "__h"], "left").withColumn("__words", words_of(F.col("text")))
 
-    def agreed(c):
-        """Starts of the item's windows that are all there at this shift."""
-        same = F.transform(c["words"], lambda w, i: F.get(F.col("__words"), c["shift"] + i).eqNullSafe(w))
+    def agreed(c, shift):
+        """Places where the item's windows that are all there at this shift begin."""
+        same = F.transform(c["words"], lambda w, i: F.get(F.col("__words"), shift + i).eqNullSafe(w))
         starts = F.sequence(F.lit(0), F.size(c["words"]) - c["n"])
         # The comparison is bound once, in an array of one, and not made again for each start.
         once = F.transform(F.array(same), lambda m: F.filter(starts, lambda s: F.forall(F.slice(m, s + 1, c["n"]), lambda x: x)))
-        return F.element_at(once, 1)
+        return F.transform(F.element_at(once, 1), lambda s: s + shift)
 
-    checked = F.transform(F.col("__found"), lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), c["n"].alias("n"), agreed(c).alias("starts")))
-    checked = F.filter(checked, lambda c: F.size(c["starts"]) > 0)
+    checked = F.transform(F.col("__found"), lambda c: F.struct(c["item_id"].alias("item_id"), c["n"].alias("n"), F.flatten(F.transform(c["shifts"], lambda x: agreed(c, x))).alias("begins")))
+    checked = F.filter(checked, lambda c: F.size(c["begins"]) > 0)
     out = keyed.withColumn("__ok", F.when(F.col("__found").isNotNull(), checked).otherwise(F.array()))
-    places = F.flatten(F.transform("__ok", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["shift"] + s, c["shift"] + s + c["n"] - 1)))))
-    return out.select(
+    places = F.flatten(F.transform("__ok", lambda c: F.flatten(F.transform(c["begins"], lambda s: F.sequence(s, s + c["n"] - 1)))))
+    return tidy(out, folder).select(
         *(c for c in docs.columns if c not in ("n_words", "hits", "items")),
         F.size("__words").cast("long").alias("n_words"),
         F.array_sort(F.array_distinct(places)).alias("hits"),
