@@ -15,13 +15,18 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, DIM = 10, 8
 TAPS = max(WIDTHS)
-#: Bound of the training sample: documents a language, and windows taken from each at most.
-DOCS_A_LANGUAGE, WINDOWS_A_DOC, MOST_LANGUAGES = 800, 3, 64
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bound of the training sample: documents a language and in all (one of each language at least), and windows taken from each.
+DOCS_A_LANGUAGE, TRAIN_DOCS, WINDOWS_A_DOC = 800, 50_000, 3
+_ASCII = re.compile("[A-Za-z]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a code point of a Unicode letter category (L*); numerals that look like words are none."""
+    return bool(_ASCII.search(text)) or any(map(str.isalpha, text))
+
+
 @dataclass
 class Network:
     """Byte embeddings, filters of several widths, max pooling over a window, softmax."""
@@ -114,28 +119,30 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 def fit(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Network | None:
     """Trains on labelled (doc_id, text, lang); None if nothing is labelled.
 
-    A sample bounded by docs_a_language is drawn by hash, so that it is the same in every run; languages beyond
-    the MOST_LANGUAGES most frequent are not learned. Only windows of it come to the driver.
+    A sample of at most docs_a_language documents of a language, and about TRAIN_DOCS in all, is drawn by hash, so
+    that it is the same in every run. Every language that is labelled is learned, however rare; a window that many
+    rows share counts once. Only windows come to the driver.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_a_language / n))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000)
+    each = max(1, min(docs_a_language, TRAIN_DOCS // languages))
+    # A rare language is taken whole; of a frequent one a share that gives about `each` different texts.
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("__share"))
+    drawn = rows.select("text", "lang").join(share, "lang").where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for text, lang in zip(part["text"], part["lang"], strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     w = windows_of(text.encode())
                     out += [(lang, w[i].tobytes()) for i in np.unique(np.linspace(0, len(w) - 1, WINDOWS_A_DOC).astype(int))]
             yield pd.DataFrame(out, columns=["lang", "window"])
 
-    got = drawn.select("text", "lang").mapInPandas(cut, "lang string, window binary").limit(2 * docs_a_language * WINDOWS_A_DOC * len(counts)).toPandas()
+    got = drawn.select("text", "lang").mapInPandas(cut, "lang string, window binary").distinct().toPandas()
     if got.empty:
         return None
     got["window"] = got["window"].map(bytes)
@@ -175,7 +182,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
             waiting = 0
             for i, text in enumerate(texts):
-                if net is None or text is None or not _LETTER.search(text):
+                if net is None or text is None or not has_letter(text):
                     continue
                 w = windows_of(text.encode())
                 for at in range(0, len(w), 512):
@@ -199,7 +206,11 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Learns from documents whose crc32(doc_id as text) mod 3 is not 1 and predicts all of docs (doc_id, text, lang)."""
+    """Learns from documents whose crc32(doc_id as text) mod 3 is not 1 and predicts all of docs (doc_id, text, lang).
+
+    Returns doc_id, held_out, lang_pred and score. A null text or one without letters is `und` with score 0, a null
+    lang is not learned from, equal texts are predicted alike, other columns are ignored, no documents give no rows.
+    """
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     rows = docs.select("doc_id", "text", "lang")
     out = predict(rows, fit(rows.where(~held)))

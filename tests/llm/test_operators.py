@@ -210,12 +210,73 @@ def test_png_round_trip(request, name):
     assert order([tuple(r[:5]) for r in got]) == order(want)
 
 
+def naive_png(png):
+    """Rows of samples by the format's own words: chunks, zlib, one pixel after the other."""
+    at, data = 8, b""
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        body = png[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            width, height, channels = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), {0: 1, 2: 3}[body[9]]
+        data += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, size = zlib.decompress(data), width * channels
+    above, out = bytes(size), []
+    for y in range(height):
+        kind, line = raw[y * (size + 1)], bytearray(raw[y * (size + 1) + 1 : (y + 1) * (size + 1)])
+        for x in range(size):
+            a, b, c = line[x - channels] if x >= channels else 0, above[x], above[x - channels] if x >= channels else 0
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line[x] = (line[x] + (0, a, b, (a + b) // 2, paeth)[kind]) % 256
+        above = bytes(line)
+        out.append(above)
+    return width, channels, out
+
+
+def naive_hash(width, channels, rows):
+    grey = [[sum(r[x * channels : (x + 1) * channels]) / channels for x in range(width)] for r in rows]
+
+    def share(m):
+        n = len(m)
+        cuts = [(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)]
+        return [[sum(m[k][j] for k in range(a, b)) / (b - a) for j in range(len(m[0]))] for a, b in cuts]
+
+    small = [list(c) for c in zip(*share([list(c) for c in zip(*share(grey), strict=True)]), strict=True)]
+    cos = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(small[y][x] * cos[u][y] * cos[v][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sum(sorted(low)[31:33]) / 2
+    return int("".join("1" if v > middle else "0" for v in low), 2)
+
+
+def test_media_against_a_plain_reader(spark, documents):
+    """Payload, media digest and feature from the stored bytes, pixel by pixel and term by term."""
+    media = {r["doc_id"]: bytes(r["media"]) for r in png_media.store(documents).collect()}
+    got = {r["doc_id"]: r for r in queries.op4_media_columns(spark, "/root/testdata/sf0.001").collect()}
+    texts, close = dict(rows_of(documents)), 0
+    for d in [d for d in sorted(media) if len(texts[d] or "") < 6000][:40]:
+        width, channels, rows = naive_png(media[d])
+        assert b"".join(rows) == png_media.payload_of(texts[d])[1]
+        assert (got[d]["media_bytes"], got[d]["media_sha256"]) == (len(media[d]), hashlib.sha256(media[d]).hexdigest())
+        # Terms beside the median may round to the other side of it.
+        close += bin(naive_hash(width, channels, rows) ^ int(got[d]["feature"], 16)).count("1") <= 2
+    assert close == 40
+
+
 def test_png_filters_and_damage():
-    payload = np.random.default_rng(4).integers(0, 255, 192 * 30, dtype=np.uint8).tobytes()
-    for kind in range(5):
-        for width, channels in ((64, 3), (192, 1)):
-            png = png_media.encode(payload, width, channels, kind)
-            assert png_media.decode(png).tobytes() == payload
+    rng = np.random.default_rng(4)
+    for rows in (1, 2, 30, 100):
+        payload = rng.integers(0, 255, 192 * rows, dtype=np.uint8).tobytes()
+        for kind in (None, *range(5)):
+            for width, channels in ((64, 3), (192, 1)):
+                png = png_media.encode(payload, width, channels, kind)
+                assert png_media.decode(png).tobytes() == payload == b"".join(naive_png(png)[2])
+    steps = np.cumsum(rng.integers(0, 3, (40, 192)), axis=1).astype(np.uint8).tobytes() + b"the same row. " * 300
+    steps = steps[: len(steps) // 192 * 192]
+    many = png_media.encode_all([steps, payload, steps[:192], steps + payload])
+    assert [x.tobytes() for x in png_media.decode_all(many)] == [steps, payload, steps[:192], steps + payload]
+    assert len(set(png_media.parsed(many[0])[0][:, 0].tolist())) > 1  # rows of one image differ in their filter
     for at in (20, 60, len(png) - 20):
         hurt = bytearray(png)
         hurt[at] ^= 1
@@ -454,6 +515,18 @@ def test_language_edge(spark, edge, empty):
     assert {r["lang_pred"] for r in langid.predict(edge, None).collect()} == {"und"}
 
 
+def test_letters_are_unicode_letters():
+    assert not any(map(langid.has_letter, ("½ ²", "①", "12_3", "Ⅷ", "", "!?")))
+    assert all(map(langid.has_letter, ("a", "12 é", "漢", "ª", "1 ǅ")))
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any cap would keep, one of them in a single row that the others repeat."""
+    rows = [(i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (k + j) % 26)}" for j in range(60)), f"l{k:02}") for i, k in enumerate(k for k in range(70) for _ in range(3))]
+    docs = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string, lang string")
+    assert len(langid.fit(docs).languages) == 70
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
