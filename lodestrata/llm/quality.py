@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import hidden, stored, work_dir
+from lodestrata.llm.common import hidden, stored, tidy, work_dir
 
 #: Bounds of the model: labelled documents it is fitted on, and features that it keeps for each target.
 TRAIN_DOCS, FEATURES = 20_000, 500
-MIN_DOCS = 4
+MIN_DOCS, MIN_CHI = 3, 15
 #: Lengths of the word beginnings that are features beside whole words: inflected words share their stem.
 STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -73,18 +73,25 @@ class QualityModel:
     def __init__(self, ratios: list[dict[str, float]], base: list[float], scale: list[tuple[float, float]], rate: list[float]):
         self.ratios, self.base, self.scale, self.rate = ratios, base, scale, rate
 
-    def raw(self, found: set[str], k: int) -> float:
-        r = self.ratios[k]
-        return self.base[k] + sum(r[f] for f in found & r.keys())
+        names = set().union(*ratios)
+        self.words = {f for f in names if f[0] != "#" and f[-1] != "~"}
+        self.stems = {k: {f[:-1] for f in names if f[-1] == "~" and len(f) == k + 1} for k in STEMS}
+
+    def known(self, text: str | None) -> set[str]:
+        """Those of a text's features that the model holds; others are never made."""
+        text = text or ""
+        words = _WORD.findall(text)
+        found = {w.lower() for w in words}
+        out = self.words & found
+        for k, stems in self.stems.items():
+            if stems:
+                out |= {f"{x}~" for x in stems.intersection({w[:k] for w in found if len(w) >= k})}
+        return out.union(shape(text, words))
 
     def evidence(self, text: str | None) -> tuple[float, ...]:
         """Calibrated log odds that the text alone gives, without the prior."""
-        found = features_of(text)
-        out = []
-        for k in range(len(_TARGETS)):
-            a, b = self.scale[k]
-            out.append(a * self.raw(found, k) + b)
-        return tuple(out)
+        found = self.known(text)
+        return tuple(a * (base + sum(r[f] for f in found & r.keys())) + b for r, base, (a, b) in zip(self.ratios, self.base, self.scale, strict=True))
 
 
 def _logistic(at: np.ndarray, doc: np.ndarray, y: np.ndarray, features: int, penalty: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -99,7 +106,7 @@ def _logistic(at: np.ndarray, doc: np.ndarray, y: np.ndarray, features: int, pen
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> QualityModel:
     """Fits the text model on a bounded sample of labelled rows.
 
     Documents that hold a feature are counted by class in one grouped aggregation; the features whose chi-square
@@ -118,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
             yield pd.DataFrame([(f, *map(int, c)) for f, c in seen.items()], columns=["feature", "l0", "l1", "t0", "t1"])
 
     counts = rows.mapInPandas(count, "feature string, l0 long, l1 long, t0 long, t1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("l0", "l1", "t0", "t1")))
-    counts = stored(counts.where(F.col("l0") + F.col("l1") + F.col("t0") + F.col("t1") >= 2 * MIN_DOCS), work_dir(docs.sparkSession, "quality") + "/features")
+    counts = stored(counts.where(F.col("l0") + F.col("l1") + F.col("t0") + F.col("t1") >= 2 * MIN_DOCS), (folder or work_dir(docs.sparkSession, "quality")) + "/features")
     every = counts.where(F.col("feature") == "#all").collect()
     if not every:
         return QualityModel([{}, {}], [0.0, 0.0], [(1.0, 0.0)] * 2, [0.02, 0.02])
@@ -132,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
             n, total = a + b, float(n0 + n1)
             gap = a * n0 - b * n1
             chi = gap * gap * total / (n * (total - n) * n0 * n1)
-            top = counts.where((F.col("feature") != "#all") & (n >= MIN_DOCS) & (n < total)).withColumn("chi", chi).where("chi > 15").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
+            top = counts.where((F.col("feature") != "#all") & (n >= MIN_DOCS) & (n < total)).withColumn("chi", chi).where(F.col("chi") > MIN_CHI).orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()
             names += [r["feature"] for r in top if r["feature"] not in names]
     number = {f: k for k, f in enumerate(names)}
 
@@ -144,17 +151,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     # At most about TRAIN_DOCS rows of selected features' numbers come to the driver.
     got = rows.mapInPandas(pick, "low double, toxic double, found binary").toPandas()
     got = got.sort_values(["low", "toxic", "found"], ignore_index=True)
-    model = QualityModel([{}, {}], [0.0, 0.0], [(1.0, 0.0)] * 2, rate)
+    ratios, bases, scale = [{}, {}], [0.0, 0.0], [(1.0, 0.0)] * 2
     for k, target in enumerate(_TARGETS):
         part = got[got[target].isin([0.0, 1.0])]
         y = part[target].to_numpy(float)
         if len(names) and 0 < y.sum() < len(y):
             ids = [np.frombuffer(bytes(x), "<i4") for x in part["found"]]
             w, b = _logistic(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids]), y, len(names))
-            model.ratios[k], model.base[k] = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, b
+            ratios[k], bases[k] = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, b
             # What is left is evidence: the sample's own rate goes out, the site's prior comes in later.
-            model.scale[k] = (1.0, -math.log(rate[k] / (1 - rate[k])))
-    return model
+            scale[k] = (1.0, -math.log(rate[k] / (1 - rate[k])))
+    return QualityModel(ratios, bases, scale, rate)
 
 
 def with_evidence(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -173,34 +180,40 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def site_priors(rows: DataFrame, rate: list[float], host: str, path: str) -> DataFrame:
-    """Shrunken rates of each (host, path): path towards host, host towards the corpus, by grouped aggregation.
+def _posterior(target: str, rate: float):
+    """A document's probability under the corpus rate, from its own evidence alone."""
+    odds = F.col("__ev")[target] + math.log(rate / (1 - rate))
+    return F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
 
-    A document counts with its posterior under the corpus rate. The weight of the prior at each level comes
-    from how the rates of the groups spread (method of moments), so sparse groups stay near their parent.
+
+def _moments(groups: DataFrame, n: str, s: str) -> tuple[float, float]:
+    """Weight of the prior and mean rate, from how the rates s / n of groups spread (method of moments)."""
+    x = groups.agg(F.count("*").alias("g"), F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(F.col(s) * F.col(s) / F.col(n)).alias("q"), F.sum(F.col(n).cast("double") * F.col(n)).alias("nn")).first()
+    if not x["g"] or x["g"] < 2 or not x["n"]:
+        return 10.0, 0.5
+    mu = min(max(x["s"] / x["n"], 1e-6), 1 - 1e-6)
+    within = mu * (1 - mu)
+    between = (x["q"] - x["n"] * mu * mu - (x["g"] - 1) * within) / max(1e-9, x["n"] - x["nn"] / x["n"])
+    return min(max(within / max(between, 1e-9) - 1, 2.0), 1e4), mu
+
+
+def with_priors(rows: DataFrame, rate: list[float], host: str, path: str) -> DataFrame:
+    """rows with __prior_low and __prior_toxic: rates of their (host, path), shrunk towards the host's, and that towards the corpus.
+
+    A document counts with its posterior under the corpus rate; its own is taken out of the prior that it meets.
+    Groups are summed before anything is shuffled by row, and sparse ones stay near their parent.
     """
-    probs = {t: F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__ev")[t] + math.log(r / (1 - r)))))) for t, r in zip(_TARGETS, rate, strict=True)}
-    low = rows.groupBy(host, path).agg(F.count("*").alias("n"), *(F.sum(p).alias(f"s_{t}") for t, p in probs.items()))
-    top = low.groupBy(host).agg(F.sum("n").alias("hn"), *(F.sum(f"s_{t}").alias(f"h_{t}") for t in _TARGETS))
-    # Spread between groups: sums over groups of n, n p, n p^2, from which a single row of moments follows.
-    def moments(df: DataFrame, n: str, s: str):
-        x = df.agg(F.count("*").alias("g"), F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(F.col(s) * F.col(s) / F.col(n)).alias("q"), F.sum(F.col(n).cast("double") * F.col(n)).alias("nn")).first()
-        if not x["g"] or x["g"] < 2 or not x["n"]:
-            return 10.0, 0.5
-        mu = min(max(x["s"] / x["n"], 1e-6), 1 - 1e-6)
-        within = mu * (1 - mu)
-        between = (x["q"] - x["n"] * mu * mu - (x["g"] - 1) * within) / max(1e-9, x["n"] - x["nn"] / x["n"])
-        return min(max(within / max(between, 1e-9) - 1, 2.0), 1e4), mu
-
-    out = top
-    for t in _TARGETS:
-        m, mu = moments(top, "hn", f"h_{t}")
-        out = out.withColumn(f"host_{t}", (F.col(f"h_{t}") + m * mu) / (F.col("hn") + m))
-    joined = low.join(out.withColumnRenamed(host, "__host"), F.col(host).eqNullSafe(F.col("__host")))
+    rows = rows.select("*", *(_posterior(t, r).alias(f"__own_{t}") for t, r in zip(_TARGETS, rate, strict=True)))
+    low = rows.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.count("*").alias("__n"), *(F.sum(f"__own_{t}").alias(f"__s_{t}") for t in _TARGETS))
+    top = low.groupBy("__host").agg(F.sum("__n").alias("__hn"), *(F.sum(f"__s_{t}").alias(f"__h_{t}") for t in _TARGETS))
+    sites = low.join(top.withColumnRenamed("__host", "__parent"), F.col("__host").eqNullSafe(F.col("__parent"))).drop("__parent")
+    out = rows.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
     for t in _TARGETS:
-        m, _ = moments(low, "n", f"s_{t}")
-        joined = joined.withColumn(f"__prior_{t}", (F.col(f"s_{t}") + m * F.col(f"host_{t}")) / (F.col("n") + m))
-    return joined.select(F.col(host).alias("__host"), F.col(path).alias("__path"), *(f"__prior_{t}" for t in _TARGETS))
+        (m, mu), (k, _) = _moments(top, "__hn", f"__h_{t}"), _moments(low, "__n", f"__s_{t}")
+        own = F.col(f"__own_{t}")
+        above = (F.col(f"__h_{t}") - own + m * mu) / (F.col("__hn") - 1 + m)
+        out = out.withColumn(f"__prior_{t}", (F.col(f"__s_{t}") - own + k * above) / (F.col("__n") - 1 + k))
+    return out
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, carry_text: bool = True) -> DataFrame:
@@ -208,16 +221,17 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str
 
     The text's evidence is stored once, its aggregates read only the evidence and the site columns, and every
     document then meets its site's prior. Null hosts or paths are groups of their own, a null text is empty
-    text, repeated rows are judged alike, and no documents give no rows.
+    text, repeated rows are judged alike, and no documents give no rows. Columns that are named p_low, p_toxic or
+    keep before are replaced.
     """
     docs, names = hidden(docs)
-    model = fit(docs, labels)
+    folder = work_dir(spark, "quality")
+    model = fit(docs, labels, folder)
     rows = with_evidence(docs, model)
-    rows = stored(rows if carry_text else rows.drop("text"), work_dir(spark, "quality") + "/evidence")
-    priors = site_priors(rows, model.rate, host, path)
-    joined = rows.join(priors, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
+    rows = tidy(stored(rows if carry_text else rows.drop("text"), folder + "/evidence"), folder)
+    joined = with_priors(rows, model.rate, host, path)
     for t in _TARGETS:
         odds = F.col("__ev")[t] + _logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"__prior_{t}"))))
         joined = joined.withColumn(f"p_{t}", F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))))
-    out = joined.select(*(c for c in docs.columns if (carry_text or c != "text") and c not in ("p_low", "p_toxic")), "p_low", "p_toxic")
+    out = joined.select(*(c for c in docs.columns if (carry_text or c != "text") and c not in ("p_low", "p_toxic", "keep")), "p_low", "p_toxic")
     return out.withColumn("keep", (F.col("p_low") < threshold) & (F.col("p_toxic") < threshold)).withColumnsRenamed(names)

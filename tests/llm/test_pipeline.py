@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -27,7 +29,6 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first() == docs.agg(F.sum("length")).first()
 
 
-@pytest.mark.xfail(reason="8 of 51 toxic documents stay when 399 labels are all there is, see the README")
 def test_labelled_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -79,7 +80,47 @@ def test_quality_on_the_half_without_labels(spark):
     clean = [r for r in rows if r["quality"] == 1 and r["toxic"] == 0]
     toxic = [r for r in rows if r["toxic"] == 1]
     assert sum(r["kept"] for r in clean) >= 0.98 * sum(r["n"] for r in clean) > 0
-    assert sum(r["kept"] for r in toxic) <= 0.12 * sum(r["n"] for r in toxic)
+    assert sum(r["kept"] for r in toxic) <= 0.1 * sum(r["n"] for r in toxic)
+
+
+def test_priors_of_real_hosts_and_paths(spark):
+    """Hosts and path sections of page addresses, many with one page: every probability by hand from the evidence."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+/([^/]*)", 1).alias("section"))
+    docs = docs.unionByName(spark.createDataFrame([(-1, "alone", "one.example", "x"), (-2, "nowhere", None, None), (-3, None, None, "x")], docs.schema))
+    labels = pages.select(F.col("page_id").alias("doc_id"), (F.length("html") % 2).alias("quality"), F.when(F.col("html").contains("the"), 1).otherwise(0).alias("toxic"))
+    model = quality.fit(docs, labels)
+    rows = [r.asDict() for r in quality.with_evidence(docs, model).drop("text").collect()]
+    got = {r["doc_id"]: r for r in quality.classify(spark, docs, labels, "host", "section", carry_text=False).collect()}
+    sizes = Counter((r["host"], r["section"]) for r in rows)
+    assert len(got) == len(rows) and 1 in sizes.values() and len(sizes) > 3
+
+    def moments(groups):
+        n, s = (sum(g[i] for g in groups) for i in (0, 1))
+        mu = min(max(s / n, 1e-6), 1 - 1e-6)
+        between = (sum(g[1] ** 2 / g[0] for g in groups) - n * mu * mu - (len(groups) - 1) * mu * (1 - mu)) / max(1e-9, n - sum(g[0] ** 2 for g in groups) / n)
+        return min(max(mu * (1 - mu) / max(between, 1e-9) - 1, 2.0), 1e4), mu
+
+    for t, rate in zip(("low", "toxic"), model.rate, strict=True):
+        own = {r["doc_id"]: 1 / (1 + math.exp(-(r["__ev"][t] + math.log(rate / (1 - rate))))) for r in rows}
+        hosts, paths = {}, {}
+        for r in rows:
+            for groups, key in ((hosts, r["host"]), (paths, (r["host"], r["section"]))):
+                n, total = groups.get(key, (0, 0.0))
+                groups[key] = (n + 1, total + own[r["doc_id"]])
+        (m, mu), (k, _) = moments(list(hosts.values())), moments(list(paths.values()))
+        for r in rows:
+            x, (hn, hs), (n, total) = own[r["doc_id"]], hosts[r["host"]], paths[r["host"], r["section"]]
+            prior = (total - x + k * (hs - x + m * mu) / (hn - 1 + m)) / (n - 1 + k)
+            prior = min(max(prior, 1e-6), 1 - 1e-6)
+            want = 1 / (1 + math.exp(-(r["__ev"][t] + math.log(prior / (1 - prior)))))
+            assert got[r["doc_id"]][f"p_{t}"] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_model_looks_up_what_it_holds_alone():
+    model = quality.QualityModel([{"idiot": 1.0, "réeu~": 2.0, "#words0": 0.5}, {"achli~": 1.0}], [0.0, 0.0], [(1.0, 0.0)] * 2, [0.1, 0.1])
+    for text in ("Idiot réeuxpa", "achlichkeit und", "", None, "nothing here"):
+        assert model.known(text) & set().union(*model.ratios) == quality.features_of(text) & set().union(*model.ratios)
 
 
 def test_word_beginnings_are_features():
