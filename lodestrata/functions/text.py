@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,57 +165,39 @@ def punctuation_of(text: str | None) -> str | None:
     return "".join(out)
 
 
-def _normative(span: str, tail: str) -> bool:
-    return any(ch == "不" and nxt in tail for ch, nxt in zip(span, span[1:], strict=False))
+def _any_of(words: tuple[str, ...]) -> str:
+    return "|".join(words)
+
+
+def negating(clause: Column, words: tuple[str, ...] = NEG_HARD, tail: str = NEG_KEEP_TAIL) -> Column:
+    """Whether a clause has a negating word, or a 不 while no 不 of it stands before a normative character."""
+    return clause.rlike(_any_of(words)) | (clause.contains("不") & ~clause.rlike(f"不[{tail}]"))
 
 
-def negated_at(text: str, at: int, window: int = 30, words: tuple[str, ...] = NEG_HARD, tail: str = NEG_KEEP_TAIL, every: bool = False) -> bool:
-    """Whether the clause before a place negates it.
+def negated(span: Column, text: Column, window: int = 30) -> Column:
+    """Whether a term negates itself, or a text has it and negates it wherever it does.
 
-    `every`: each 不 must stand before a normative character; else one such is enough to spare all.
+    The clause before each place, up to `window` characters, is read by a look-behind; places may overlap.
     """
-    clause = text[max(0, at - window) : at]
-    cut = max(clause.rfind(b) for b in NEG_BOUNDARY)
-    clause = clause[cut + 1 :]
-    if any(w in clause for w in words):
-        return True
-    if every:
-        return any(ch == "不" and clause[i + 1 : i + 2] not in tuple(tail) for i, ch in enumerate(clause))
-    return "不" in clause and not _normative(clause, tail)
-
-
-def negated_span(span: str | None, text: str | None) -> bool:
-    """Whether a term negates itself, or is negated wherever the text has it."""
-    span = (span or "").strip()
-    if not span:
-        return False
-    if any(w in span for w in NEG_HARD) or ("不" in span and not _normative(span, NEG_KEEP_TAIL)):
-        return True
-    places, at = [], (text or "").find(span)
-    while at >= 0:
-        places.append(at)
-        at = text.find(span, at + 1)
-    return bool(places) and all(negated_at(text, p) for p in places)
-
-
-def replaced_text(text: str | None, pairs: dict[str, str]) -> str | None:
-    """Leftmost-longest replacement of terms by their standard form, except where they are negated."""
-    usable = sorted((k for k in pairs if len(k) >= 2), key=lambda k: (-len(k), k))
-    if not text or not usable:
+    term = F.trim(F.coalesce(span, F.lit("")))
+    inside = f"[^{NEG_BOUNDARY}]"
+    place = F.concat(F.lit(f"(?<=((?:^|[{NEG_BOUNDARY}]){inside}{{0,{window}}}|{inside}{{{window}}}))(?=\\Q"), term, F.lit("\\E)"))
+    before = F.regexp_extract_all(F.coalesce(text, F.lit("")), place, F.lit(1))
+    there = (F.size(before) > 0) & F.forall(before, lambda clause: negating(clause))
+    return F.when(term == "", F.lit(False)).otherwise(negating(term) | there)
+
+
+def replaced_text(text: str | None, pairs: dict[str, str], window: int = 8) -> str | None:
+    """Leftmost-longest replacement of terms of two characters or more by their standard form, except where the clause before negates them."""
+    terms = sorted((k for k in pairs if len(k) >= 2), key=lambda k: (-len(k), k))
+    if not text or not terms:
         return text
-    heads: dict[str, list[str]] = {}
-    for k in usable:
-        heads.setdefault(k[0], []).append(k)
-    out, i = [], 0
-    while i < len(text):
-        hit = next((k for k in heads.get(text[i], ()) if text.startswith(k, i)), None)
-        if hit is None:
-            out.append(text[i])
-            i += 1
-        else:
-            out.append(hit if negated_at(text, i, 8, REPLACE_NEG, REPLACE_KEEP_TAIL, every=True) else pairs[hit])
-            i += len(hit)
-    return "".join(out)
+    negates = re.compile(f"(?:{_any_of(REPLACE_NEG)}|不(?![{REPLACE_KEEP_TAIL}]))[^{NEG_BOUNDARY}]*$")
+
+    def standard(m: re.Match) -> str:
+        return m[0] if negates.search(text[max(0, m.start() - window) : m.start()]) else pairs[m[0]]
+
+    return re.sub(_any_of(tuple(map(re.escape, terms))), standard, text)
 
 
 @F.pandas_udf(T.StringType())
@@ -221,12 +205,35 @@ def normalize_punctuation(text: pd.Series) -> pd.Series:
     return text.map(punctuation_of, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def is_negated(span: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([negated_span(s, t) for s, t in zip(span, text, strict=True)])
-
-
 @F.pandas_udf(T.StringType())
 def safe_replace(text: pd.Series, pairs: pd.Series) -> pd.Series:
     """pairs: map of source text to standard term, as a map column."""
     return pd.Series([replaced_text(t, dict(p or {})) for t, p in zip(text, pairs, strict=True)])
+
+
+def cut(c: Column, n: int) -> Column:
+    """Trimmed text of at most n characters."""
+    return F.substring(F.trim(c), 1, n)
+
+
+def decoded(c: Column) -> Column:
+    """Bytes as UTF-8, or as GBK where they are none."""
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.decode(c, "GBK"))
+
+
+def first_filled(*columns: Column | str, most: int = 40) -> Column:
+    """The first column that isn't blank, cut to `most` characters with an ellipsis."""
+    text = F.coalesce(*map(blank_to_null, columns))
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+def composed(*columns: Column | str) -> Column:
+    """All filled columns, each ended by a full stop."""
+    parts = F.array_compact(F.array(*map(blank_to_null, columns)))
+    return F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit("。"))), "")
+
+
+def trim_change(c: Column | str) -> Column:
+    """What trimming does to a value: "kept", "trimmed", or "cleared" where only blanks were there."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNull() | (F.trim(c) == c) & (c != ""), "kept").when(F.trim(c) == "", "cleared").otherwise("trimmed")

@@ -102,3 +102,107 @@ def guard_shrink(old: DataFrame, new: DataFrame, percent: int = 80) -> None:
     before, after = old.count(), new.count()
     if after < before * percent // 100:
         raise ValueError(f"{after} terms would replace {before}")
+
+
+def in_scope(terms: DataFrame, scope: str, org_id: str = "") -> DataFrame:
+    """A baseline to search or export: "base", "org", or "effective" (the overlay)."""
+    if scope == "effective":
+        return overlay(terms, org_id).drop("own")
+    return terms.where(F.col("org_id") == ("" if scope == "base" else org_id)).drop("org_id")
+
+
+def search(terms: DataFrame, text: str, number: int = 1, size: int | None = 20) -> DataFrame:
+    """A page of terms that hold the text in the term or an alias, whatever the case, with the total; by type and term."""
+    from lodestrata.operators.filters import page, page_size
+
+    like = text.strip().lower()
+    hit = terms.where(F.lower("standard_term").contains(like) | F.exists("aliases", lambda a: F.lower(a).contains(like)))
+    total = hit.agg(F.count("*").alias("total"))
+    return page(hit, [F.asc("type"), F.asc("standard_term")], number, page_size(size)).crossJoin(total)  # one row
+
+
+def with_all_chars(terms: DataFrame, text: str) -> DataFrame:
+    """Terms that have every character of the text, in any order: the intersection of the characters' posting lists."""
+    wanted = sorted(set(text))
+    postings = terms.select("type", "standard_term", F.explode(F.array_distinct(F.filter(F.split("standard_term", ""), lambda x: x != ""))).alias("ch")).where(F.col("ch").isin(*wanted))
+    return postings.groupBy("type", "standard_term").agg(F.count_distinct("ch").alias("n")).where(F.col("n") == len(wanted)).select("type", "standard_term")
+
+
+def version_string(version: DataFrame, org_id: str, types: tuple[str, ...]) -> DataFrame:
+    """The effective version in one text, "type:first 8;" in the order given; an organisation's version counts before the base's."""
+    rows = version.where(F.col("org_id").isin("", org_id))
+    best = rows.groupBy("type").agg(F.max(F.struct((F.col("org_id") != "").alias("own"), "version"))["version"].alias("version"))
+    order = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
+    parts = best.where(order > 0).select(order.alias("at"), F.concat("type", F.lit(":"), F.substring("version", 1, 8), F.lit(";")).alias("part"))
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("version"))  # one entry a type
+
+
+def sync_status(stored: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Whether each (org_id, type) is indexed in the version that is stored: synced, stale or missing."""
+    both = stored.join(indexed.withColumnRenamed("version", "other"), ["org_id", "type"], "left")
+    return both.select("org_id", "type", F.when(F.col("other").isNull(), "missing").when(F.col("other") == F.col("version"), "synced").otherwise("stale").alias("state"))
+
+
+def replaced(stored: DataFrame, new: DataFrame, org_id: str) -> DataFrame:
+    """stored with an organisation's types replaced by those of new (type, standard_term, aliases), of which each term is kept once."""
+    once = merge(new)
+    kept = stored.join(once.select("type", F.lit(org_id).alias("org_id")).distinct(), ["org_id", "type"], "left_anti")
+    return kept.unionByName(once.withColumn("org_id", F.lit(org_id)).select(*stored.columns))
+
+
+def pending_proposals(proposals: DataFrame, now: Column, most: int = 5, days: int = 7) -> DataFrame:
+    """The oldest `most` open proposals of each organisation; those older than `days` are purged (id, org_id, status, created)."""
+    live = proposals.where((F.col("status") == "pending") & (F.col("created") >= now - F.expr(f"interval {int(days)} days")))
+    return live.withColumn("rn", F.row_number().over(Window.partitionBy("org_id").orderBy("created", "id"))).where(F.col("rn") <= most).drop("rn")
+
+
+def archived(snapshots: DataFrame, terms: DataFrame, keep: int = 5) -> DataFrame:
+    """snapshots (org_id, type, version_no) with one more of each (org_id, type) in terms, the oldest beyond `keep` gone."""
+    known = snapshots.groupBy("org_id", "type").agg(F.max("version_no").alias("last"))
+    now = terms.select("org_id", "type").distinct().join(known, ["org_id", "type"], "left").select("org_id", "type", (F.coalesce("last", F.lit(0)) + 1).alias("version_no"))
+    return prune_snapshots(snapshots.unionByName(now), keep)
+
+
+def rollback(snapshot_terms: DataFrame, org_id: str, version_no: int) -> DataFrame:
+    """A proposal to go back: the terms of an archived version (org_id, version_no, type, standard_term, aliases)."""
+    return snapshot_terms.where((F.col("org_id") == org_id) & (F.col("version_no") == version_no)).select("type", "standard_term", "aliases")
+
+
+def merge_report(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Conflicts of a merge: "sameTermDiff" for a term whose aliases differ, "collision" for a word that each side gives to other terms."""
+
+    def words(df: DataFrame, side: str) -> DataFrame:
+        rows = df.select("type", "standard_term", F.explode(F.array_union(F.array("standard_term"), "aliases")).alias("word"))
+        return rows.groupBy("type", "word").agg(F.array_sort(F.collect_set("standard_term")).alias(side))
+
+    same = ours.select("type", "standard_term", F.array_sort("aliases").alias("a")).join(theirs.select("type", "standard_term", F.array_sort("aliases").alias("b")), ["type", "standard_term"])
+    differ = same.where("a <> b").select("type", F.col("standard_term").alias("word"), F.lit("sameTermDiff").alias("conflict"))
+    met = words(ours, "a").join(words(theirs, "b"), ["type", "word"])
+    return differ.unionByName(met.where(F.size(F.array_intersect("a", "b")) == 0).select("type", "word", F.lit("collision").alias("conflict")))
+
+
+def resolved(ours: DataFrame, theirs: DataFrame, mode: str = "union") -> DataFrame:
+    """The merge of two term tables: aliases of both ("union"), or of the side named first in "ours" or "theirs" for terms that both have."""
+    if mode == "union":
+        return merge(ours.select("type", "standard_term", "aliases"), theirs.select("type", "standard_term", "aliases"))
+    first, second = (ours, theirs) if mode == "ours" else (theirs, ours)
+    first = first.select("type", "standard_term", "aliases")
+    return first.unionByName(second.select(*first.columns).join(first, ["type", "standard_term"], "left_anti"))
+
+
+def lint_top(terms: DataFrame, top: int = 12, words: int = 5) -> DataFrame:
+    """Aliases that three terms or more of a type own, most owners first; only where there are more than `words` of them."""
+    shared = collisions(terms, 2)
+    many = shared.groupBy("type").agg(F.count("*").alias("n")).where(F.col("n") > words).select("type")
+    ranked = shared.join(many, "type", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("owners"), "word")))
+    return ranked.where(F.col("rn") <= top)
+
+
+def enriched(terms: DataFrame, additions: DataFrame) -> DataFrame:
+    """terms with the cleaned aliases of additions: known terms gain aliases that no other term of the type has, new ones are added."""
+    own = terms.select("type", F.col("standard_term").alias("word")).unionByName(terms.select("type", F.explode("aliases").alias("word"))).distinct()
+    words = additions.select("type", F.trim("standard_term").alias("standard_term"), F.explode_outer("aliases").alias("alias")).withColumn("alias", F.trim("alias"))
+    fresh = words.join(own.withColumnRenamed("word", "alias"), ["type", "alias"], "left_anti").where("alias <> '' and alias <> standard_term")
+    gained = fresh.groupBy("type", "standard_term").agg(F.collect_set("alias").alias("aliases"))
+    new = additions.select("type", F.trim("standard_term").alias("standard_term"), F.array().cast("array<string>").alias("aliases"))
+    return merge(terms.select("type", "standard_term", "aliases"), gained, new)

@@ -29,30 +29,41 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _rarest(words: DataFrame, counts: DataFrame, text: str, share: float) -> DataFrame:
+    """words (type and a text) by the rarest distinct characters of the text, as many as must hold one that a similar text has among its own."""
+    n, w = F.size("__chars"), Window.partitionBy("type", text).orderBy(F.coalesce("f", F.lit(0)), "ch")
+    rows = words.select("*", F.array_distinct(chars(F.col(text))).alias("__chars")).select("*", n.alias("n"), F.explode("__chars").alias("ch")).drop("__chars")
+    ranked = rows.join(_bounded(counts), ["type", "ch"], "left").withColumn("rn", F.row_number().over(w))
+    return ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).drop("rn", "f")
+
+
 def judge(inputs: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, delta: int = DELTA) -> DataFrame:
     """The best dictionary term of every distinct (type, input): level 1 exact, 2 contained, 3 similar, 0 none.
 
-    Distinct inputs alone are joined. Exact hits are an equi-join. The others meet only entries that share a
-    character and, for similar ones, whose number of distinct characters can reach the threshold: blocks by
-    character replace the product of inputs and dictionary. Ties: shortest, then first term in order.
+    Distinct inputs alone are joined, always by equal keys. Exact: the input. Contained: what is left of the input
+    without up to delta characters at its ends. Similar: the rarest characters of both sides (a prefix filter: two
+    texts that reach the threshold share one of them), for texts whose numbers of characters can reach it at all.
+    Ties: shortest, then first term in order.
     """
     words = owned_words(terms)
     wanted = inputs.select("type", "input").where("input is not null").distinct()
-    exact = wanted.join(_bounded(words), (wanted["type"] == words["type"]) & (F.col("input") == F.col("word"))).select(wanted["type"], "input", "standard_term", F.lit(EXACT).alias("level"), F.when(F.col("is_term"), 0).otherwise(1).cast("double").alias("order"))
-    rest = wanted.join(exact.select("type", "input").distinct(), ["type", "input"], "left_anti").where(F.length("input") >= 2)
-    # Blocks: the rarest characters would do; every distinct character is simple and complete.
-    by_char = rest.select("type", "input", F.explode(F.array_distinct(chars(F.col("input")))).alias("ch"))
-    entry = words.select("type", "standard_term", "word", "is_term", F.explode(F.array_distinct(chars(F.col("word")))).alias("ch"))
-    met = by_char.join(_bounded(entry), ["type", "ch"]).groupBy("type", "input", "standard_term", "word", "is_term").agg(F.count("*").alias("common"))
     x, w, t = F.col("input"), F.col("word"), F.col("standard_term")
-    inside = x.contains(w) & (F.length(x) - F.length(w) <= delta) & (F.col("is_term") | (F.length(w) >= 2)) & (x != w)
-    related = x.contains(t) | t.contains(x)
-    similar = F.when(F.col("is_term") & ~related & ~polarity_only(x, t), dice(x, t))
-    level = F.when(inside, CONTAIN).when(similar >= threshold, FUZZY)
-    found = met.withColumn("level", level).where("level is not null").select("type", "input", "standard_term", "level", F.when(F.col("level") == FUZZY, -similar).otherwise(F.lit(0.0)).alias("order"))
-    every = exact.unionByName(found)
-    best = F.row_number().over(Window.partitionBy("type", "input").orderBy("level", "order", F.length("standard_term"), "standard_term"))
-    top = every.withColumn("rn", best).where("rn = 1").select("type", "input", "standard_term", "level")
+    exact = wanted.withColumn("word", x).join(_bounded(words), ["type", "word"]).select("type", "input", "standard_term", F.lit(EXACT).alias("level"), F.when(F.col("is_term"), 0).otherwise(1).cast("double").alias("order"))
+    rest = wanted.join(exact.select("type", "input").distinct(), ["type", "input"], "left_anti").where(F.length("input") >= 2)
+    ends = [(a, b) for a in range(delta + 1) for b in range(delta + 1 - a) if a + b]
+    shorter = rest.select("type", "input", F.explode(F.array(*(F.substring(x, F.lit(a + 1), F.length(x) - (a + b)) for a, b in ends))).alias("word")).where("word <> ''")
+    inside = shorter.join(_bounded(words), ["type", "word"]).where(F.col("is_term") | (F.length(w) >= 2)).select("type", "input", "standard_term", F.lit(CONTAIN).alias("level"), F.lit(0.0).alias("order"))
+    standard = terms.select("type", "standard_term").distinct()
+    counts = standard.select("type", F.explode(F.array_distinct(chars(t))).alias("ch")).groupBy("type", "ch").agg(F.count("*").alias("f"))
+    share = threshold / (2 - threshold)
+    entry = _rarest(standard, counts, "standard_term", share).withColumnRenamed("n", "m")
+    size = F.col("n") * share <= F.col("m") + 1e-9
+    met = _rarest(rest, counts, "input", share).join(entry, ["type", "ch"]).where(size & (F.col("m") * share <= F.col("n") + 1e-9)).select("type", "input", "standard_term").distinct()
+    similar = F.when(~(x.contains(t) | t.contains(x)) & ~polarity_only(x, t), dice(x, t))
+    fuzzy = met.withColumn("similar", similar).where(F.col("similar") >= threshold).select("type", "input", "standard_term", F.lit(FUZZY).alias("level"), (-F.col("similar")).alias("order"))
+    every = exact.unionByName(inside).unionByName(fuzzy)
+    best = F.min(F.struct("level", "order", F.length("standard_term").alias("l"), "standard_term")).alias("b")
+    top = every.groupBy("type", "input").agg(best).select("type", "input", "b.standard_term", "b.level")
     return wanted.join(top, ["type", "input"], "left").select("type", "input", "standard_term", F.coalesce("level", F.lit(0)).alias("level"))
 
 
@@ -72,17 +83,113 @@ def normalized(entities: DataFrame, terms: DataFrame, negated: Column | None = N
     return out.withColumn("term", F.coalesce("standard_term", "content")).drop("standard_term")
 
 
-def scan(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Standard terms whose words a text (id, text) contains, except a term that is the whole text.
+def covered(inputs: DataFrame, terms: DataFrame, skip: str = "", least: int = 2) -> DataFrame:
+    """Inputs (type, input) that several terms cover from end to end: type, input and the terms in order (parts).
+
+    Characters of `skip` may lie between words. At each place the longest word is taken, and an input counts when
+    at least `least` terms, or one and a skipped character, cover it whole. The words of two characters or more
+    that an input holds are found by their first two characters, so each input meets few of them.
+    """
+    found = scan(inputs.select(F.struct("type", "input").alias("id"), F.col("input").alias("text")).distinct(), terms, words=True)
+    own = found.where(F.col("id.type") == F.col("type")).groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("n"), "word", "standard_term"))).alias("words"))
+    text = F.col("id.input")
+    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(False).alias("skipped"), F.lit(True).alias("ok"))
+
+    def step(s: Column, i: Column) -> Column:
+        here = F.filter("words", lambda w: F.substring(text, i, F.length(w["word"])) == w["word"])
+        hit, gap = F.get(here, F.lit(0)), F.lit(skip).contains(F.substring(text, i, F.lit(1)))
+        taken = F.struct((i + F.length(hit["word"])).alias("at"), F.array_union(s["parts"], F.array(hit["standard_term"])).alias("parts"), s["skipped"].alias("skipped"), s["ok"].alias("ok"))
+        passed = F.struct((i + 1).alias("at"), s["parts"].alias("parts"), (s["skipped"] | gap).alias("skipped"), (s["ok"] & gap).alias("ok"))
+        return F.when(~s["ok"] | (s["at"] > i), s).when(hit.isNotNull(), taken).otherwise(passed)
+
+    end = F.aggregate(F.sequence(F.lit(1), F.length(text)), state, step)
+    out = own.select("id.type", "id.input", end.alias("end"))
+    enough = (F.size("end.parts") >= least) | ((F.size("end.parts") >= 1) & F.col("end.skipped"))
+    return out.where(F.col("end.ok") & (F.col("end.at") == F.length("input") + 1) & enough).select("type", "input", F.col("end.parts").alias("parts"))
+
+
+def stripped_match(inputs: DataFrame, terms: DataFrame, prefixes: tuple[str, ...], suffixes: tuple[str, ...], block: str = "") -> DataFrame:
+    """Inputs (type, input) that are a term or alias once one prefix, one suffix or both are off; none with a blocking character."""
+    begins, ends = f"^(?:{'|'.join(prefixes)})", f"(?:{'|'.join(suffixes)})$"
+    x = F.col("input")
+    rows = inputs.select("type", "input").distinct()
+    rows = rows.where(~x.rlike(f"[{block}]")) if block else rows
+    bodies = F.array(F.regexp_replace(F.regexp_replace(x, begins, ""), ends, ""), F.regexp_replace(x, begins, ""), F.regexp_replace(x, ends, ""))
+    body = rows.select("type", "input", F.posexplode(bodies).alias("order", "word")).where((F.col("word") != x) & (F.length("word") > 0))
+    met = body.join(_bounded(owned_words(terms)), ["type", "word"])
+    return met.groupBy("type", "input").agg(F.min(F.struct("order", F.when(F.col("is_term"), 0).otherwise(1).alias("alias"), "standard_term"))["standard_term"].alias("standard_term"))
+
+
+def rerouted_types(entities: DataFrame, terms: DataFrame, moves: dict[str, tuple[str, ...]]) -> DataFrame:
+    """entities (id, type, content) with the type that they belong to: the first type on their list in which they are a term or alias.
+
+    An entity that its own type knows stays. moves: type to the types that are tried, in order.
+    """
+    known = owned_words(terms).select("type", F.col("word").alias("content")).distinct()
+    order = F.coalesce(*(F.when((F.col("from") == t) & (F.col("type") == u), k) for t, to in moves.items() for k, u in enumerate((t, *to))))
+    wanted = entities.select(F.col("type").alias("from"), "content").where(F.col("from").isin(*moves)).distinct()
+    best = wanted.join(_bounded(known), "content").withColumn("k", order).where("k is not null").groupBy("from", "content").agg(F.min(F.struct("k", "type"))["type"].alias("to"))
+    out = entities.join(best.withColumnRenamed("from", "type"), ["type", "content"], "left")
+    return out.withColumn("moved", F.coalesce(F.col("to") != F.col("type"), F.lit(False))).withColumn("type", F.coalesce("to", "type")).drop("to")
+
+
+def without_fragments(entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """entities (type, content) without single characters that the type's dictionary doesn't have."""
+    one = owned_words(terms).where(F.length("word") == 1).select("type", F.col("word").alias("content")).distinct()
+    short = entities.where(F.length("content") == 1).join(_bounded(one), ["type", "content"], "left_semi")
+    return entities.where(F.length("content") > 1).unionByName(short)
+
+
+def backfilled(entities: DataFrame, raw: DataFrame, terms: DataFrame) -> DataFrame:
+    """entities (id, type, content, level) with terms that the raw text (id, type, text) of records holds, unless all of a type are normalised.
+
+    Entities without a level that are part of a found term give way to it.
+    """
+    state = entities.groupBy("id", "type").agg(F.every(F.coalesce("level", F.lit(0)) > 0).alias("done"))
+    open_rows = raw.join(state, ["id", "type"], "left").where(~F.coalesce("done", F.lit(False))).drop("done")
+    found = scan(open_rows.select(F.struct("id", "type").alias("id"), "text"), terms).where(F.col("id.type") == F.col("type")).select("id.id", "type", F.col("standard_term").alias("content"))
+    new = found.join(entities.select("id", "type", "content"), ["id", "type", "content"], "left_anti").withColumn("level", F.lit(EXACT))
+    hits = found.groupBy("id", "type").agg(F.collect_set("content").alias("hits"))
+    kept = entities.join(hits, ["id", "type"], "left")
+    part = F.exists(F.coalesce("hits", F.array().cast("array<string>")), lambda h: h.contains(F.col("content")) & (h != F.col("content")))
+    kept = kept.where(~(part & (F.coalesce("level", F.lit(0)) == 0))).drop("hits")
+    return kept.unionByName(new.select(*kept.columns))
+
+
+def herb_entities(herbs: DataFrame, terms: DataFrame, reset: bool = False) -> DataFrame:
+    """herbs (id, name, raw, dosage) with their standard name and level; dosages are trimmed and lower-cased. reset: a miss takes the raw name."""
+    hits = judge(herbs.select(F.lit("herb").alias("type"), F.col("name").alias("input")), terms).select(F.col("input").alias("name"), "standard_term", "level")
+    miss = F.coalesce("raw", "name") if reset else F.col("name")
+    out = herbs.join(hits, "name", "left")
+    return out.select("id", F.coalesce("standard_term", miss).alias("name"), F.lower(F.trim("dosage")).alias("dosage"), F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def impact(inputs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """What a dictionary change does to each distinct (type, input): gained, lost, changed or same, with both levels; suspect where the new term is under half as long."""
+    a = judge(inputs, old).select("type", "input", F.col("standard_term").alias("before"), F.col("level").alias("old_level"))
+    b = judge(inputs, new).select("type", "input", F.col("standard_term").alias("after"), F.col("level").alias("new_level"))
+    both = a.join(b, ["type", "input"], "full_outer")
+    change = F.when(F.col("before").isNull() & F.col("after").isNotNull(), "gained").when(F.col("after").isNull() & F.col("before").isNotNull(), "lost").when(F.col("before") != F.col("after"), "changed").otherwise("same")
+    return both.withColumn("change", change).withColumn("suspect", F.coalesce(2 * F.length("after") < F.length("input"), F.lit(False)))
+
+
+def suggestion_text(suggestions: DataFrame) -> DataFrame:
+    """One line for each (type, input) with its candidates in order (rn)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rn", "standard_term"))), lambda x: x["standard_term"])
+    return suggestions.groupBy("type", "input").agg(F.concat(F.col("input"), F.lit("："), F.array_join(listed, "、")).alias("text"))
+
+
+def scan(texts: DataFrame, terms: DataFrame, words: bool = False) -> DataFrame:
+    """Standard terms whose words a text (id, text) contains, except a term that is the whole text; with `words`, the words too.
 
     The dictionary has a checked size; a larger one meets the texts by the first two characters of each word.
     """
-    words = owned_words(terms).where(F.length("word") >= 2)
-    words = words.withColumn("head", F.substring("word", 1, 2))
+    owned = owned_words(terms).where(F.length("word") >= 2)
+    owned = owned.withColumn("head", F.substring("word", 1, 2))
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(2))))
     placed = texts.where("text is not null").select("id", "text", F.explode(heads).alias("head"))
-    met = placed.join(_bounded(words), "head").where(F.col("text").contains(F.col("word")) & (F.col("standard_term") != F.col("text")))
-    return met.select("id", "type", "standard_term").distinct()
+    met = placed.join(_bounded(owned), "head").where(F.col("text").contains(F.col("word")) & (F.col("standard_term") != F.col("text")))
+    return met.select("id", "type", "standard_term", *(["word"] if words else [])).distinct()
 
 
 def suggest(inputs: DataFrame, terms: DataFrame, least: int = 2, top: int = 5) -> DataFrame:

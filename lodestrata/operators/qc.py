@@ -157,3 +157,68 @@ def merge_reviews(tasks: DataFrame, records: DataFrame, day: Column, workdays: i
         F.when(pending, due).otherwise(F.col("deadline")).alias("deadline"),
         (F.col("grade").isNotNull() & ~F.coalesce(pending, F.lit(False))).alias("is_obsolete"),
     )
+
+
+def missing_lists(rules: RuleSet, lists: dict[str, Column]) -> tuple[Column, Column]:
+    """Names of elements that are missing whole, and of those that raw text stands in for."""
+    found = completeness(rules, lists)
+    pick = lambda kind: F.transform(F.filter(found, lambda d: d["reason"] == kind), lambda d: d["item"])
+    return pick("missing"), pick("partial")
+
+
+def checked(df: DataFrame, rules: RuleSet, lists: dict[str, Column]) -> DataFrame:
+    """A record's check alone: missing elements (whole or partial) and format errors, as text, without a score."""
+    whole, partial = missing_lists(rules, lists)
+    wrong = F.transform(formats(rules), lambda d: d["item"])
+    return df.select("id", F.array_join(F.concat(whole, partial), "、").alias("missing"), F.array_join(wrong, "、").alias("format_errors"))
+
+
+def governed_after(old: Column, new_grade: Column) -> Column:
+    """A record stays governed only while it is qualified."""
+    return old & F.coalesce(new_grade == QUALIFIED, F.lit(False))
+
+
+def with_fallback_score(df: DataFrame, computed: Column) -> DataFrame:
+    """df with score where one is stored, else the computed one; recomputed tells which."""
+    return df.withColumn("recomputed", F.col("score").isNull()).withColumn("score", F.coalesce("score", computed))
+
+
+def fingerprint(document: Column, points: Column, g: Column) -> Column:
+    """What a review was based on: a hash of the document, score and grade."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.sha2(F.concat(text(document), F.lit("\0"), text(points), F.lit("\0"), text(g)).cast("binary"), 256)
+
+
+def reviewed(records: DataFrame, reviews: DataFrame, rules: RuleSet) -> DataFrame:
+    """Outcome of human reviews (id, fingerprint, deductions after correction): refused for invalid records and stale fingerprints, else re-scored.
+
+    records: id, grade, structured_data, score, deductions. A duplicate's deduction stays whatever the correction says.
+    """
+    r = reviews.select("id", F.col("fingerprint").alias("seen"), F.col("deductions").alias("new"))
+    both = records.join(r, "id")
+    now = fingerprint(F.col("structured_data"), F.col("score"), F.col("grade"))
+    kept = F.filter("deductions", lambda d: d["type"] == "重复数据")
+    merged = F.concat(F.filter("new", lambda d: d["type"] != "重复数据"), kept)
+    points = score(merged)
+    conflict = F.exists(merged, lambda d: d["type"] == "逻辑冲突")
+    outcome = F.when(F.col("grade") == INVALID, "invalid").when(F.col("seen") != now, "stale").otherwise("accepted")
+    return both.select("id", outcome.alias("outcome"), F.when(outcome == "accepted", points).otherwise(F.col("score")).alias("score"), F.when(outcome == "accepted", grade(rules, points, conflict)).otherwise(F.col("grade")).alias("grade"))
+
+
+def rules_of(document: dict | None) -> RuleSet:
+    """A rule set from its stored form: unknown keys and values of a wrong type or below 0 fall back to the defaults."""
+    given, base = document or {}, RuleSet()
+    number = lambda name, most: v if isinstance(v := given.get(name), int) and not isinstance(v, bool) and 0 <= v <= most else getattr(base, name)
+    kinds = tuple(k for k in given.get("standardized") or () if k in BY_KEY) if isinstance(given.get("standardized"), list) else base.standardized
+    rules = [r for r in given.get("consistency") or () if isinstance(r, dict) and r.get("trigger") in BY_KEY and r.get("expect") in BY_KEY and r.get("name")]
+    made = tuple(Consistency(r["name"], r["trigger"], tuple(r.get("trigger_values") or ()), r["expect"], tuple(r.get("expect_values") or ()), r.get("weight", 10)) for r in rules)
+    invalid, upper = number("invalid", 100), number("review_upper", 100)
+    if invalid > upper:
+        invalid, upper = base.invalid, base.review_upper
+    return RuleSet(consistency=made, standardized=kinds, weight_each=number("weight_each", 100), cap=max(1, number("cap", 100)), duplicate=number("duplicate", 100), review_upper=upper, invalid=invalid)
+
+
+def narrative(deductions: Column, points: Column, g: Column) -> Column:
+    """The result in a sentence: score, grade, and each deduction with its points."""
+    parts = F.transform(deductions, lambda d: F.concat(d["type"], F.lit("："), d["item"], F.lit(" -"), d["points"].cast("string")))
+    return F.concat(F.lit("评分 "), points.cast("string"), F.lit("，"), g, F.when(F.size(parts) > 0, F.concat(F.lit("。"), F.array_join(parts, "；"))).otherwise(F.lit("。无扣分")))

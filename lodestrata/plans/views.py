@@ -87,3 +87,108 @@ def deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DEDUCTIONS_SQL = """deductions AS (
   SELECT l_returnflag AS type, l_linestatus || CAST(l_linenumber AS VARCHAR) AS item, CAST(trunc(l_quantity) AS INTEGER) AS points FROM lineitem)"""
+
+
+# Words of the made-up charts below: sentences and terms that take every branch of the text rules.
+SYMPTOMS = ("压痛明显", "左关弦", "舌下瘀点", "大便干", "活动后气喘", "口干", "头痛三天", "食欲略差", "关节痛", "脉细数", "痛", "咳嗽", "胸闷", "尺沉", "偏头痛", "反复发作", "小便黄", "心悸", "失眠多梦", "腰痛明显", "乏力", "双下肢水肿", "苔藓样皮疹", "夜间明显")
+PATTERNS = ("气虚证", "血瘀证", "湿热证", "肝郁证")
+TONGUES = ("舌淡红", "苔薄白", "边有齿痕", "舌红")
+PULSES = ("脉细", "脉弦滑", "脉浮", "尺沉")
+CAUSES = ("风寒", "湿热")
+KINDS = ("disease", "pattern", "symptom", "herb", "formula", "tongue", "pulse", "cause")
+FIELDS = ("diseases", "patternList", "symptoms", "herbs", "formulaList", "tongueList", "pulseList", "causeList")
+SENTENCES = (
+    "舌质淡胖，边有齿痕，苔白腻。脉细数，左尺无力。",
+    "患者反酸，无腹痛，食欲不振。治以健脾益气。",
+    "炒苍术10g,黄柏10g，检查蛋白15g。关节痛，尺沉。",
+    "因风寒外感，咳嗽三天；无发热、头痛。舌红少苔，或有裂纹。",
+    "苔藓样皮疹，脉弦。寸略旺，右关尤甚。电话13812345678",
+    "大便干 ,  小便黄..夜寐可。治法疏肝,当归12g",
+    "",
+)
+
+
+def _pick(words: tuple[str, ...], at):
+    return F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
+
+
+def _sql_pick(words: tuple[str, ...], at: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][{at} % {len(words)} + 1]"
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line item stands for an entity of a record's structured document, before it is written as one."""
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    slot = (F.col("l_partkey") + F.col("l_linenumber")) % 8
+    words = {1: PATTERNS, 2: SYMPTOMS, 5: TONGUES, 6: PULSES, 7: CAUSES}
+    term = F.col("p_name")
+    for k, w in words.items():
+        term = F.when(slot == k, _pick(w, F.col("l_partkey"))).otherwise(term)
+    form = F.col("l_suppkey") % 7
+    level = F.when((F.col("l_partkey") % 3 != 0) & (form != 0), (F.col("l_linenumber") % 4).cast("int"))
+    return line.select(
+        F.col("l_orderkey").alias("record_id"),
+        _pick(KINDS, slot).alias("kind"),
+        _pick(FIELDS, slot).alias("field"),
+        term.alias("term"),
+        form.alias("form"),
+        level.alias("norm_level"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("G ")).alias("dosage"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("place"),
+    )
+
+
+MENTIONS_SQL = f"""mentions AS (
+  SELECT l_orderkey AS record_id, {_sql_pick(KINDS, '((l_partkey + l_linenumber) % 8)')} AS kind, {_sql_pick(FIELDS, '((l_partkey + l_linenumber) % 8)')} AS field,
+    CASE (l_partkey + l_linenumber) % 8 WHEN 1 THEN {_sql_pick(PATTERNS, 'l_partkey')} WHEN 2 THEN {_sql_pick(SYMPTOMS, 'l_partkey')} WHEN 5 THEN {_sql_pick(TONGUES, 'l_partkey')}
+      WHEN 6 THEN {_sql_pick(PULSES, 'l_partkey')} WHEN 7 THEN {_sql_pick(CAUSES, 'l_partkey')} ELSE p_name END AS term,
+    l_suppkey % 7 AS form, CASE WHEN l_partkey % 3 <> 0 AND l_suppkey % 7 <> 0 THEN CAST(l_linenumber % 4 AS INTEGER) END AS norm_level,
+    CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR) || 'G ' AS dosage, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS place
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_orderkey % 19 <> 0 AND l_orderkey % 23 <> 0 AND l_orderkey % 29 <> 0 AND l_orderkey % 31 <> 0), ents AS (
+  SELECT *, CASE WHEN form = 1 THEN '' ELSE term END AS content, CASE WHEN form <> 0 THEN term END AS source_text, form = 0 AS plain FROM mentions)"""
+
+
+def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a structured document (some missing, broken, empty or of another shape) and narrative columns."""
+    m = mentions(spark, sf_dir)
+    content = F.when(F.col("form") == 1, "").otherwise(F.col("term"))
+    entity = F.to_json(F.struct(content.alias("content"), F.col("term").alias("sourceText"), F.col("norm_level").alias("normLevel")))
+    herb = F.to_json(F.struct(content.alias("name"), "dosage", F.col("term").alias("sourceText"), F.col("norm_level").alias("normLevel")))
+    element = F.when(F.col("form") == 0, F.concat(F.lit('"'), "term", F.lit('"'))).when(F.col("kind") == "herb", herb).otherwise(entity)
+    lists = m.withColumn("element", element).groupBy("record_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "element"))), lambda x: x["element"]).alias("elements"))
+    part = F.concat(F.lit('"'), F.col("field"), F.lit('":['), F.array_join("elements", ","), F.lit("]"))
+    meta = F.concat(F.lit('"_meta":{"dictVersion":"v1","manuallyEdited":'), F.when(F.col("record_id") % 10 == 0, "true").otherwise("false"), F.lit("}"))
+    documents = lists.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list(part)), ",").alias("lists"))
+    documents = documents.select(F.col("record_id").alias("id"), F.concat(F.lit("{"), F.col("lists"), F.lit(","), meta, F.lit("}")).alias("whole"))
+    key = F.col("id")
+    odd = F.when(key % 19 == 0, F.lit(None)).when(key % 23 == 0, '{"symptoms": [').when(key % 29 == 0, "{}").when(key % 31 == 0, '{"symptoms":"none"}')
+    rows = records(spark, sf_dir).join(documents, "id", "left").withColumn("structured_data", F.when((key % 19 == 0) | (key % 23 == 0) | (key % 29 == 0) | (key % 31 == 0), odd).otherwise(F.col("whole"))).drop("whole")
+    blank = key % 13 == 0
+    text = _pick(SENTENCES, key)
+    return rows.select(
+        "*",
+        F.when(key % 5 == 0, "男").when(key % 5 == 1, " 女").when(key % 5 == 3, "未知的性别").when(key % 5 == 4, "其他").alias("gender"),
+        F.when(key % 4 == 0, "34岁").when(key % 4 == 1, "3个月").when(key % 4 == 2, "多大").alias("age"),
+        F.when(~blank, text).alias("chief_complaint"),
+        F.when(~blank & (key % 3 == 0), "感冒").alias("tcm_diagnosis"),
+        F.when(key % 7 == 0, "  ").alias("western_diagnosis"),
+        F.when(key % 26 != 0, F.lit("")).alias("present_illness"),
+        F.when(key % 11 == 0, "自述头痛").alias("self_report"),
+        F.when(key % 6 == 0, "气虚证、血瘀证，湿热证").when(key % 6 == 1, " ").alias("pattern"),
+        F.when(key % 8 == 0, "炒苍术10g,黄柏10g").when(key % 8 == 1, " 当归 ").alias("prescription"),
+        F.when(key % 9 == 0, "舌淡").alias("tongue"),
+        F.when(key % 10 == 0, "脉细").alias("pulse"),
+        F.concat(F.lit("R"), (key % 977).cast("string")).alias("registration_no"),
+    )
+
+
+CHARTS_SQL = f"""charts AS (
+  SELECT *, CASE id % 5 WHEN 0 THEN '男' WHEN 1 THEN ' 女' WHEN 3 THEN '未知的性别' WHEN 4 THEN '其他' END AS gender,
+    CASE id % 4 WHEN 0 THEN '34岁' WHEN 1 THEN '3个月' WHEN 2 THEN '多大' END AS age, CASE WHEN id % 13 <> 0 THEN {_sql_pick(SENTENCES, 'id')} END AS chief_complaint,
+    CASE WHEN id % 13 <> 0 AND id % 3 = 0 THEN '感冒' END AS tcm_diagnosis, CASE WHEN id % 7 = 0 THEN '  ' END AS western_diagnosis, CASE WHEN id % 26 <> 0 THEN '' END AS present_illness,
+    CASE WHEN id % 11 = 0 THEN '自述头痛' END AS self_report, CASE id % 6 WHEN 0 THEN '气虚证、血瘀证，湿热证' WHEN 1 THEN ' ' END AS pattern,
+    CASE id % 8 WHEN 0 THEN '炒苍术10g,黄柏10g' WHEN 1 THEN ' 当归 ' END AS prescription, CASE WHEN id % 9 = 0 THEN '舌淡' END AS tongue, CASE WHEN id % 10 = 0 THEN '脉细' END AS pulse,
+    'R' || CAST(id % 977 AS VARCHAR) AS registration_no,
+    id % 19 = 0 AS no_document, id % 19 <> 0 AND id % 23 = 0 AS bad_document
+  FROM records)"""

@@ -56,11 +56,22 @@ def test_whole_texts_are_masked(spark, tmp_path):
 
 def test_text_rules():
     assert text.punctuation_of("舌淡 , 苔白.. 脉细") == "舌淡，苔白。脉细"
-    assert text.negated_span("反酸", "无腹痛反酸") and not text.negated_span("食欲不振", "食欲不振")
-    assert not text.negated_span("反酸", "无腹痛。反酸")
     assert text.replaced_text("无头疼，头疼三天", {"头疼": "头痛"}) == "无头疼，头痛三天"
 
 
+def test_negation(spark):
+    """A term is negated where each of its places is: by its own clause, up to 30 characters back."""
+    cases = [
+        ("反酸", "无腹痛反酸", True), ("食欲不振", "食欲不振", False), ("反酸", "无腹痛。反酸", False), ("反酸", "无反酸，有反酸", False), ("反酸", "无反酸，未见反酸", True),
+        ("不痛快", "", True), ("无汗", None, True), ("打嗝", "无腹胀、反酸、打嗝", True), ("头痛", "无" + "热" * 40 + "头痛", False), ("头痛", "否认" + "热" * 20 + "头痛", True),
+        ("", "无", False), (None, "无", False), ("a.b", "无a.b", True), ("a.b", "无axb", False), ("痛痛", "无痛痛痛", True), ("寐", "不寐", True),
+    ]
+    rows = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(cases)], "i int, span string, text string")
+    got = {r["i"]: r["n"] for r in rows.select("i", text.negated(F.col("span"), F.col("text")).alias("n")).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+    assert text.replaced_text("不发头疼，不适头疼", {"头疼": "头痛", "疼": "x"}) == "不发头疼，不适头痛"
+
+
 def test_columns(spark):
     one = spark.range(1)
     row = one.select(
