@@ -216,9 +216,17 @@ def cut(c: Column, n: int) -> Column:
     return F.substring(F.trim(c), 1, n)
 
 
-def decoded(c: Column) -> Column:
-    """Bytes as UTF-8, or as GBK where they are none."""
-    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.decode(c, "GBK"))
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes as UTF-8, or as GBK where they are none (built-in decoding knows no GBK)."""
+
+    def text(raw: bytes) -> str:
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return raw.decode("gbk", "replace")
+
+    return content.map(lambda raw: text(bytes(raw)), na_action="ignore")
 
 
 def first_filled(*columns: Column | str, most: int = 40) -> Column:

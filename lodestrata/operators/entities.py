@@ -102,11 +102,9 @@ def effective_pairs(pairs: DataFrame, records: DataFrame, columns: tuple[str, ..
 def stamped(df: DataFrame, version: str, at: str, terms: int, document: str = "structured_data") -> DataFrame:
     """df with provenance: _meta of a parsed document tells the dictionary that it was normalised by; other members stay."""
     meta = F.struct(F.lit(version).alias("dictVersion"), F.lit(at).alias("dictCapturedAt"), F.lit(terms).alias("dictTermCount"))
-    members = F.from_json(document, "map<string,string>")
-    rest = F.map_filter(members, lambda k, v: (k != "_meta") & v.isNotNull())
-    # Members are JSON text already; they are put together again around the new mark.
-    body = F.array_join(F.transform(F.array_sort(F.map_keys(rest)), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.element_at(rest, k))), ",")
-    whole = F.concat(F.lit("{"), F.when(body != "", F.concat(body, F.lit(","))).otherwise(F.lit("")), F.lit('"_meta":'), F.to_json(meta), F.lit("}"))
+    members = F.from_json(document, "map<string,variant>")
+    rest = F.map_filter(members, lambda k, _: k != "_meta")
+    whole = F.to_json(F.map_concat(rest, F.create_map(F.lit("_meta"), F.to_variant_object(meta))))
     return df.withColumn(document, F.when(members.isNotNull(), whole).otherwise(F.col(document)))
 
 

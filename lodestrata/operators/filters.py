@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lodestrata.schema import QUALIFIED
 
 
+#: Identifiers in a condition up to which they are literals.
+MOST_LITERALS = 50
+
+
 @dataclass(frozen=True)
 class Scope:
     """Who asks: everything, one organisation, or (blank) nothing at all."""
@@ -79,7 +83,7 @@ class RecordFilter:
             out &= F.col("structured_data").isNull()
         if self.only_uncleaned:
             out &= ~F.col("governed")
-        if self.ids:
+        if 0 < len(self.ids) <= MOST_LITERALS:
             out &= F.col("id").isin(*self.ids)
         return out
 
@@ -89,7 +93,12 @@ class RecordFilter:
         return " · ".join(parts) or "all"
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(self.predicate())
+        """Rows that meet all conditions; a long list of ids is a table that they are joined with."""
+        out = df.where(self.predicate())
+        if len(self.ids) > MOST_LITERALS:
+            wanted = df.sparkSession.createDataFrame([(i,) for i in self.ids], df.select("id").schema)
+            out = out.join(wanted.distinct(), "id", "left_semi")
+        return out
 
     def guard_delete(self) -> None:
         """A delete without any condition is refused."""
@@ -97,8 +106,13 @@ class RecordFilter:
             raise ValueError("a delete needs a condition")
 
 
-def for_cleaning(df: DataFrame) -> DataFrame:
-    return df.where(F.col("grade") == QUALIFIED)
+def cleaning_filter(user: RecordFilter) -> RecordFilter:
+    """A user's filter as cleaning takes it: the grade is always qualified, an import range is dropped."""
+    return replace(user, grade=QUALIFIED, create_range=None)
+
+
+def for_cleaning(df: DataFrame, user: RecordFilter | None = None) -> DataFrame:
+    return cleaning_filter(user or RecordFilter()).apply(df)
 
 
 def for_export(df: DataFrame) -> DataFrame:
@@ -145,11 +159,15 @@ def keyword(df: DataFrame, text: str, columns: tuple[str, ...] = ("operator", "t
     return df.where(found)
 
 
-def visible_logs(df: DataFrame, role: str, operator: str, org_id: str | None) -> DataFrame:
+def log_predicate(role: str, operator: str, org_id: str | None) -> Column:
     """Admins see all logs, owners their organisation's, members their own there, others their own."""
     own = F.col("operator") == operator
     org = F.col("org_id") == (org_id or "")
-    return df.where({"admin": F.lit(True), "owner": org, "member": org & own}.get(role, own))
+    return {"admin": F.lit(True), "owner": org, "member": org & own}.get(role, own)
+
+
+def visible_logs(df: DataFrame, role: str, operator: str, org_id: str | None) -> DataFrame:
+    return df.where(log_predicate(role, operator, org_id))
 
 
 def visible_tasks(df: DataFrame, scope: Scope, status: str | None = None, overdue_at: Column | None = None) -> DataFrame:

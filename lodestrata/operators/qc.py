@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import add_workdays, blank_to_null
+from lodestrata.operators.cleaning import first_of, later_copies
 from lodestrata.schema import AGE_PATTERN, BY_KEY, GENDERS, INVALID, PENDING, QUALIFIED, STATUS
 
 
@@ -119,9 +120,9 @@ def status(g: Column) -> Column:
 
 
 def duplicate_flag(df: DataFrame, key: str = "text_hash") -> DataFrame:
-    """Every row of a text but its latest is a duplicate. Ranked by key, so a hot text is one sort; nothing is collected."""
-    w = Window.partitionBy(key).orderBy(F.col("visit_time").desc_nulls_last(), F.col("id").asc())
-    return df.withColumn("duplicate", (F.row_number().over(w) > 1) & F.col(key).isNotNull())
+    """Every row of a text but its latest is a duplicate. The latest is found by partial aggregation, so a hot text is no sort."""
+    out = df.join(first_of(df, key), key, "left")
+    return out.withColumn("duplicate", F.coalesce(later_copies(out, key), F.lit(False))).drop("__first").select(*df.columns, "duplicate")
 
 
 def scored(df: DataFrame, rules: RuleSet, lists: dict[str, Column], texts: dict[str, Column], misses: Column, duplicate: Column) -> DataFrame:

@@ -55,7 +55,8 @@ def department_rates(df: DataFrame) -> DataFrame:
 
 def score_histogram(df: DataFrame) -> DataFrame:
     """All five score bands in order, also those without rows; a null score is in none."""
-    bands = df.sparkSession.createDataFrame([(k, f"{a}-{b}", a, b) for k, (a, b) in enumerate(SCORE_BUCKETS)], "position int, bucket string, low int, high int")
+    names = F.array(*(F.lit(f"{a}-{b}") for a, b in SCORE_BUCKETS))
+    bands = df.sparkSession.range(1).select(F.posexplode(names).alias("position", "bucket"))
     band = reduce(lambda c, x: c.when(F.col("score").between(*x[1]), x[0]), enumerate(SCORE_BUCKETS), F.when(F.lit(False), -1))
     counts = df.where("score is not null").groupBy(band.alias("position")).agg(F.count("*").alias("n"))
     return bands.join(F.broadcast(counts), "position", "left").select("position", "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -86,7 +87,7 @@ def deduction_stats(deductions: DataFrame, top: int = 20) -> DataFrame:
 
     deductions: type, item, points. grouping: 0 a pair, 1 a type, 3 everything.
     """
-    sums = deductions.groupingSets([("type", "item"), ("type",), ()], "type", "item") if hasattr(deductions, "groupingSets") else deductions.rollup("type", "item")
+    sums = deductions.groupingSets([("type", "item"), ("type",), ()], "type", "item")
     out = sums.agg(F.grouping_id().cast("int").alias("grouping"), F.count("*").alias("n"), F.coalesce(F.sum("points"), F.lit(0)).cast("long").alias("points"))
     rank = F.row_number().over(Window.partitionBy("grouping").orderBy(F.desc("points"), F.asc_nulls_last("type"), F.asc_nulls_last("item")))
     return out.withColumn("rn", rank).where((F.col("grouping") > 0) | (F.col("rn") <= top)).drop("rn")

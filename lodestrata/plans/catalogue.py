@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import add_workdays, digits_template, mask_pii
 from lodestrata.operators import dictionary as dic
 from lodestrata.operators import filters, normalize, qc, stats
-from lodestrata.plans import views
+from lodestrata.plans import lifecycle, rules, structured, views
 from lodestrata.schema import PENDING
 from lodestrata.streaming import windows
 
@@ -26,12 +26,15 @@ def overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.records(spark, sf_dir)
+    """What three askers see, in one pass over the records."""
+    scopes = {"all": filters.Scope(view_all=True), "one": filters.Scope(" BUILDING "), "none": filters.Scope("")}
+    return _counts(views.records(spark, sf_dir), {k: s.predicate() for k, s in scopes.items()}, "scope")
 
-    def count(name: str, scope: filters.Scope) -> DataFrame:
-        return scope.apply(rows).agg(F.count("*").alias("n")).select(F.lit(name).alias("scope"), "n")
 
-    return count("all", filters.Scope(view_all=True)).unionAll(count("one", filters.Scope(" BUILDING "))).unionAll(count("none", filters.Scope("")))
+def _counts(df: DataFrame, conditions: dict, name: str) -> DataFrame:
+    """A row for each named condition with how many rows meet it."""
+    one = df.agg(*(F.count_if(c).alias(k) for k, c in conditions.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias(name), F.col(k).alias("n")) for k in conditions))).alias("x")).select("x.*")
 
 
 def search_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +126,7 @@ def review_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.logs(spark, sf_dir)
-
-    def count(role: str) -> DataFrame:
-        return filters.visible_logs(rows, role, "7", "1").agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), "n")
-
-    return count("admin").unionAll(count("owner")).unionAll(count("member")).unionAll(count("other"))
+    return _counts(views.logs(spark, sf_dir), {role: filters.log_predicate(role, "7", "1") for role in ("admin", "owner", "member", "other")}, "role")
 
 
 def log_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,9 +265,11 @@ SELECT type, input, standard_term, overlap, CAST(row_number() OVER (PARTITION BY
 #: The same queries over a dictionary that holds every part.
 WHOLE = {f"{f.__name__}_whole": partial(f, whole=True) for f in (dict_overlay, dict_diff, dict_merge_aliases, dict_collisions, dict_content_version, dict_quality, dict_cross_type, dict_effective_counts)}
 ORACLE |= {name: ORACLE[name.removesuffix("_whole")].replace(_D, views.WHOLE_DICTIONARY_SQL) for name in WHOLE}
+for _module in (structured, rules, lifecycle):
+    ORACLE |= _module.ORACLE
 ORACLE["candidate_topk_whole"] = ORACLE["candidate_topk"].replace(" WHERE p_size % 5 = 0", "").replace(" WHERE p_size % 2 = 0", "")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = globals() | WHOLE
-    return {name: found[name] for name in ORACLE}
+    found = globals() | WHOLE | structured.QUERIES | rules.QUERIES | lifecycle.QUERIES
+    return {name: found[name] for name in (*ORACLE, "text_windows")}

@@ -87,7 +87,7 @@ def write_csv(lines: DataFrame, headers: list[str], path: str, order: str = "id"
         first = True
         for batch in batches:
             if first:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], ["line"])
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
                 first = False
             yield batch
 
