@@ -130,10 +130,9 @@ def normalized_datetime(c: Column) -> Column:
     t = F.trim(F.regexp_replace(F.regexp_replace(c, "T", " "), r"\s+", " "))
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[年月/.]", "-"), "日", ""), r"-(?=\s|$)", "")
     compact = F.when(t.rlike(r"^\d{8}$|^\d{12}$|^\d{14}$"), F.rpad(t, 14, "0"))
-    day = F.regexp_extract(t, r"^(\d{4})-(\d{1,2})-(\d{1,2})", 0)
-    part = lambda k: F.lpad(F.regexp_extract(t, r"^(\d{4})-(\d{1,2})-(\d{1,2})(?: (\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?.*)?$", k), 2, "0")
-    spelled = F.when(day != "", F.concat(F.substring(t, 1, 4), part(2), part(3), part(4), part(5), part(6)))
-    return F.try_to_timestamp(F.coalesce(compact, spelled), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    spelled = F.regexp_extract(t, r"^\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}(?::\d{1,2}(?::\d{1,2})?)?)?", 0)
+    parsed = F.coalesce(F.try_to_timestamp(compact, F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(F.nullif(spelled, F.lit("")), F.lit("yyyy-M-d[ H[:m[:s]]]")))
+    return parsed.cast("timestamp_ntz")
 
 
 def _is_cjk(ch: str) -> bool:
