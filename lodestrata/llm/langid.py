@@ -11,12 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import drop_dir, stored, work_dir
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, DIM = 10, 8
 TAPS = max(WIDTHS)
 #: Bound of the training sample: documents a language and in all (one of each language at least), and windows taken from each.
 DOCS_A_LANGUAGE, TRAIN_DOCS, WINDOWS_A_DOC = 800, 50_000, 3
+#: Shares of all languages up to this size are broadcast; a larger table is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 _ASCII = re.compile("[A-Za-z]")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -121,17 +125,21 @@ def fit(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Network
 
     A sample of at most docs_a_language documents of a language, and about TRAIN_DOCS in all, is drawn by hash, so
     that it is the same in every run. Every language that is labelled is learned, however rare; a window that many
-    rows share counts once. Only windows come to the driver.
+    rows share counts once. Texts are drawn where they are read, as one language may hold most of them. Only
+    windows come to the driver.
     """
+    folder = work_dir(labelled.sparkSession, "langid")
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n"))
-    languages = counts.count()
+    counts = stored(rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")), folder + "/counts")
+    languages, size = counts.agg(F.count("*"), F.sum(F.octet_length("lang") + 16)).first()
     if not languages:
+        drop_dir(labelled.sparkSession, folder)
         return None
     each = max(1, min(docs_a_language, TRAIN_DOCS // languages))
     # A rare language is taken whole; of a frequent one a share that gives about `each` different texts.
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("__share"))
-    drawn = rows.select("text", "lang").join(share, "lang").where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
+    hint = F.broadcast(share) if size <= BROADCAST_BYTES else share
+    drawn = rows.select("text", "lang").join(hint, "lang").where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -143,6 +151,7 @@ def fit(labelled: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Network
             yield pd.DataFrame(out, columns=["lang", "window"])
 
     got = drawn.select("text", "lang").mapInPandas(cut, "lang string, window binary").distinct().toPandas()
+    drop_dir(labelled.sparkSession, folder)
     if got.empty:
         return None
     got["window"] = got["window"].map(bytes)
