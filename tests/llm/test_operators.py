@@ -528,6 +528,15 @@ def test_every_language_is_learned(spark):
     assert len(langid.fit(docs).languages) == 70
 
 
+def test_shares_joined_by_shuffle_draw_the_same_texts(spark, monkeypatch):
+    """Beyond its bound the table of shares isn't broadcast; the network stays the same."""
+    docs = spark.createDataFrame([(i, f"{w} {i} {w}", w) for i in range(200) for w in ("ja", "nein")], "doc_id long, text string, lang string")
+    want = langid.fit(docs, docs_a_language=20)
+    monkeypatch.setattr(langid, "BROADCAST_BYTES", -1)
+    got = langid.fit(docs, docs_a_language=20)
+    assert got.languages == want.languages == ["ja", "nein"] and np.array_equal(got.out, want.out) and np.array_equal(got.emb, want.emb)
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
