@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Bits of a register for leading zeros, and for the mantissa.
 ZEROS, MANTISSA = 6, 10
+#: Lists of a band with up to one member more give all their pairs; a longer one's members meet in one task.
+SHORT_LIST = 3
 #: Standard deviations by which an estimate may be too low: of 10**8 links one is missed at most.
 MARGIN = 5.7
 #: Draws for an empty bucket, before the nearest full one to its right is taken.
@@ -199,7 +201,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(signatures(docs, words), folder + "/signatures")
     classes = stored(found.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("m").alias("m")), folder + "/classes")
-    met = stored(candidates(bands(classes), percent), folder + "/met")
+    met = stored(candidates(bands(classes), percent, SHORT_LIST), folder + "/met")
     pairs = stored(estimated(met, classes, percent), folder + "/pairs")
     tied = components(spark, pairs, folder + "/clusters")
     clusters = stored(tied.select(F.col("node").alias("c"), F.col("root").alias("cluster")).unionByName(tied.select(F.col("root").alias("c"), F.col("root").alias("cluster")).distinct()), folder + "/members")

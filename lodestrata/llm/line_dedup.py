@@ -38,6 +38,9 @@ class LineRuns:
         keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
         return docs.select(F.explode(F.filter(keys, lambda k: F.length(k) >= self.min_chars)).alias("key")).select(F.unhex(F.md5("key")).alias("hash"))
 
+    def _counted(self, docs: DataFrame) -> DataFrame:
+        return self._hashes(docs).groupBy("hash").agg(F.count("*").alias("docs"))
+
     def _write(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -58,8 +61,12 @@ class LineRuns:
         return rows
 
     def add(self, docs: DataFrame) -> None:
-        """Adds the run of one batch (each document counts once for a key), then compacts full levels."""
-        self._write(self._hashes(docs).repartition(self.buckets, "hash").groupBy("hash").agg(F.count("*").alias("docs")), 0)
+        """Adds the run of one batch (each document counts once for a key), then compacts full levels.
+
+        A task sums its lines before they are dealt, so a line of all documents is one row a task.
+        """
+        counts = self._counted(docs)
+        self._write(counts if self.buckets == int(self.spark.conf.get("spark.sql.shuffle.partitions")) else counts.repartition(self.buckets, "hash"), 0)
         self.compact()
 
     def compact(self) -> None:
@@ -133,8 +140,10 @@ def dedup_corpus(spark: SparkSession, docs: DataFrame, min_docs: int = 10, batch
     """
     folder = work_dir(spark, "lines")
     runs = LineRuns(spark, folder, min_chars=min_chars)
-    for k in range(batches):
-        runs.add(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k))
-    common = stored(runs.common(min_docs), f"{folder}/common")
-    runs.close()
+    try:
+        for k in range(batches):
+            runs.add(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k))
+        common = stored(runs.common(min_docs), f"{folder}/common")
+    finally:
+        runs.close()
     return drop_common(docs, common, min_chars)

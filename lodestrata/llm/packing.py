@@ -4,7 +4,8 @@ The program has a variable for each pattern (lengths that fit one sequence toget
 length. Multiplicative weights solve it: weights on the lengths, a knapsack over the capacity prices patterns,
 and weights of lengths that a pattern serves fall. The fractional patterns are rounded to whole sequences, the
 program is solved again for what is left, and the last pieces (below a tenth on texts' lengths) go best fit into
-what room there is. All of this works on at most `capacity` histogram bins and on (pattern, count) pairs,
+what room there is. If that takes more sequences than the lower bound, growing shares of the rounded sequences are
+opened again and packed with those pieces, until the bound is reached or all are. All of this works on at most `capacity` histogram bins and on (pattern, count) pairs,
 whatever the number of documents; placing the pieces into the patterns' slots is distributed.
 """
 
@@ -26,6 +27,8 @@ from lodestrata.llm.encode import CachedEncoder
 ROUNDS, BATCH, STEP, SLACK = 60, 128, 0.25, 0.002
 #: Solutions at most; tokens that a rounded pattern may waste where fuller ones exist; pieces kept for the end.
 SOLUTIONS, WASTE, HELD = 8, 2, 0.03
+#: Shares of the rounded sequences that are opened again for best fit, until the lower bound is reached.
+REOPENED = (0.0, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32, 0.64, 1.0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -183,19 +186,40 @@ def rounded(histogram: dict[int, int], capacity: int = 2048) -> tuple[dict[tuple
     return out, {int(n): int(c) for n, c in zip(lengths, left + held, strict=True) if c}
 
 
+def _completed(patterns: dict[tuple[int, ...], int], left: dict[int, int], share: float, capacity: int) -> dict[int, dict[tuple[int, ...], int]]:
+    """Rooms with all pieces: rounded patterns, of which a share is opened again and packed with what was left, best fit."""
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+    todo, upto, opened = dict(left), 0, 0
+    for pattern, times in sorted(patterns.items()):
+        upto += times
+        again, opened = int(upto * share) - opened, int(upto * share)
+        if times > again:
+            _add(rooms, capacity - sum(pattern), pattern, times - again)
+        if again:
+            for n in pattern:
+                todo[n] = todo.get(n, 0) + again
+    _best_fit(todo, rooms, capacity)
+    return rooms
+
+
 def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, longest first) and how many sequences use each; serves every piece exactly once."""
     if not histogram:
         return []
     if min(histogram) < 1 or max(histogram) > capacity:
         raise ValueError("lengths are from 1 to the capacity")
-    rooms: dict[int, dict[tuple[int, ...], int]] = {}
-    if full := histogram.get(capacity):  # a full piece is a sequence
-        _add(rooms, 0, (capacity,), full)
     patterns, left = rounded({n: c for n, c in histogram.items() if n < capacity and c}, capacity)
-    for pattern, times in patterns.items():
-        _add(rooms, capacity - sum(pattern), pattern, times)
-    _best_fit(left, rooms, capacity)
+    bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    rooms, fewest = {}, None
+    for share in REOPENED:
+        found = _completed(patterns, left, share, capacity)
+        if full := histogram.get(capacity):  # a full piece is a sequence
+            _add(found, 0, (capacity,), full)
+        total = sum(sum(held.values()) for held in found.values())
+        if fewest is None or total < fewest:
+            rooms, fewest = found, total
+        if fewest == bound:
+            break
     out: dict[tuple[int, ...], int] = {}
     for held in rooms.values():
         for pattern, times in held.items():
@@ -234,11 +258,11 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, kind: str = "byte
     table = slot_table(plan(histogram, capacity))
     salts = max(64, sum(histogram.values()) // 1_000_000)
 
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(begins, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_begin"))
 
     # The slot table is bounded by the patterns: SOLUTIONS * ROUNDS * BATCH and what best fit adds, whatever the documents.

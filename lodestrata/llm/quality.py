@@ -58,13 +58,17 @@ def features_of(text: str | None) -> set[str]:
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents (text, low, toxic), at most about TRAIN_DOCS, drawn by hash."""
+    """Labelled documents (text, low, toxic), at most about TRAIN_DOCS, drawn by hash.
+
+    Rows that share a labelled doc_id give one: the text of the least hash, found by partial aggregation.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
     known = known.groupBy("doc_id").agg((1 - F.min("quality")).alias("low"), F.max("toxic").alias("toxic"))
     total = known.count()
     part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, TRAIN_DOCS / max(1, total)))
     # The sample of identifiers has a bound, so it may be broadcast whatever the size of the corpus.
-    return docs.select("doc_id", "text").join(F.broadcast(part), "doc_id").select("text", "low", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(part), "doc_id")
+    return rows.groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "low", "toxic")
 
 
 class QualityModel:

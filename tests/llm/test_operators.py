@@ -411,6 +411,11 @@ def test_line_runs_compact_and_anti_join(spark):
     assert runs.counts().count() == 0
 
 
+def test_lines_are_summed_before_they_are_dealt(spark, documents):
+    plan = line_dedup.LineRuns(spark, work_dir(spark, "runs"))._counted(documents)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"functions=\[count\(1\)\](.|\n)*Exchange hashpartitioning\(hash(.|\n)*functions=\[partial_count", plan)
+
+
 def test_line_dedup_of_one_text_with_very_many_lines(spark):
     n = 100_000
     docs = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(n))), (2, "\n".join(f"l{i}" for i in range(0, n, 2)))], "doc_id long, text string")
@@ -474,6 +479,26 @@ def test_packing_plan_serves_every_piece():
     assert packing.plan({}) == []
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_packing_reaches_the_lower_bound(sf):
+    encode, histogram = CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte"), Counter()
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall()]
+    for at in range(0, len(texts), 256):
+        for raw in encode(texts[at : at + 256]):
+            n = len(raw) // 4 + 1
+            histogram[n % 2048] += 1
+            histogram[2048] += n // 2048
+    histogram.pop(0, None)
+    assert sum(k for _, k in packing.plan(histogram)) == -(-sum(n * c for n, c in histogram.items()) // 2048)
+
+
+def test_packing_ties(spark):
+    """Rows that share doc_id, piece and length but not their ids have places of their own, the same on every run."""
+    docs = spark.createDataFrame([(1, t) for t in ("a b", "c d", "e f", "a b")] + [(None, "g h")] * 3, "doc_id long, text string")
+    runs = [order(map(tuple, packing.pack(spark, docs.repartition(k), public_tokenizers.path("byte_bpe_50k.json")).collect())) for k in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 7
+
+
 @pytest.mark.parametrize("times", [1, 100])
 def test_packing_goes_through_the_program(times):
     """At least nine of ten pieces are placed by rounded patterns, and hardly any room is lost."""
@@ -547,6 +572,13 @@ def test_quality(spark):
     assert ((out["p_toxic"] >= 0.5) == (out["toxic"] == 1)).mean() > 0.95
 
 
+def test_rows_that_share_a_labelled_doc_id_teach_once(spark):
+    docs = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).unionByName(spark.createDataFrame([(8, "other"), (8, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1)], "doc_id long, quality long, toxic long")
+    got = quality._train_rows(docs, labels).collect()
+    assert sorted((r["low"], r["toxic"]) for r in got) == [(0, 0), (1, 1)]
+
+
 def test_quality_edge(spark, edge):
     labels = spark.createDataFrame([(None, 1, 0), (4, None, None), (4, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.classify(spark, edge, labels).count() == edge.count()
