@@ -12,6 +12,7 @@ beyond that fills it more, so more rare n-grams are counted exactly and dropped
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ ROWS = 2
 SEGMENT, LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 20, 1 << 28
 #: N-grams, by an upper bound from the bytes of text, for a cell of a row. About half of them are there.
 LOAD = 8
-#: N-grams that a task gathers before it sends their cells.
-HELD = 4_000_000
+#: N-grams that a task gathers before it sends their cells or sums them, and different ones that it holds as sums.
+HELD, MOST_HELD = 4_000_000, 1_500_000
+#: Bytes of text for a task that counts exactly: the larger, the fewer rows for a frequent n-gram.
+TASK_TEXT = 128 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -95,25 +98,22 @@ def cells_of(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) & (cells - 1)
 
 
-def packed(cells: np.ndarray) -> bytes:
-    """Sorted cells as one byte of distance and one of count (at most 255) each; wide gaps have fillers of count 0."""
-    at, count = np.unique(cells, return_counts=True)
-    step = np.diff(at, prepend=-1)
-    fill = (step - 1) // 255
-    out = np.zeros((len(at) + int(fill.sum()), 2), np.uint8)
-    out[:, 0] = 255
-    place = np.cumsum(fill + 1) - 1
-    out[place, 0] = step - 255 * fill
-    out[place, 1] = np.minimum(count, 255)
+def packed(cells: np.ndarray, most: int = 255) -> bytes:
+    """Sorted cells by their distances, a byte each: 0 for a repeated one (each at most `most` times), 255 for a step of 255 with no cell."""
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    place = np.arange(len(cells)) - np.repeat(first, np.diff(np.r_[first, len(cells)]))
+    cells = cells[place < most]
+    step = np.diff(cells, prepend=0)
+    wide = step // 255
+    out = np.full(len(cells) + int(wide.sum()), 255, np.uint8)
+    out[np.cumsum(wide + 1) - 1] = step - 255 * wide
     return out.tobytes()
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Cells and counts of packed()."""
-    both = np.frombuffer(data, np.uint8).reshape(-1, 2)
-    at = np.cumsum(both[:, 0], dtype=np.int64) - 1
-    real = both[:, 1] > 0
-    return at[real], both[real, 1]
+    steps = np.frombuffer(data, np.uint8)
+    return np.unique(np.cumsum(steps, dtype=np.int64)[steps < 255], return_counts=True)
 
 
 class Sketch:
@@ -150,7 +150,7 @@ def sketch(docs: DataFrame, folder: str, longest: int = LONGEST, min_count: int
                 at = np.sort(cells_of(hashes, row, cells))
                 edges = np.searchsorted(at, np.arange(0, cells + segment, segment))
                 full = np.flatnonzero(np.diff(edges))
-                data = [packed(at[edges[s] : edges[s + 1]] - s * segment) for s in full]
+                data = [packed(at[edges[s] : edges[s + 1]] - s * segment, min_count) for s in full]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), row, np.int32)), pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], ["row", "segment", "cells"])
 
         held, size = [], 0
@@ -192,45 +192,88 @@ def sketch(docs: DataFrame, folder: str, longest: int = LONGEST, min_count: int
     return Sketch(cells, bits)
 
 
+class _Part:
+    """A slice of texts whose n-grams wait to be summed."""
+
+    def __init__(self, low: bytes, words: Words, names: list[str], language: np.ndarray):
+        self.low, self.start, self.end, self.names = low, words.start.astype(np.int32), words.end.astype(np.int32), names
+        self.of = language[words.text].astype(np.int32)
+        self.words = Counter({names[c]: int(k) for c, k in zip(*np.unique(self.of, return_counts=True), strict=True)})
+
+
+class _Counts:
+    """Counts of n-grams in a task: a phrase is written out once, when its hash is met first."""
+
+    def __init__(self):
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted; place of each in rows
+        self.rows: list[tuple[str, int, str]] = []
+        self.f = np.zeros(0, np.int64)
+        self.words: Counter = Counter()
+        self.parts: list[_Part] = []
+        self.held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, part: _Part, n: int, at: np.ndarray, h: np.ndarray) -> None:
+        if not self.parts or self.parts[-1] is not part:
+            self.parts.append(part)
+            self.words.update(part.words)
+        self.held.append((len(self.parts) - 1, n, at.astype(np.int32), h))
+        self.waiting += len(h)
+
+    def sum(self) -> None:
+        """Adds what waits to the counts."""
+        if not self.held:
+            return
+        ends = np.cumsum([len(x[3]) for x in self.held])
+        h, first, count = np.unique(np.concatenate([x[3] for x in self.held]), return_index=True, return_counts=True)
+        at = np.searchsorted(self.hashes, h)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == h[known]
+        self.f[self.place[at[known]]] += count[known]
+        new, begin = np.flatnonzero(~known), len(self.rows)
+        source = np.searchsorted(ends, first[new], side="right")
+        for i, k in zip(first[new].tolist(), source.tolist(), strict=True):
+            p, n, places, _ = self.held[k]
+            part, w = self.parts[p], int(places[i - (ends[k - 1] if k else 0)])
+            phrase = b" ".join([part.low[a:b] for a, b in zip(part.start[w : w + n].tolist(), part.end[w : w + n].tolist(), strict=True)])
+            self.rows.append((part.names[part.of[w]], n, phrase.decode()))
+        self.f = np.r_[self.f, count[new]]
+        self.hashes = np.insert(self.hashes, at[new], h[new])
+        self.place = np.insert(self.place, at[new], np.arange(begin, len(self.rows)))
+        self.parts, self.held, self.waiting = [], [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.sum()
+        rows = [(lang, 0, "") for lang in self.words] + self.rows
+        f = np.r_[np.array(list(self.words.values()), np.int64), self.f]
+        for i in range(0, len(rows), 50_000):
+            lang, n, phrase = zip(*rows[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(n, pa.int32()), pa.array(phrase), pa.array(f[i : i + 50_000])], ["lang", "words", "phrase", "f"])
+
+
 def survivors(docs: DataFrame, found: Sketch, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
     """lang, words (n; 0 for the row that counts all words of a language), phrase and exact count f of all n-grams with f >= min_count."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
-        held: dict[tuple[str, int], list] = {}  # by language and hash: words, phrase, count
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
-                columns = [pa.array([k[0] for k, _ in part]), pa.array([v[0] for _, v in part], pa.int32()), pa.array([v[1] for _, v in part], pa.string()), pa.array([v[2] for _, v in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
-
+        sketch, found = shared.value, _Counts()
         for batch in batches:
             for codes, data, words, seeds in _tokenized(batch):
                 names, language = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-                low = _LOWER[data].tobytes()
-                for code, k in zip(*np.unique(language[words.text], return_counts=True), strict=True):
-                    held.setdefault((names[code], 0), [0, "", 0])[2] += int(k)
+                part = _Part(_LOWER[data].tobytes(), words, names, language)
                 for n in range(1, longest + 1):
                     at, h = words.grams(n, seeds)
                     stay = sketch.frequent(h)
-                    h, first, count = np.unique(h[stay], return_index=True, return_counts=True)
-                    at = at[stay][first]
-                    of = language[words.text[at]]
-                    begin, end = [words.start[at + k].tolist() for k in range(n)], [words.end[at + k].tolist() for k in range(n)]
-                    for i, (key, c, k) in enumerate(zip(h.tolist(), of.tolist(), count.tolist(), strict=True)):
-                        got = held.get((names[c], key))
-                        if got is None:
-                            held[names[c], key] = [n, b" ".join(low[begin[j][i] : end[j][i]] for j in range(n)).decode(), k]
-                        else:
-                            got[2] += k
-                if len(held) > 500_000:
-                    yield from flush()
-                    held.clear()
-        yield from flush()
-
+                    found.add(part, n, at[stay], h[stay])
+                if found.waiting >= HELD:
+                    found.sum()
+                if len(found.rows) >= MOST_HELD:
+                    yield from found.batches()
+                    found = _Counts()
+        yield from found.batches()
+
+    bytes_of_text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(parts_for(docs.sparkSession, max(1, bytes_of_text), TASK_TEXT))
     rows = docs.mapInArrow(run, "lang string, words int, phrase string, f long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
 

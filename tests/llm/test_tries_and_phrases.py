@@ -194,6 +194,7 @@ def test_collocations(spark, request, monkeypatch, tmp_path, name, most):
     monkeypatch.setattr(collocations, "LEAST_CELLS", min(most, collocations.LEAST_CELLS))
     monkeypatch.setattr(collocations, "SEGMENT", 1 << 10)
     monkeypatch.setattr(collocations, "HELD", 20_000)
+    monkeypatch.setattr(collocations, "MOST_HELD", 3_000)
     docs = request.getfixturevalue(name)
     rows = [(r["text"], r["lang"]) for r in docs.collect()]
     want = order(phrases(rows))
@@ -209,6 +210,9 @@ def test_sketch_never_counts_less():
     at, n = collocations.unpacked(collocations.packed(cells))
     want, count = np.unique(cells, return_counts=True)
     assert (at == want).all() and (n == np.minimum(count, 255)).all()
+    at, n = collocations.unpacked(collocations.packed(cells, 10))
+    assert (at == want).all() and (n == np.minimum(count, 10)).all()
+    assert collocations.unpacked(collocations.packed(np.array([0, 0, 255, 510])))[0].tolist() == [0, 255, 510]
 
 
 def test_sketch_leaves_few(spark, documents):
