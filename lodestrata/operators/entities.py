@@ -72,11 +72,11 @@ def pattern_top(records: DataFrame, entities: DataFrame, top: int = 10) -> DataF
 def representatives(entities: DataFrame) -> DataFrame:
     """One entity for each (id, field, term): the longest source text, then the lowest level (none: 4), then the first.
 
-    first_pos is where the term came first: the place that the representative takes. One aggregation, no sort.
+    first_pos is where the term came first, the place that the representative takes; best_pos is its own. One aggregation, no sort.
     """
     rank = F.struct((-F.length(F.coalesce("source_text", F.lit("")))).alias("l"), F.coalesce("norm_level", F.lit(4)).alias("v"), F.col("pos").alias("p"), "source_text", "norm_level")
     out = entities.where("term is not null").groupBy("id", "field", "term").agg(F.min(rank).alias("best"), F.min("pos").alias("first_pos"))
-    return out.select("id", "field", "term", "best.source_text", "best.norm_level", "first_pos")
+    return out.select("id", "field", "term", "best.source_text", "best.norm_level", "first_pos", F.col("best.p").alias("best_pos"))
 
 
 def replacement_pairs(entities: DataFrame, changed: DataFrame) -> DataFrame:

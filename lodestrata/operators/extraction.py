@@ -14,6 +14,7 @@ INSIDE = r"[^，。、；;\s]"
 TONGUE_MORPH = "边有|有裂纹|有瘀点|有瘀|有芒刺|剥苔|无苔|少苔"
 TONGUE_HEADS, PULSE_HEADS = ("尖", "根", "苔", "边", "齿痕"), ("尺", "寸", "关")
 OTHER_DOMAIN = ("关节", "尺肤", "苔藓", "尖锐", "脉下")
+SKIN = "苔藓"
 COMPOUND_PULSES = ("动惕", "动剔", "弦滑", "浮滑", "浮数")
 CAUSES = ("风寒", "风热", "暑湿", "风湿", "湿热", "寒湿", "气虚", "血虚", "阴虚", "阳虚", "情志", "劳倦", "外伤", "痰", "瘀", "外感")
 TREATMENT = r"治[以法则宜][^，。；;\s]{1,10}"
@@ -101,15 +102,19 @@ def is_pulse_or_tongue(term: Column) -> Column:
     return ~starts_with(term, OTHER_DOMAIN) & ~starts_with(core, OTHER_DOMAIN) & (named | term.isin(*COMPOUND_PULSES))
 
 
+def is_tongue(term: Column) -> Column:
+    """Whether a pulse or tongue element is one of the tongue."""
+    return starts_with(_core(term), ("舌", "尖", "根", "苔"))
+
+
 def rerouted(entities: DataFrame) -> DataFrame:
     """entities (id, field, pos, term) with pulse and tongue elements and inquiry phrases moved out of the symptoms.
 
     A moved one that its new list already has, or that came before, is not repeated; inquiry phrases are kept each.
     """
     term, symptom = F.col("term"), F.col("field") == "symptoms"
-    tongue_like = starts_with(_core(term), ("舌", "尖", "根", "苔"))
     inquiry = starts_with(term, INQUIRY) & ~starts_with(term, NO_INQUIRY)
-    to = F.when(symptom & is_pulse_or_tongue(term), F.when(tongue_like, "tongueList").otherwise("pulseList")).when(symptom & inquiry, "inquiry").otherwise(F.col("field"))
+    to = F.when(symptom & is_pulse_or_tongue(term), F.when(is_tongue(term), "tongueList").otherwise("pulseList")).when(symptom & inquiry, "inquiry").otherwise(F.col("field"))
     rows = entities.withColumn("to", F.when(term.isNotNull(), to).otherwise(F.col("field"))).withColumn("moved", F.col("to") != F.col("field"))
     once = rows.withColumn("rn", F.row_number().over(Window.partitionBy("id", "to", "term").orderBy("moved", "pos"))).where(~F.col("moved") | (F.col("to") == "inquiry") | (F.col("rn") == 1))
     return once.select("id", F.col("to").alias("field"), "moved", "pos", "term")

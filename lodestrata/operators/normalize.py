@@ -83,31 +83,6 @@ def normalized(entities: DataFrame, terms: DataFrame, negated: Column | None = N
     return out.withColumn("term", F.coalesce("standard_term", "content")).drop("standard_term")
 
 
-def covered(inputs: DataFrame, terms: DataFrame, skip: str = "", least: int = 2) -> DataFrame:
-    """Inputs (type, input) that several terms cover from end to end: type, input and the terms in order (parts).
-
-    Characters of `skip` may lie between words. At each place the longest word is taken, and an input counts when
-    at least `least` terms, or one and a skipped character, cover it whole. The words of two characters or more
-    that an input holds are found by their first two characters, so each input meets few of them.
-    """
-    found = scan(inputs.select(F.struct("type", "input").alias("id"), F.col("input").alias("text")).distinct(), terms, words=True)
-    own = found.where(F.col("id.type") == F.col("type")).groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("n"), "word", "standard_term"))).alias("words"))
-    text = F.col("id.input")
-    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(False).alias("skipped"), F.lit(True).alias("ok"))
-
-    def step(s: Column, i: Column) -> Column:
-        here = F.filter("words", lambda w: F.substring(text, i, F.length(w["word"])) == w["word"])
-        hit, gap = F.get(here, F.lit(0)), F.lit(skip).contains(F.substring(text, i, F.lit(1)))
-        taken = F.struct((i + F.length(hit["word"])).alias("at"), F.array_union(s["parts"], F.array(hit["standard_term"])).alias("parts"), s["skipped"].alias("skipped"), s["ok"].alias("ok"))
-        passed = F.struct((i + 1).alias("at"), s["parts"].alias("parts"), (s["skipped"] | gap).alias("skipped"), (s["ok"] & gap).alias("ok"))
-        return F.when(~s["ok"] | (s["at"] > i), s).when(hit.isNotNull(), taken).otherwise(passed)
-
-    end = F.aggregate(F.sequence(F.lit(1), F.length(text)), state, step)
-    out = own.select("id.type", "id.input", end.alias("end"))
-    enough = (F.size("end.parts") >= least) | ((F.size("end.parts") >= 1) & F.col("end.skipped"))
-    return out.where(F.col("end.ok") & (F.col("end.at") == F.length("input") + 1) & enough).select("type", "input", F.col("end.parts").alias("parts"))
-
-
 def stripped_match(inputs: DataFrame, terms: DataFrame, prefixes: tuple[str, ...], suffixes: tuple[str, ...], block: str = "") -> DataFrame:
     """Inputs (type, input) that are a term or alias once one prefix, one suffix or both are off; none with a blocking character."""
     begins, ends = f"^(?:{'|'.join(prefixes)})", f"(?:{'|'.join(suffixes)})$"

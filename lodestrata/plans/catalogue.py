@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import add_workdays, digits_template, mask_pii
 from lodestrata.operators import dictionary as dic
 from lodestrata.operators import filters, normalize, qc, stats
-from lodestrata.plans import lifecycle, rules, structured, views
+from lodestrata.plans import documents, lifecycle, rules, structured, views
 from lodestrata.schema import PENDING
 from lodestrata.streaming import windows
 
@@ -265,11 +265,11 @@ SELECT type, input, standard_term, overlap, CAST(row_number() OVER (PARTITION BY
 #: The same queries over a dictionary that holds every part.
 WHOLE = {f"{f.__name__}_whole": partial(f, whole=True) for f in (dict_overlay, dict_diff, dict_merge_aliases, dict_collisions, dict_content_version, dict_quality, dict_cross_type, dict_effective_counts)}
 ORACLE |= {name: ORACLE[name.removesuffix("_whole")].replace(_D, views.WHOLE_DICTIONARY_SQL) for name in WHOLE}
-for _module in (structured, rules, lifecycle):
+for _module in (structured, rules, lifecycle, documents):
     ORACLE |= _module.ORACLE
 ORACLE["candidate_topk_whole"] = ORACLE["candidate_topk"].replace(" WHERE p_size % 5 = 0", "").replace(" WHERE p_size % 2 = 0", "")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = globals() | WHOLE | structured.QUERIES | rules.QUERIES | lifecycle.QUERIES
-    return {name: found[name] for name in (*ORACLE, "text_windows")}
+    found = globals() | WHOLE | structured.QUERIES | rules.QUERIES | lifecycle.QUERIES | documents.QUERIES
+    return {name: found[name] for name in (*ORACLE, "text_windows", "decomposed_terms", "normalize_chain")}

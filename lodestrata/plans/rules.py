@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import entities as ent
-from lodestrata.operators import extraction, normalize, qc, stats
+from lodestrata.operators import decompose, extraction, normalize, qc, stats
 from lodestrata.plans import views
 from lodestrata.plans.structured import _ALL, _C, _M, _R
 
@@ -160,7 +160,7 @@ def normalize_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = views.table(spark, sf_dir, "part").select("p_name").distinct()
     words = names.select(F.explode(F.split("p_name", " ")).alias("standard_term")).distinct().select(F.lit("word").alias("type"), "standard_term", F.array().cast("array<string>").alias("aliases"))
     inputs = names.select(F.lit("word").alias("type"), F.explode(F.array("p_name", F.concat("p_name", F.lit("x")), F.concat("p_name", F.lit(" ")))).alias("input"))
-    return normalize.covered(inputs, words, skip=" ").select("input", F.array_join("parts", ",").alias("parts"))
+    return decompose.covered(inputs, words, skip=" ").select("input", F.array_join("parts", ",").alias("parts"))
 
 
 def normalize_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
