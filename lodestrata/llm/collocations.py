@@ -29,7 +29,7 @@ SEGMENT, LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 20, 1 << 28
 #: N-grams, by an upper bound from the bytes of text, for a cell of a row. About half of them are there.
 LOAD = 8
 #: N-grams that a task gathers before it sends their cells or sums them, and different ones that it holds as sums.
-HELD, MOST_HELD = 4_000_000, 1_500_000
+HELD, MOST_HELD = 2_000_000, 3_000_000
 #: Bytes of text for a task that counts exactly: the larger, the fewer rows for a frequent n-gram.
 TASK_TEXT = 128 << 20
 
@@ -202,12 +202,13 @@ class _Part:
 
 
 class _Counts:
-    """Counts of n-grams in a task: a phrase is written out once, when its hash is met first."""
+    """Counts of n-grams in a task: a phrase is written out once, when its hash is met first, into one run of bytes."""
 
     def __init__(self):
-        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted; place of each in rows
-        self.rows: list[tuple[str, int, str]] = []
-        self.f = np.zeros(0, np.int64)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted; place of each in the columns below
+        self.f, self.lang, self.n, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.text: list[bytes] = []
+        self.names: dict[str, int] = {}
         self.words: Counter = Counter()
         self.parts: list[_Part] = []
         self.held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
@@ -230,25 +231,41 @@ class _Counts:
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == h[known]
         self.f[self.place[at[known]]] += count[known]
-        new, begin = np.flatnonzero(~known), len(self.rows)
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(first[new])]  # in the order of the texts
         source = np.searchsorted(ends, first[new], side="right")
-        for i, k in zip(first[new].tolist(), source.tolist(), strict=True):
+        lang, size, phrases = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32), []
+        for k in np.unique(source):
             p, n, places, _ = self.held[k]
-            part, w = self.parts[p], int(places[i - (ends[k - 1] if k else 0)])
-            phrase = b" ".join([part.low[a:b] for a, b in zip(part.start[w : w + n].tolist(), part.end[w : w + n].tolist(), strict=True)])
-            self.rows.append((part.names[part.of[w]], n, phrase.decode()))
-        self.f = np.r_[self.f, count[new]]
-        self.hashes = np.insert(self.hashes, at[new], h[new])
-        self.place = np.insert(self.place, at[new], np.arange(begin, len(self.rows)))
+            part, mine = self.parts[p], np.flatnonzero(source == k)
+            w = places[first[new[mine]] - (ends[k - 1] if k else 0)]
+            codes = np.array([self.names.setdefault(x, len(self.names)) for x in part.names], np.int32)
+            lang[mine], size[mine] = codes[part.of[w]], n
+            begin, end, low = [part.start[w + j].tolist() for j in range(n)], [part.end[w + j].tolist() for j in range(n)], part.low
+            if n == 1:
+                phrases += [low[a:b] for a, b in zip(begin[0], end[0], strict=True)]
+            else:
+                phrases += [b" ".join([low[a:b] for a, b in zip(x, y, strict=True)]) for x, y in zip(zip(*begin, strict=True), zip(*end, strict=True), strict=True)]
+        where = np.arange(len(self.f), len(self.f) + len(new), dtype=np.int32)
+        self.f, self.lang, self.n = np.r_[self.f, count[new]], np.r_[self.lang, lang], np.r_[self.n, size]
+        self.length = np.r_[self.length, np.fromiter(map(len, phrases), np.int32, len(phrases))]
+        self.text.append(b"".join(phrases))
+        by = np.argsort(h[new])
+        self.place = np.insert(self.place, at[new[by]], where[by])
+        self.hashes = np.insert(self.hashes, at[new[by]], h[new[by]])
         self.parts, self.held, self.waiting = [], [], 0
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         self.sum()
-        rows = [(lang, 0, "") for lang in self.words] + self.rows
-        f = np.r_[np.array(list(self.words.values()), np.int64), self.f]
-        for i in range(0, len(rows), 50_000):
-            lang, n, phrase = zip(*rows[i : i + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(n, pa.int32()), pa.array(phrase), pa.array(f[i : i + 50_000])], ["lang", "words", "phrase", "f"])
+        names = ["lang", "words", "phrase", "f"]
+        yield pa.RecordBatch.from_arrays([pa.array(list(self.words), pa.string()), pa.array([0] * len(self.words), pa.int32()), pa.array([""] * len(self.words), pa.string()), pa.array(list(self.words.values()), pa.int64())], names)
+        text, ends = b"".join(self.text), np.r_[0, np.cumsum(self.length, dtype=np.int64)]
+        languages = pa.array(list(self.names), pa.string())
+        for i in range(0, len(self.f), 50_000):
+            part = slice(i, min(i + 50_000, len(self.f)))
+            at = ends[i : part.stop + 1]
+            phrase = pa.StringArray.from_buffers(part.stop - i, pa.py_buffer((at - at[0]).astype(np.int32).tobytes()), pa.py_buffer(text[at[0] : at[-1]]))
+            yield pa.RecordBatch.from_arrays([languages.take(pa.array(self.lang[part])), pa.array(self.n[part]), phrase, pa.array(self.f[part])], names)
 
 
 def survivors(docs: DataFrame, found: Sketch, longest: int = LONGEST, min_count: int = MIN_COUNT) -> DataFrame:
@@ -267,13 +284,13 @@ def survivors(docs: DataFrame, found: Sketch, longest: int = LONGEST, min_count:
                     found.add(part, n, at[stay], h[stay])
                 if found.waiting >= HELD:
                     found.sum()
-                if len(found.rows) >= MOST_HELD:
+                if len(found.f) >= MOST_HELD:
                     yield from found.batches()
                     found = _Counts()
         yield from found.batches()
 
     bytes_of_text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.coalesce(parts_for(docs.sparkSession, max(1, bytes_of_text), TASK_TEXT))
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-bytes_of_text // TASK_TEXT)))
     rows = docs.mapInArrow(run, "lang string, words int, phrase string, f long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("words") == 0))
 
