@@ -173,6 +173,11 @@ def negating(clause: Column, words: tuple[str, ...] = NEG_HARD, tail: str = NEG_
     return clause.rlike(_any_of(words)) | (clause.contains("不") & ~clause.rlike(f"不[{tail}]"))
 
 
+def quoted(c: Column) -> Column:
+    """A pattern that matches a text as it is, whatever it holds."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def negated(span: Column, text: Column, window: int = 30) -> Column:
     """Whether a term negates itself, or a text has it and negates it wherever it does.
 
@@ -180,7 +185,7 @@ def negated(span: Column, text: Column, window: int = 30) -> Column:
     """
     term = F.trim(F.coalesce(span, F.lit("")))
     inside = f"[^{NEG_BOUNDARY}]"
-    place = F.concat(F.lit(f"(?<=((?:^|[{NEG_BOUNDARY}]){inside}{{0,{window}}}|{inside}{{{window}}}))(?=\\Q"), term, F.lit("\\E)"))
+    place = F.concat(F.lit(f"(?<=((?:^|[{NEG_BOUNDARY}]){inside}{{0,{window}}}|{inside}{{{window}}}))(?="), quoted(term), F.lit(")"))
     before = F.regexp_extract_all(F.coalesce(text, F.lit("")), place, F.lit(1))
     there = (F.size(before) > 0) & F.forall(before, lambda clause: negating(clause))
     return F.when(term == "", F.lit(False)).otherwise(negating(term) | there)

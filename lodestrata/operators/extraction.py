@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import negated
+from lodestrata.functions.text import negated, quoted
 from lodestrata.operators.report import MISTYPE_MARKERS, PROCESS_LEAD, contains_any, starts_with
 
 # Words and shapes of the extraction rules.
@@ -122,7 +122,7 @@ def rerouted(entities: DataFrame) -> DataFrame:
 
 def with_dose(name: Column, text: Column) -> Column:
     """Whether the text has the name with a dose right behind it."""
-    return F.coalesce(F.rlike(text, F.concat(F.lit(r"\Q"), name, F.lit(r"\E\s*\d+(\.\d+)?\s*(g|克|ml|mg)"))), F.lit(False))
+    return F.coalesce(F.rlike(text, F.concat(quoted(name), F.lit(r"\s*\d+(\.\d+)?\s*(g|克|ml|mg)"))), F.lit(False))
 
 
 def noise_reason(field: Column, term: Column, text: Column) -> Column:

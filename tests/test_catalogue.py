@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
-from lodestrata.operators import normalize, qc
+from lodestrata.operators import extraction, normalize, qc
 from lodestrata.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,14 @@ def test_negation(spark):
     assert text.replaced_text("不发头疼，不适头疼", {"头疼": "头痛", "疼": "x"}) == "不发头疼，不适头痛"
 
 
+def test_terms_are_quoted_whatever_they_hold(spark):
+    odd = ["a\\E(", "\\E", "(", "[", "\\Q", "x\\Ey\\E", "a.b*", "", None]
+    rows = spark.createDataFrame([(t, f"无{t or ''} 3g，{t or ''}") for t in odd], "t string, text string")
+    got = rows.select("t", text.negated(F.col("t"), F.col("text")).alias("n"), extraction.with_dose(F.col("t"), F.col("text")).alias("d"), F.rlike("text", text.quoted(F.coalesce("t", F.lit("")))).alias("r")).collect()
+    assert all(r["r"] for r in got)
+    assert [(r["n"], r["d"]) for r in got] == [(False, bool(t)) if t else (False, t == "") for t in odd]
+
+
 def test_columns(spark):
     one = spark.range(1)
     row = one.select(
