@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import blank_to_null, trim_change
@@ -73,6 +73,17 @@ def counts(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action").agg(F.count("*").alias("n"), F.sum("repaired").alias("repaired"), F.sum("cleared").alias("cleared"))
 
 
+ACTIONS = ("skipped", "deduped", "isolated", "marked", "normalized", "kept")
+
+
+def observed(actions: DataFrame) -> tuple[DataFrame, Observation]:
+    """actions and their figures (action_n, action_repaired and action_cleared for each action), to be read after any action on
+    the rows; they equal counts() without another pass."""
+    figures, own = Observation(), lambda a: F.col("action") == a
+    each = [x for a in ACTIONS for x in (F.count_if(own(a)).alias(f"{a}_n"), F.sum(F.when(own(a), F.col("repaired")).otherwise(0)).alias(f"{a}_repaired"), F.sum(F.when(own(a), F.col("cleared")).otherwise(0)).alias(f"{a}_cleared"))]
+    return actions.observe(figures, *each), figures
+
+
 def write_back(records: DataFrame, changed: DataFrame, columns: tuple[str, ...] = ("structured_data", "qc_results", "score", "grade", "status", "governed")) -> DataFrame:
     """records with the derived columns of changed (by id); original columns can't be written, whatever changed holds."""
     given = [c for c in columns if c in changed.columns]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import blank_to_null, lenient_int, normalized_datetime
+from lodestrata.operators.records import small
 from lodestrata.schema import HEADERS
 
 NO_OUTPATIENT, BAD_TIME, TOO_MANY = "门诊号为空", "接诊时间无法识别", "超过单次导入行数上限"
@@ -30,15 +31,17 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.where("registration_no is not null").withColumn("reason", F.when(F.col("outpatient_no").isNull(), NO_OUTPATIENT).when(time, BAD_TIME))
 
 
-def limited(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+def limited(rows: DataFrame, most: int = MOST_ROWS, block: int = 65_536) -> DataFrame:
     """rows (checked: file, row) with a reason for those beyond the import's limit, in file and row order.
 
-    Rows are counted by file first; only the files' counts, which are few, meet in one window.
+    Rows are counted by blocks of a file first; only the blocks' counts, which are few, meet in one window, and rows
+    are ranked inside their block, so one large file is many tasks.
     """
-    sizes = rows.groupBy("file").agg(F.count("*").alias("__n"))
-    sizes = sizes.select("file", F.coalesce(F.sum("__n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy("file").orderBy("row"))).join(F.broadcast(sizes), "file")
-    return placed.withColumn("reason", F.when(F.col("__at") + F.col("__before") > most, TOO_MANY).otherwise(F.col("reason"))).drop("__at", "__before")
+    dealt = rows.withColumn("__block", F.floor(F.col("row") / block))
+    before = Window.orderBy("file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("file", "__block").agg(F.count("*").alias("__n")).select("file", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("file", "__block").orderBy("row"))).join(small(sizes), ["file", "__block"])
+    return placed.withColumn("reason", F.when(F.col("__at") + F.col("__before") > most, TOO_MANY).otherwise(F.col("reason"))).drop("__at", "__before", "__block")
 
 
 def coerced(rows: DataFrame) -> DataFrame:
@@ -76,3 +79,10 @@ def summary(rows: DataFrame) -> DataFrame:
     """Rows in all, taken and refused."""
     bad = F.col("reason").isNotNull()
     return rows.agg(F.count("*").alias("total"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("failed"))
+
+
+def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """rows (checked) and what summary() says of them, to be read after any action on the rows: the job that writes them counts them too."""
+    bad = F.col("reason").isNotNull()
+    figures = Observation()
+    return rows.observe(figures, F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("failed")), figures

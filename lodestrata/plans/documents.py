@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import decompose, documents
+from lodestrata.operators import archive, decompose, documents
 from lodestrata.operators import entities as ent
 from lodestrata.plans import lifecycle, views
 from lodestrata.plans.lifecycle import _ACT
@@ -73,6 +73,28 @@ def reroute_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ent.exploded(out, keep=("changed",)).select("id", "field", "pos", "term", "norm_level", "changed")
 
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven versions of each type's terms: a part is in those that its size doesn't rule out."""
+    rows = views.table(spark, sf_dir, "part").select("p_type", "p_name", "p_brand", "p_size", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k")).where((F.col("p_size") + F.col("k")) % 5 != 0)
+    out = rows.groupBy(F.lit("").alias("org_id"), F.col("p_type").alias("type"), F.col("k").cast("long").alias("version_no"), F.col("p_name").alias("standard_term"))
+    return out.agg(F.array_sort(F.collect_set("p_brand")).alias("aliases"))
+
+
+def dict_archive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven versions of the dictionary as intervals."""
+    return archive.history(_snapshots(spark, sf_dir)).select("type", "standard_term", F.array_join("aliases", ",").alias("aliases"), "begin_no", "end_no")
+
+
+def dict_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five newest versions of each type, read from the intervals."""
+    rows = _snapshots(spark, sf_dir)
+    versions = rows.select("org_id", "type", "version_no").distinct()
+    store = archive.pruned(archive.history(rows), versions)
+    return archive.as_of(store, versions).select("type", "version_no", "standard_term", F.array_join("aliases", ",").alias("aliases"))
+
+
+_SNAPSHOTS = """snap AS (SELECT p_type AS type, k AS version_no, p_name AS standard_term, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS aliases
+  FROM part, range(1, 8) AS versions(k) WHERE (p_size + k) % 5 <> 0 GROUP BY 1, 2, 3)"""
 _TERMS_SQL = f"""terms AS (SELECT DISTINCT unnest(['disease', 'herb', 'formula']) AS type, p_name AS standard_term, replace(p_name, ' ', '-') AS alias FROM part
   UNION ALL SELECT * FROM (VALUES {', '.join(f"('{k}', '{t}', '{a}')" for k, t, a in TERMS)}))"""
 _DICE = "len(list_intersect(a, b)) * 2.0::DOUBLE / (len(a) + len(b))"
@@ -90,6 +112,10 @@ ORACLE: dict[str, str] = {
     "normalize_min_cover": """WITH RECURSIVE words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), few AS (SELECT w FROM words WHERE length(w) BETWEEN 2 AND 4),
 reached AS (SELECT w AS input, 1 AS p, 0 AS n FROM words WHERE length(w) > 4 UNION SELECT input, p + k, n + 1 FROM reached, (VALUES (2), (3), (4)) AS sizes(k) WHERE p + k <= length(input) + 1 AND substr(input, p, k) IN (SELECT w FROM few))
 SELECT input, CAST(min(n) AS BIGINT) AS n, TRUE AS whole FROM reached WHERE p = length(input) + 1 GROUP BY input""",
+    "dict_archive_terms": f"""WITH {_SNAPSHOTS}, r AS (SELECT *, version_no - row_number() OVER (PARTITION BY type, standard_term, aliases ORDER BY version_no) AS run, max(version_no) OVER (PARTITION BY type) AS last FROM snap)
+SELECT type, standard_term, aliases, min(version_no) AS begin_no, CASE WHEN max(version_no) < any_value(last) THEN max(version_no) + 1 END AS end_no FROM r GROUP BY type, standard_term, aliases, run""",
+    "dict_as_of": f"""WITH {_SNAPSHOTS}, v AS (SELECT DISTINCT type, version_no FROM snap), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY type ORDER BY version_no DESC) <= 5)
+SELECT type, version_no, standard_term, aliases FROM snap JOIN k USING (type, version_no)""",
     "clean_documents": f"""WITH {_R}, {_M}, {_ALL}, {_C}, {_ACT.replace('{skip}', 'FALSE')}, {_TERMS_SQL},
 e AS (SELECT a.id, a.kind, a.field, a.place, a.plain, a.norm_level, a.dosage, a.term, trim(a.source_text) AS source_text, coalesce(trim(a.source_text), a.term) AS raw FROM all_ents a JOIN acted USING (id) WHERE action = 'normalized'),
 live AS (SELECT * FROM e WHERE NOT plain), {_JUDGED},
@@ -107,4 +133,4 @@ k AS (SELECT *, bool_or(dest <> field) OVER (PARTITION BY id) AS changed, row_nu
 kept AS (SELECT * FROM k WHERE dest = field OR rn = 1)
 SELECT id, dest AS field, CAST(row_number() OVER (PARTITION BY id, dest ORDER BY dest <> field, place) - 1 AS INTEGER) AS pos, shown AS term, norm_level, changed FROM kept""",
 }
-QUERIES = {f.__name__: f for f in (normalize_min_cover, decomposed_terms, normalize_chain, clean_documents, reroute_documents)}
+QUERIES = {f.__name__: f for f in (normalize_min_cover, decomposed_terms, normalize_chain, clean_documents, reroute_documents, dict_archive_terms, dict_as_of)}
