@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.text import chars, dice, edge_stripped, multiset_overlap, normalize_punctuation, polarity_only
 
@@ -154,17 +159,51 @@ def suggestion_text(suggestions: DataFrame) -> DataFrame:
     return suggestions.groupBy("type", "input").agg(F.concat(F.col("input"), F.lit("："), F.array_join(listed, "、")).alias("text"))
 
 
-def scan(texts: DataFrame, terms: DataFrame, words: bool = False) -> DataFrame:
+def _scanned(texts: DataFrame, owned: list[tuple[str, str, str]]) -> DataFrame:
+    """id, type, standard_term and word of all words in texts (id, text), by an automaton over a dictionary of bounded size that each task builds."""
+    id_type = texts.schema["id"]
+    schema = T.StructType([id_type, *(T.StructField(n, T.StringType()) for n in ("type", "standard_term", "word"))])
+    shared = texts.sparkSession.sparkContext.broadcast(owned)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, columns = ahocorasick.Automaton(), list(zip(*shared.value, strict=True))
+        owners: dict[str, list[int]] = {}
+        for k, word in enumerate(columns[2]):
+            owners.setdefault(word, []).append(k)
+        for word, own in owners.items():
+            found.add_word(word, own)
+        found.make_automaton()
+        arrays = [pa.array(c) for c in columns]
+        for batch in batches:
+            at, hits = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                mine = sorted({k for _, own in found.iter(text) for k in own if columns[1][k] != text})
+                at += [i] * len(mine)
+                hits += mine
+            rows = pa.array(hits, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(a.take(rows) for a in arrays)], ["id", "type", "standard_term", "word"])
+
+    return texts.where("text is not null").select("id", "text").mapInArrow(run, schema)
+
+
+def scan(texts: DataFrame, terms: DataFrame, words: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
     """Standard terms whose words a text (id, text) contains, except a term that is the whole text; with `words`, the words too.
 
-    The dictionary has a checked size; a larger one meets the texts by the first two characters of each word.
+    A dictionary of up to `most` words is an automaton that reads each text once, so rows follow hits and not the
+    texts' length; with a larger one the texts meet it by the first two characters of each word.
     """
-    owned = owned_words(terms).where(F.length("word") >= 2)
+    owned = owned_words(terms).where(F.length("word") >= 2).select("type", "standard_term", "word")
+    few = owned.limit(most + 1).collect()
+    met = _by_heads(texts, owned) if len(few) > most or not few else _scanned(texts, [tuple(r) for r in few])
+    return met.select("id", "type", "standard_term", *(["word"] if words else [])).distinct()
+
+
+def _by_heads(texts: DataFrame, owned: DataFrame) -> DataFrame:
+    """The same by a join of equal first characters."""
     owned = owned.withColumn("head", F.substring("word", 1, 2))
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(2))))
     placed = texts.where("text is not null").select("id", "text", F.explode(heads).alias("head"))
-    met = placed.join(_bounded(owned), "head").where(F.col("text").contains(F.col("word")) & (F.col("standard_term") != F.col("text")))
-    return met.select("id", "type", "standard_term", *(["word"] if words else [])).distinct()
+    return placed.join(_bounded(owned), "head").where(F.col("text").contains(F.col("word")) & (F.col("standard_term") != F.col("text"))).select("id", "type", "standard_term", "word")
 
 
 def suggest(inputs: DataFrame, terms: DataFrame, least: int = 2, top: int = 5) -> DataFrame:

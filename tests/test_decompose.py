@@ -195,3 +195,17 @@ def test_chain_by_brute_force(spark):
 def test_no_rows(spark, terms):
     assert not decompose.decomposed(spark.createDataFrame([], "type string, input string"), terms).collect()
     assert not decompose.normalized_lists(spark.createDataFrame([], ENTITY).withColumn("extra", F.lit(1)), terms, decompose.DECOMPOSABLE).collect()
+
+
+def test_scan_by_automaton_and_by_join(spark):
+    """Both ways find what a plain search finds; ids of any type, overlapping words, a term that is the whole text."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("甲乙丙丁 戊") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["甲乙丙", None, "甲乙"]
+    rows = [("a", "甲乙", ["乙丙丁"]), ("a", "甲乙丙", ["甲"]), ("b", "丙丁", ["甲乙"]), ("b", "戊戊戊", ["丁 戊", ""])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select(F.struct("n", F.lit("x").alias("y")).alias("id"), "text")
+    words = [(k, std, w) for k, std, aliases in rows for w in (std, *aliases) if len(w) > 1]
+    want = {(i, k, std, w) for i, t in enumerate(texts) if t for k, std, w in words if w in t and std != t}
+    for most in (normalize.BROADCAST_ROWS, 2):
+        got = normalize.scan(frame, spark.createDataFrame(rows, TERMS), words=True, most=most).collect()
+        assert {(r["id"]["n"], r["type"], r["standard_term"], r["word"]) for r in got} == want and len(got) == len(want)
+    assert not normalize.scan(frame, spark.createDataFrame([], TERMS)).collect()
