@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import blank_to_null, negated_context
 from lodestrata.operators.entities import representatives
+from lodestrata.operators.lineage import cut
 from lodestrata.operators.normalize import CONTAIN, EXACT, _bounded, clean_term, judge, owned_words
 
 # Characters and words of the decomposition rules.
@@ -183,8 +184,8 @@ def normalized_lists(entities: DataFrame, terms: DataFrame, types: tuple[str, ..
     """
     raw = F.coalesce(blank_to_null("source_text"), blank_to_null("content"))
     rows = entities.select("id", "field", "type", "pos", blank_to_null("content").alias("content"), "norm_level", raw.alias("raw")).where("raw is not null").withColumn("input", clean_term(F.col("raw")))
-    wanted = rows.where(F.col("type").isin(*types)).select("type", "input", "raw").distinct()
-    plan = wanted.join(judge(wanted.select("type", "input"), terms), ["type", "input"])
+    wanted = cut(rows.where(F.col("type").isin(*types)).select("type", "input", "raw").distinct())
+    plan = cut(wanted.join(judge(wanted.select("type", "input"), terms), ["type", "input"]))
     no = negated_context(F.col("raw")) & (F.col("level") == CONTAIN)
     one = F.array(F.struct(F.col("standard_term").alias("term"), F.col("level").alias("level")))
     none = F.array().cast("array<struct<term:string,level:int>>")

@@ -21,12 +21,14 @@ TREATMENT = r"治[以法则宜][^，。；;\s]{1,10}"
 HERB_DOSE = r"(?:^|[，,、;；。\s（(])([\x{4e00}-\x{9fff}]{2,6})\s*(\d+(?:\.\d+)?\s*(?:g|克))"
 INQUIRY = ("睡眠", "醒后", "排便", "纳食", "进食", "胃口", "饮食", "喜饮", "喜卧", "俯卧", "仰卧", "侧卧", "面黄", "面白", "面萎黄")
 NO_INQUIRY = ("便血", "便脓", "便后", "小便痛", "小便涩")
-NO_HERB = (
-    "蛋白", "细胞", "抗原", "抗体", "片段", "细菌", "病毒", "基因", "激素", "免疫", "检验", "检查", "结果", "报告", "医院", "大学", "学院", "研究院", "研究所", "中心", "妇保", "门诊", "科内", "系列",
+NON_HERB = (
     "甘油三", "胆红", "胆固醇", "肌酐", "尿酸", "尿素", "葡萄糖", "血小板", "谷草", "谷丙转氨", "血红蛋白", "白细胞", "红细胞", "血糖", "血脂", "总蛋白", "白蛋白", "球蛋白", "转氨酶", "尿素氮", "血沉", "血常规", "血常", "潜血", "间胆", "总胆", "总胆汁酸", "甘胆酸", "糖化血红蛋", "血清",
     "扁桃", "淋巴", "甲状腺", "脂肪肝", "肝内",
     "胡萝卜", "苹果", "花菜", "空心菜",
 )
+NO_HERB = (
+    "蛋白", "细胞", "抗原", "抗体", "片段", "细菌", "病毒", "基因", "激素", "免疫", "检验", "检查", "结果", "报告", "医院", "大学", "学院", "研究院", "研究所", "中心", "妇保", "门诊", "科内", "系列", *NON_HERB,
+)
 PROVINCES = ("北京", "上海", "天津", "重庆", "河北", "山西", "辽宁", "吉林", "黑龙江", "江苏", "浙江", "安徽", "福建", "江西", "山东", "河南", "湖北", "湖南", "广东", "广西", "海南", "四川", "贵州", "云南", "陕西", "甘肃", "青海", "内蒙古", "新疆", "西藏", "宁夏", "香港", "澳门", "台湾")
 NOISE_WORDS, NOISE_ENDS = ("反复发作", "反复出现", "无明显异常", "无特殊"), ("为主", "消失", "好转", "达全身")
 CHANNELS = ("太阳", "阳明", "少阳", "太阴", "少阴", "厥阴")

@@ -272,4 +272,4 @@ ORACLE["candidate_topk_whole"] = ORACLE["candidate_topk"].replace(" WHERE p_size
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = globals() | WHOLE | structured.QUERIES | rules.QUERIES | lifecycle.QUERIES | documents.QUERIES
-    return {name: found[name] for name in (*ORACLE, "text_windows", "decomposed_terms", "normalize_chain")}
+    return {name: found[name] for name in (*ORACLE, "text_windows", "decomposed_terms", "normalize_chain", "placed_entities", "normalized_records")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import archive, decompose, documents
+from lodestrata.operators import archive, chain, decompose, documents
 from lodestrata.operators import entities as ent
 from lodestrata.plans import lifecycle, views
 from lodestrata.plans.lifecycle import _ACT
@@ -93,6 +93,27 @@ def dict_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.as_of(store, versions).select("type", "version_no", "standard_term", F.array_join("aliases", ",").alias("aliases"))
 
 
+def fragment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why entities of the charts' lists are no entities, among those without a level."""
+    rows = ent.exploded(views.charts(spark, sf_dir)).select("id", F.col("kind").alias("type"), F.col("term").alias("content"), "source_text", "norm_level")
+    return chain.dropped_fragments(rows).groupBy("type", "content", "reason").agg(F.count("*").alias("n"))
+
+
+def placed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that the charts' entities move to, by the small dictionary and what it makes up."""
+    rows = ent.exploded(views.charts(spark, sf_dir)).select("id", "field", F.col("kind").alias("type"), "pos", F.col("term").alias("content"), "source_text", "norm_level")
+    return chain.placed(rows, _terms(spark, sf_dir)).groupBy("field", "type", "content", "source_text", "moved").agg(F.count("*").alias("n"))
+
+
+def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The charts' lists through the whole chain, with terms from their raw columns; tested by cases."""
+    charts = views.charts(spark, sf_dir)
+    rows = ent.exploded(charts).select("id", "field", F.col("kind").alias("type"), "pos", F.col("term").alias("content"), "source_text", "norm_level")
+    columns = {"herb": "prescription", "disease": "tcm_diagnosis", "pattern": "pattern"}
+    raw = charts.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("type"), F.col(c).alias("text")) for k, c in columns.items()))).alias("r")).select("id", "r.type", "r.text")
+    return chain.normalized_records(rows, raw, _terms(spark, sf_dir), TYPES)
+
+
 _SNAPSHOTS = """snap AS (SELECT p_type AS type, k AS version_no, p_name AS standard_term, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS aliases
   FROM part, range(1, 8) AS versions(k) WHERE (p_size + k) % 5 <> 0 GROUP BY 1, 2, 3)"""
 _TERMS_SQL = f"""terms AS (SELECT DISTINCT unnest(['disease', 'herb', 'formula']) AS type, p_name AS standard_term, replace(p_name, ' ', '-') AS alias FROM part
@@ -108,6 +129,16 @@ judged AS (SELECT type, input, standard_term, level FROM (SELECT * FROM exact UN
   QUALIFY row_number() OVER (PARTITION BY type, input ORDER BY level, o, length(standard_term), standard_term) = 1)"""
 _NO = "(regexp_matches(raw, '[无不未莫非缺寡忌禁欠]') OR regexp_matches(raw, '^[^已]*已(愈|好|干净|退|消|止|解|除|去)'))"
 
+
+
+def _holds(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+def _begins(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"starts_with(t, '{w}')" for w in words) + ")"
+
+
 ORACLE: dict[str, str] = {
     "normalize_min_cover": """WITH RECURSIVE words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), few AS (SELECT w FROM words WHERE length(w) BETWEEN 2 AND 4),
 reached AS (SELECT w AS input, 1 AS p, 0 AS n FROM words WHERE length(w) > 4 UNION SELECT input, p + k, n + 1 FROM reached, (VALUES (2), (3), (4)) AS sizes(k) WHERE p + k <= length(input) + 1 AND substr(input, p, k) IN (SELECT w FROM few))
@@ -116,6 +147,12 @@ SELECT input, CAST(min(n) AS BIGINT) AS n, TRUE AS whole FROM reached WHERE p =
 SELECT type, standard_term, aliases, min(version_no) AS begin_no, CASE WHEN max(version_no) < any_value(last) THEN max(version_no) + 1 END AS end_no FROM r GROUP BY type, standard_term, aliases, run""",
     "dict_as_of": f"""WITH {_SNAPSHOTS}, v AS (SELECT DISTINCT type, version_no FROM snap), k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY type ORDER BY version_no DESC) <= 5)
 SELECT type, version_no, standard_term, aliases FROM snap JOIN k USING (type, version_no)""",
+    "fragment_reasons": rf"""WITH {_M}, {_ALL}, x AS (SELECT kind AS type, term AS content, norm_level, coalesce(term, trim(source_text)) AS t FROM all_ents),
+r AS (SELECT type, content, CASE WHEN norm_level IS NOT NULL OR t IS NULL THEN NULL WHEN regexp_matches(t, '[\s（）()\[\]【】“”"''、，。；;：]') THEN 'punctuation' WHEN t IN {chain.CHANNELS} THEN 'channel'
+  WHEN {_holds(chain.PULSE_MANUAL)} THEN 'pulse technique' WHEN {_holds(chain.TONGUE_ELEMENT)} THEN 'tongue element' WHEN {_begins(chain.PROCESS_LEAD)} THEN 'course'
+  WHEN type = 'symptom' AND (t IN {chain.BARE} OR regexp_matches(t, '{chain.DESCRIPTION}')) THEN 'description' WHEN type = 'disease' AND regexp_matches(t, '{chain.SEVERITY}') THEN 'severity'
+  WHEN type = 'tongue' AND t IN {chain.TONGUE_BARE} THEN 'bare tongue' WHEN type = 'formula' AND regexp_matches(t, '{chain.FORMULA_FRAGMENT}') THEN 'formula fragment' WHEN type = 'herb' AND {_holds(chain.NON_HERB)} THEN 'no herb' END AS reason FROM x)
+SELECT type, content, reason, count(*) AS n FROM r GROUP BY 1, 2, 3""",
     "clean_documents": f"""WITH {_R}, {_M}, {_ALL}, {_C}, {_ACT.replace('{skip}', 'FALSE')}, {_TERMS_SQL},
 e AS (SELECT a.id, a.kind, a.field, a.place, a.plain, a.norm_level, a.dosage, a.term, trim(a.source_text) AS source_text, coalesce(trim(a.source_text), a.term) AS raw FROM all_ents a JOIN acted USING (id) WHERE action = 'normalized'),
 live AS (SELECT * FROM e WHERE NOT plain), {_JUDGED},
@@ -133,4 +170,4 @@ k AS (SELECT *, bool_or(dest <> field) OVER (PARTITION BY id) AS changed, row_nu
 kept AS (SELECT * FROM k WHERE dest = field OR rn = 1)
 SELECT id, dest AS field, CAST(row_number() OVER (PARTITION BY id, dest ORDER BY dest <> field, place) - 1 AS INTEGER) AS pos, shown AS term, norm_level, changed FROM kept""",
 }
-QUERIES = {f.__name__: f for f in (normalize_min_cover, decomposed_terms, normalize_chain, clean_documents, reroute_documents, dict_archive_terms, dict_as_of)}
+QUERIES = {f.__name__: f for f in (normalize_min_cover, decomposed_terms, normalize_chain, clean_documents, reroute_documents, dict_archive_terms, dict_as_of, fragment_reasons, placed_entities, normalized_records)}
