@@ -23,14 +23,14 @@ from lodestrata.llm.common import chunks, mix64, ngram_hashes, stored, text_buff
 END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 #: A count c is stored as the level 1 + floor(log(c) / log(BASE)).
 BASE = 1.2
-PROBES, BITS_AN_ENTRY = 6, 10
+PROBES, BITS_AN_ENTRY = 6, 14
 #: Weight of the unigram distribution in a bigram's.
 MU = 1000.0
 #: Text of a block, and of the corpus for each bucket of the filter.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: A corpus of up to this much text has its filter broadcast. A token is 2 bytes or more and its two n-grams cost at
 #: most 2.4 entries for each occurrence, so such a filter has at most 96 MB; on prose it has about 6.
-BROADCAST_TEXT = 32 << 20
+BROADCAST_TEXT = 22 << 20
 ASKS = "bucket long, block long, n tinyint, h binary, c binary"
 ANSWERS = "block long, bucket long, n tinyint, q binary, c binary, tokens long, distinct long, texts long"
 

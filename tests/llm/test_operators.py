@@ -140,8 +140,8 @@ def test_lm(spark, request, name, broadcast):
         got = order(tuple(r) for r in lm_bloom.evaluate(spark, docs, bits_an_entry=bits, **sizes).collect())
         assert [r[:5] for r in got] == [r[:5] for r in want]
         assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
-        # At ten bits an entry a false positive now and then makes an unseen n-gram look seen once.
-        assert [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-9 if bits == 60 else 0.03)
+        # A false positive now and then makes an unseen n-gram look seen once.
+        assert [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-9 if bits == 60 else 0.01)
     if name == "documents":
         assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])
 
