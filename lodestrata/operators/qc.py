@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import add_workdays, blank_to_null
@@ -76,12 +78,21 @@ def completeness(rules: RuleSet, lists: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def whole_match(c: Column, pattern: str) -> Column:
+    """Whether a pattern matches the whole of a text; a pattern that is none lets every text pass."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return F.lit(True)
+    return c.rlike(f"\\A(?:{pattern})\\z")
+
+
 def formats(rules: RuleSet) -> Column:
-    """A null value is not judged."""
+    """A null value is not judged; see whole_match for patterns."""
     out = []
     for f in rules.formats:
         c = F.col(f.column)
-        ok = c.rlike(f.pattern) if f.pattern else c.isin(*f.values)
+        ok = whole_match(c, f.pattern) if f.pattern else c.isin(*f.values)
         out.append(F.when(c.isNotNull() & ~ok, deduction("格式错误", f.label, f.weight, f.reason)))
     return F.array_compact(F.array(*out))
 

@@ -76,8 +76,14 @@ def log_rows(logs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return logs.select("event_id", F.concat_ws(",", *map(quoted_if_needed, columns)).alias("line"))
 
 
-def write_csv(lines: DataFrame, headers: list[str], path: str, order: str = "id") -> None:
-    """Lines as text files, in order over all files; the first line of each file is the header behind a byte order mark."""
+def report_rows(df: DataFrame, columns: tuple[str, ...], order: str = "id") -> DataFrame:
+    """order and line: every cell quoted with its quotes doubled, line breaks kept; null is empty."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return df.select(order, F.concat_ws(",", *map(cell, columns)).alias("line"))
+
+
+def write_csv(lines: DataFrame, headers: list[str], path: str, order: str = "id", line_end: str = "\n") -> None:
+    """Lines as text files, in order over all files; the first line of each file is the header behind a byte order mark. Reports end lines by CR and LF."""
     head = BOM + ",".join(f'"{h}"' for h in headers)
     ranged = lines.repartitionByRange(order).sortWithinPartitions(order).select("line")
 
@@ -91,7 +97,7 @@ def write_csv(lines: DataFrame, headers: list[str], path: str, order: str = "id"
                 first = False
             yield batch
 
-    ranged.mapInArrow(with_head, "line string").write.mode("overwrite").text(path)
+    ranged.mapInArrow(with_head, "line string").write.mode("overwrite").option("lineSep", line_end).text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -99,6 +105,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str = "id") -> None:
+    """Records as one JSON array over all files, which are read one after the other: order is unique and not null; no records are an empty array."""
+    first, last = df.agg(F.min(order), F.max(order)).first()
+    if first is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    key = F.col(order)
+    line = F.concat(F.when(key == F.lit(first), "[").otherwise(","), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), F.when(key == F.lit(last), "]").otherwise(""))
+    df.select(key, line.alias("value")).repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+
+
 def preview(df: DataFrame, masked: tuple[str, ...], rows: int = 10) -> DataFrame:
     """The first rows in (visit_time desc, id) order, masked, each with the total."""
     total = df.agg(F.count("*").alias("total"))

@@ -10,7 +10,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import entities, extraction, filters, ingest, qc
+from lodestrata.functions import text
+from lodestrata.operators import dictionary, entities, extraction, filters, ingest, qc
 from lodestrata.plans import catalogue
 from lodestrata.sources import files
 from lodestrata.streaming import ingest as stream
@@ -106,3 +107,40 @@ def test_rules_from_documents():
     assert qc.rules_of(None) == qc.RuleSet()
     odd = qc.rules_of({"cap": -1, "invalid": 90, "review_upper": 10, "standardized": ["herb", "x"], "duplicate": 7, "consistency": [{"name": "n", "trigger": "herb", "expect": "pulse", "trigger_values": ["a"], "expect_values": ["b"]}, {"trigger": "?"}]})
     assert (odd.cap, odd.invalid, odd.review_upper, odd.standardized, odd.duplicate, len(odd.consistency)) == (5, 60, 80, ("herb",), 7, 1)
+
+
+def test_report_lines_end_by_cr_and_lf(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 'say "x"', None), (1, "a\nb", 1.5)], "id long, t string, v double")
+    files.write_csv(files.report_rows(rows, ("t", "v")), ["text", "value"], f"{tmp_path}/r", line_end="\r\n")
+    got = b"".join(p.read_bytes() for p in sorted(Path(f"{tmp_path}/r").glob("part-*"))).decode()
+    head = '﻿"text","value"\r\n'
+    assert got.replace(head, "") == '"a\nb","1.5"\r\n"say ""x""",""\r\n' and got.startswith(head)
+
+
+def test_records_as_one_array(spark, tmp_path):
+    rows = spark.range(100).select("id", F.concat(F.lit('q"'), F.col("id").cast("string")).alias("t"), F.when(F.col("id") % 2 == 0, F.array("id")).alias("l"))
+    whole = lambda path: json.loads("".join(p.read_text() for p in sorted(Path(path).glob("part-*"))))
+    files.write_json_array(rows, f"{tmp_path}/a")
+    assert whole(f"{tmp_path}/a") == [{"id": i, "t": f'q"{i}', "l": None if i % 2 else [i]} for i in range(100)]
+    for n in (1, 0):
+        files.write_json_array(rows.where(F.col("id") < n), f"{tmp_path}/{n}")
+        assert len(whole(f"{tmp_path}/{n}")) == n
+
+
+def test_whole_match_and_invalid_patterns(spark):
+    rows = spark.createDataFrame([("34岁",), ("x34岁",), ("34岁\n",), (None,)], "t string")
+    got = rows.select(qc.whole_match(F.col("t"), r"\d+岁|a").alias("a"), qc.whole_match(F.col("t"), "(").alias("b")).collect()
+    assert [r["a"] for r in got] == [True, False, False, None] and all(r["b"] for r in got)
+
+
+def test_small_functions(spark):
+    """Fenced blocks and replacement by pairs of a record."""
+    rows = spark.createDataFrame([("```json\n{\"a\": 1}\n```", "x"), (" plain ", "头疼，无头疼"), (None, None)], "t string, s string")
+    got = rows.select(text.code_fence_stripped(F.col("t")).alias("t"), text.safe_replace(F.col("s"), F.create_map(F.lit("头疼"), F.lit("头痛"))).alias("s")).collect()
+    assert [tuple(r) for r in got] == [('{"a": 1}', "x"), ("plain", "头痛，无头疼"), (None, None)]
+
+
+def test_a_replacement_must_not_shrink_the_dictionary(spark):
+    dictionary.guard_shrink(spark.range(10), spark.range(8))
+    with pytest.raises(ValueError, match="would replace"):
+        dictionary.guard_shrink(spark.range(10), spark.range(7))
