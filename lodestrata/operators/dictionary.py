@@ -128,12 +128,12 @@ def with_all_chars(terms: DataFrame, text: str) -> DataFrame:
     return postings.groupBy("type", "standard_term").agg(F.count_distinct("ch").alias("n")).where(F.col("n") == len(wanted)).select("type", "standard_term")
 
 
-def version_string(version: DataFrame, org_id: str, types: tuple[str, ...]) -> DataFrame:
-    """The effective version in one text, "type:first 8;" in the order given; an organisation's version counts before the base's."""
+def version_string(version: DataFrame, org_id: str, types: tuple[str, ...] | None = None) -> DataFrame:
+    """The effective version in one text, "type:first 8;" of the types given in their order, or of all types by name; an organisation's version counts before the base's."""
     rows = version.where(F.col("org_id").isin("", org_id))
     best = rows.groupBy("type").agg(F.max(F.struct((F.col("org_id") != "").alias("own"), "version"))["version"].alias("version"))
-    order = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
-    parts = best.where(order > 0).select(order.alias("at"), F.concat("type", F.lit(":"), F.substring("version", 1, 8), F.lit(";")).alias("part"))
+    order = F.col("type") if types is None else F.nullif(F.array_position(F.array(*map(F.lit, types)), F.col("type")), F.lit(0))
+    parts = best.where(order.isNotNull()).select(order.alias("at"), F.concat("type", F.lit(":"), F.substring("version", 1, 8), F.lit(";")).alias("part"))
     return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("version"))  # one entry a type
 
 

@@ -11,6 +11,7 @@ from lodestrata.operators.report import MISTYPE_MARKERS, PROCESS_LEAD, contains_
 # Words and shapes of the extraction rules.
 SEGMENT = r"[，。、；;\s]+"
 INSIDE = r"[^，。、；;\s]"
+TONGUE = r"^[舌苔](?!藓)[^，。、；;\s]{1,8}$"
 TONGUE_MORPH = "边有|有裂纹|有瘀点|有瘀|有芒刺|剥苔|无苔|少苔"
 TONGUE_HEADS, PULSE_HEADS = ("尖", "根", "苔", "边", "齿痕"), ("尺", "寸", "关")
 OTHER_DOMAIN = ("关节", "尺肤", "苔藓", "尖锐", "脉下")
@@ -46,7 +47,7 @@ def _ours(seg: Column, heads: tuple[str, ...]) -> Column:
 
 def tongue(text: Column) -> Column:
     """Segments that describe the tongue, without a leading "or"."""
-    shaped = lambda s: (s.rlike(f"^[舌苔]{INSIDE}{{1,8}}$") & ~s.rlike("^.藓")) | s.rlike(f"^或?({TONGUE_MORPH})")
+    shaped = lambda s: s.rlike(TONGUE) | s.rlike(f"^或?({TONGUE_MORPH})")
     named = lambda s: s.rlike(f"^{CJK}{{1,8}}$") & _ours(s, TONGUE_HEADS)
     found = F.filter(segments(text), lambda s: shaped(s) | named(s))
     return F.transform(found, lambda s: F.when(shaped(s), F.regexp_replace(s, "^或", "")).otherwise(s))

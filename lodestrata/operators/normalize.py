@@ -206,11 +206,50 @@ def _by_heads(texts: DataFrame, owned: DataFrame) -> DataFrame:
     return placed.join(_bounded(owned), "head").where(F.col("text").contains(F.col("word")) & (F.col("standard_term") != F.col("text"))).select("id", "type", "standard_term", "word")
 
 
+def _tokens(text: str) -> Column:
+    """The characters of a text, each with the number of its like before it: common tokens are common characters, each as often as both have it."""
+    ordered = F.array_sort(chars(F.col(text)))
+    return F.transform(ordered, lambda c, i: F.concat(c, (i + 1 - F.array_position(ordered, c)).cast("string")))
+
+
+def _in_order(texts: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """texts (type, text) and their tokens that some term has, rarest first."""
+    rows = texts.select("type", text, F.explode(_tokens(text)).alias("token")).join(_bounded(counts), ["type", "token"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"])
+    return rows.groupBy("type", text).agg(listed.alias(f"{text}_tokens"))
+
+
+def suggestion_candidates(inputs: DataFrame, terms: DataFrame, least: int = 2, top: int = 5, seeds: int = 16) -> DataFrame:
+    """Pairs (type, input, standard_term, overlap) that hold each distinct input's `top` terms by common characters, at least `least`.
+
+    A bound comes first: the longest terms of every token, `seeds` of them, are met, and the top-th best overlap of an
+    input with them, if they are so many, can't be too high. A term that reaches the bound has its first common token, in one
+    order from rare to frequent, where both sides have enough tokens left to reach it, so only such places are joined
+    and frequent characters are not. Each pair comes once, by its first common token. Nothing that reaches the bound
+    is left out.
+    """
+    known = terms.select("type", "standard_term").where("standard_term is not null").distinct()
+    owned = known.select("type", "standard_term", F.explode(_tokens("standard_term")).alias("token"))
+    counts = owned.groupBy("type", "token").agg(F.count("*").alias("f"))
+    by_length = F.row_number().over(Window.partitionBy("type", "token").orderBy(F.desc(F.length("standard_term")), "standard_term"))
+    longest = owned.withColumn("rn", by_length).where(F.col("rn") <= max(seeds, top)).groupBy("type", "token").agg(F.collect_list("standard_term").alias("longest"))
+    asked = _in_order(inputs.select("type", "input").where("input is not null").distinct(), "input", counts)
+    held = _in_order(known, "standard_term", counts)
+    first = asked.select("type", "input", F.explode("input_tokens").alias("token")).join(_bounded(longest), ["type", "token"])
+    first = first.groupBy("type", "input").agg(F.array_distinct(F.flatten(F.collect_list("longest"))).alias("first"))
+    best = F.slice(F.sort_array(F.transform("first", lambda t: multiset_overlap(F.col("input"), t)), asc=False), 1, top)
+    bound = first.select("type", "input", best.alias("b")).select("type", "input", F.greatest(F.lit(least), F.when(F.size("b") == top, F.element_at("b", -1))).alias("bound"))
+    n, m = F.size("input_tokens"), F.size("standard_term_tokens")
+    x = asked.join(bound, ["type", "input"]).select("*", F.posexplode("input_tokens").alias("i", "token")).where(n - F.col("i") >= F.col("bound"))
+    t = held.select("*", F.posexplode("standard_term_tokens").alias("j", "token")).where(m - F.col("j") >= least)
+    met = x.join(_bounded(t), ["type", "token"]).where(m - F.col("j") >= F.col("bound"))
+    both = F.array_intersect("input_tokens", "standard_term_tokens")
+    pairs = met.select("type", "input", "standard_term", "token", "bound", both.alias("both")).where(F.col("both")[0] == F.col("token"))
+    return pairs.select("type", "input", "standard_term", F.size("both").alias("overlap"), "bound")
+
+
 def suggest(inputs: DataFrame, terms: DataFrame, least: int = 2, top: int = 5) -> DataFrame:
-    """The terms that share most characters with each distinct input (type, input), at least `least`."""
-    by_char = inputs.select("type", "input").distinct().select("type", "input", F.explode(F.array_distinct(chars(F.col("input")))).alias("ch"))
-    entry = terms.select("type", "standard_term").distinct().select("type", "standard_term", F.explode(F.array_distinct(chars(F.col("standard_term")))).alias("ch"))
-    met = by_char.join(_bounded(entry), ["type", "ch"]).select("type", "input", "standard_term").distinct()
-    counted = met.withColumn("overlap", multiset_overlap(F.col("input"), F.col("standard_term"))).where(F.col("overlap") >= least)
+    """The terms that share most characters with each distinct input (type, input), at least `least`; ties by term."""
+    reached = suggestion_candidates(inputs, terms, least, top).where(F.col("overlap") >= F.col("bound")).drop("bound")
     rank = F.row_number().over(Window.partitionBy("type", "input").orderBy(F.desc("overlap"), "standard_term"))
-    return counted.withColumn("rn", rank).where(F.col("rn") <= top)
+    return reached.withColumn("rn", rank).where(F.col("rn") <= top)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,32 +70,33 @@ def distinct_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.distinct_values(views.records(spark, sf_dir), "department")
 
 
-def dict_overlay(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = dic.overlay(views.dictionary(spark, sf_dir, whole), "org")
+def dict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dic.overlay(views.dictionary(spark, sf_dir), "org")
     return out.select("type", "standard_term", F.array_join("aliases", ",").alias("aliases"), "own")
 
 
-def dict_diff(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    terms = views.dictionary(spark, sf_dir, whole)
+def dict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = views.dictionary(spark, sf_dir)
     return dic.diff(terms.where("org_id = ''"), terms.where("org_id = 'org'"))
 
 
-def dict_merge_aliases(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = dic.merge(views.dictionary(spark, sf_dir, whole).drop("org_id"))
+def dict_merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dic.merge(views.dictionary(spark, sf_dir).drop("org_id"))
     return out.select("type", "standard_term", F.array_join("aliases", ",").alias("aliases"))
 
 
-def dict_collisions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dic.collisions(views.dictionary(spark, sf_dir, whole).where("org_id = ''"))
+def dict_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.collisions(views.dictionary(spark, sf_dir).where("org_id = ''"))
 
 
-def dict_content_version(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dic.versions(views.dictionary(spark, sf_dir, whole))
+def dict_content_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.versions(views.dictionary(spark, sf_dir))
 
 
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "documents").select("doc_id", mask_pii(F.concat(F.lit("tel 13812345678, "), F.coalesce(F.col("source"), F.lit("")))).alias("masked"))
-    return rows
+    """Every text column of the documents, joined and masked."""
+    whole = F.concat_ws("\n", F.lit("tel 13812345678"), "lang", "source", "text")
+    return views.table(spark, sf_dir, "documents").select("doc_id", mask_pii(whole).alias("masked"))
 
 
 def pii_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,16 +153,16 @@ def dict_snapshot_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dic.prune_snapshots(rows)
 
 
-def dict_quality(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dic.quality(views.dictionary(spark, sf_dir, whole))
+def dict_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.quality(views.dictionary(spark, sf_dir))
 
 
-def dict_cross_type(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dic.cross_type(views.dictionary(spark, sf_dir, whole))
+def dict_cross_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.cross_type(views.dictionary(spark, sf_dir))
 
 
-def dict_effective_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dic.effective_counts(views.dictionary(spark, sf_dir, whole), "org")
+def dict_effective_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.effective_counts(views.dictionary(spark, sf_dir), "org")
 
 
 def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,14 +178,6 @@ def term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = views.table(spark, sf_dir, "part")
-    inputs = part.where("p_size % 5 = 0").select(F.col("p_type").alias("type"), F.col("p_name").alias("input"))
-    terms = part.where("p_size % 2 = 0").select(F.col("p_type").alias("type"), F.col("p_name").alias("standard_term"))
-    out = normalize.suggest(inputs, terms)
-    return out.select("type", "input", "standard_term", F.col("overlap").cast("long").alias("overlap"), "rn")
-
-
-def candidate_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part asked against the terms of all parts."""
     part = views.table(spark, sf_dir, "part")
     inputs, terms = part.select(F.col("p_type").alias("type"), F.col("p_name").alias("input")), part.select(F.col("p_type").alias("type"), F.col("p_name").alias("standard_term"))
@@ -226,7 +218,6 @@ SELECT type, key, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed'
 SELECT type, word, count(DISTINCT standard_term) AS owners FROM w GROUP BY 1, 2 HAVING count(DISTINCT standard_term) > 1""",
     "dict_content_version": f"""WITH {_D} SELECT org_id, type, substr(sha256(string_agg(e, chr(1) ORDER BY e)), 1, 32) AS version
 FROM (SELECT org_id, type, standard_term || chr(2) || array_to_string(aliases, ',') AS e FROM dictionary) GROUP BY 1, 2""",
-    "pii_mask": r"""SELECT doc_id, regexp_replace('tel 13812345678, ' || coalesce(source, ''), '\b1[3-9]\d{9}\b', '***', 'g') AS masked FROM documents""",
     # No look-around in SQL: the characters beside a number are given back; the second pass finds numbers that share one.
     "pii_mask_text": r"""WITH t AS (SELECT doc_id, 'tel 13812345678, id 11010519491231002X, ' || coalesce(text, '') AS x FROM documents),
 p AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1***\2', 'g'), '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1***\2', 'g') AS x FROM t)
@@ -254,7 +245,7 @@ SELECT type, CASE WHEN own > 0 THEN own ELSE base END AS terms FROM c""",
     "dataset_shape": r"""SELECT count(*) AS n, count(DISTINCT regexp_replace(s_name, '\d+', 'N', 'g')) AS templates FROM supplier""",
     "term_scan": """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS standard_term FROM part)
 SELECT p_partkey AS id, 'word' AS type, standard_term FROM part JOIN w ON contains(p_name, standard_term) AND p_name <> standard_term AND length(standard_term) >= 2""",
-    "candidate_topk": """WITH i AS (SELECT DISTINCT p_type AS type, p_name AS input FROM part WHERE p_size % 5 = 0), t AS (SELECT DISTINCT p_type AS type, p_name AS standard_term FROM part WHERE p_size % 2 = 0),
+    "candidate_topk": """WITH i AS (SELECT DISTINCT p_type AS type, p_name AS input FROM part), t AS (SELECT DISTINCT p_type AS type, p_name AS standard_term FROM part),
 c AS (SELECT type, input, standard_term, unnest(list_distinct(string_split(input, ''))) AS ch FROM i JOIN t USING (type)),
 o AS (SELECT type, input, standard_term, CAST(sum(least(length(input) - length(replace(input, ch, '')), length(standard_term) - length(replace(standard_term, ch, '')))) AS BIGINT) AS overlap FROM c GROUP BY 1, 2, 3)
 SELECT type, input, standard_term, overlap, CAST(row_number() OVER (PARTITION BY type, input ORDER BY overlap DESC, standard_term) AS INTEGER) AS rn FROM o WHERE overlap >= 2 QUALIFY rn <= 5""",
@@ -262,12 +253,12 @@ SELECT type, input, standard_term, overlap, CAST(row_number() OVER (PARTITION BY
 }
 
 
-#: The same queries over a dictionary that holds every part.
-WHOLE = {f"{f.__name__}_whole": partial(f, whole=True) for f in (dict_overlay, dict_diff, dict_merge_aliases, dict_collisions, dict_content_version, dict_quality, dict_cross_type, dict_effective_counts)}
-ORACLE |= {name: ORACLE[name.removesuffix("_whole")].replace(_D, views.WHOLE_DICTIONARY_SQL) for name in WHOLE}
+ORACLE["pii_mask"] = ORACLE["pii_mask_text"].replace("'tel 13812345678, id 11010519491231002X, ' || coalesce(text, '')", "concat_ws(chr(10), 'tel 13812345678', lang, source, text)")
+#: Second names of queries that read a part of the table once and read all of it now.
+WHOLE = {f"{f.__name__}_whole": f for f in (dict_overlay, dict_diff, dict_merge_aliases, dict_collisions, dict_content_version, dict_quality, dict_cross_type, dict_effective_counts, candidate_topk)}
+ORACLE |= {name: ORACLE[f.__name__] for name, f in WHOLE.items()}
 for _module in (structured, rules, lifecycle, documents):
     ORACLE |= _module.ORACLE
-ORACLE["candidate_topk_whole"] = ORACLE["candidate_topk"].replace(" WHERE p_size % 5 = 0", "").replace(" WHERE p_size % 2 = 0", "")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -223,21 +223,20 @@ def _odd_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = dic.in_scope(views.dictionary(spark, sf_dir, True), "effective", "org")
+    terms = dic.in_scope(views.dictionary(spark, sf_dir), "effective", "org")
     return dic.search(terms, " BRAND#1", 2, 30).select("type", "standard_term", "total")
 
 
 def dict_all_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.with_all_chars(dic.in_scope(views.dictionary(spark, sf_dir, True), "base"), "aeb")
+    return dic.with_all_chars(dic.in_scope(views.dictionary(spark, sf_dir), "base"), "aeb")
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dic.versions(views.dictionary(spark, sf_dir, True))
+    return dic.versions(views.dictionary(spark, sf_dir))
 
 
 def dict_version_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = tuple(sorted(r[0] for r in views.table(spark, sf_dir, "part").select("p_type").distinct().collect()))
-    return dic.version_string(_versions(spark, sf_dir), "org", types)
+    return dic.version_string(_versions(spark, sf_dir), "org")
 
 
 def dict_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +246,7 @@ def dict_sync_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dict_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = views.dictionary(spark, sf_dir, True)
+    stored = views.dictionary(spark, sf_dir)
     new = views.table(spark, sf_dir, "part").where("length(p_type) % 2 = 0").select(F.col("p_type").alias("type"), F.concat(F.lit(" new "), "p_brand").alias("standard_term"), F.array("p_name").alias("aliases"))
     out = dic.replaced(stored, new, "org")
     return out.groupBy("org_id", "type").agg(F.count("*").alias("terms"), F.sum(F.size("aliases")).alias("aliases"))
@@ -266,18 +265,18 @@ def dict_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dict_merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dictionary(spark, sf_dir, True)
+    rows = views.dictionary(spark, sf_dir)
     return dic.merge_report(dic.in_scope(rows, "base"), dic.in_scope(rows, "org", "org"))
 
 
 def dict_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dictionary(spark, sf_dir, True)
+    rows = views.dictionary(spark, sf_dir)
     out = dic.resolved(dic.in_scope(rows, "base"), dic.in_scope(rows, "org", "org"), "theirs")
     return out.groupBy("type").agg(F.count("*").alias("terms"), F.sum(F.size("aliases")).alias("aliases"))
 
 
 def dict_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.dictionary(spark, sf_dir, True)
+    rows = views.dictionary(spark, sf_dir)
     more = dic.in_scope(rows, "base").select("type", F.concat(F.lit(" "), F.upper("standard_term")).alias("standard_term"), F.array("standard_term", F.concat(F.lit(" x "), "standard_term"), F.lit("")).alias("aliases"))
     return dic.enriched(dic.in_scope(rows, "base"), more).select("type", "standard_term", F.array_join("aliases", ",").alias("aliases"))
 
@@ -297,7 +296,7 @@ acted AS (SELECT *, CASE WHEN action IN ('skipped', 'deduped') THEN 0 ELSE r END
 _CLEAN = f"WITH {_R}, {_M}, {_C}, {_ACT}"
 _FIELD_ORDER = "list_position(['diseases', 'patternList', 'symptoms', 'herbs', 'formulaList', 'tongueList', 'pulseList', 'causeList'], field)"
 _MASK = r"regexp_replace(chief_complaint, '(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])', '\1***\2', 'g')"
-_W = views.WHOLE_DICTIONARY_SQL
+_W = views.DICTIONARY_SQL
 _ODD = """odd AS (SELECT p_partkey AS k, substr(p_type, 1, 5) AS type, p_brand, CASE WHEN p_partkey % 11 = 0 THEN p_name || '，' || p_name WHEN p_partkey % 13 = 0 THEN 'x' WHEN p_partkey % 17 = 0 THEN p_name || '明显'
   WHEN p_partkey % 19 = 0 THEN p_name || ' of great length' ELSE p_name || CAST(p_partkey AS VARCHAR) END AS standard_term FROM part), words AS (SELECT type, standard_term, standard_term AS word FROM odd UNION ALL SELECT type, standard_term, p_brand FROM odd),
 owners AS (SELECT type, word, count(DISTINCT standard_term) AS owners FROM words GROUP BY 1, 2 HAVING count(DISTINCT standard_term) > 2)"""

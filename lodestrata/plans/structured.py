@@ -29,7 +29,7 @@ def _entities(spark: SparkSession, sf_dir: str, qualified: bool = False) -> Data
 
 def _terms_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary terms of the first four kinds, from the types of parts."""
-    counts = effective_counts(views.dictionary(spark, sf_dir, whole=True), "")
+    counts = effective_counts(views.dictionary(spark, sf_dir), "")
     kind = F.element_at(F.array(*map(F.lit, views.KINDS[:4])), (F.length("type") % 4 + 1).cast("int"))
     return counts.groupBy(kind.alias("kind")).agg(F.sum("terms").alias("terms"))
 

@@ -49,26 +49,23 @@ ENTITIES_SQL = """entities AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def dictionary(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Parts as dictionary terms in two layers: even sizes are the base (whole: all parts), every fifth size an organisation's own."""
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as dictionary terms in two layers: all parts are the base, those of every fifth size are an organisation's own too."""
     part = table(spark, sf_dir, "part")
 
     def layer(condition, org: str) -> DataFrame:
         rows = part.where(condition).groupBy(F.col("p_type").alias("type"), F.col("p_name").alias("standard_term"))
         return rows.agg(F.array_sort(F.collect_set("p_brand")).alias("aliases")).select(F.lit(org).alias("org_id"), "type", "standard_term", "aliases")
 
-    return layer(F.lit(True) if whole else F.col("p_size") % 2 == 0, "").unionByName(layer(F.col("p_size") % 5 == 0, "org"))
+    return layer(F.lit(True), "").unionByName(layer(F.col("p_size") % 5 == 0, "org"))
 
 
 DICTIONARY_SQL = """dictionary AS (
-  SELECT '' AS org_id, p_type AS type, p_name AS standard_term, list_sort(list_distinct(list(p_brand))) AS aliases FROM part WHERE p_size % 2 = 0 GROUP BY ALL
+  SELECT '' AS org_id, p_type AS type, p_name AS standard_term, list_sort(list_distinct(list(p_brand))) AS aliases FROM part GROUP BY ALL
   UNION ALL
   SELECT 'org', p_type, p_name, list_sort(list_distinct(list(p_brand))) FROM part WHERE p_size % 5 = 0 GROUP BY ALL)"""
 
 
-WHOLE_DICTIONARY_SQL = DICTIONARY_SQL.replace(" WHERE p_size % 2 = 0", "")
-
-
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event stands for a line of the operation log."""
     user = F.col("user_id")
