@@ -3,7 +3,10 @@
 Texts come in blocks. A block asks for each of its distinct tokens and bigrams once, in hash order, and tells how
 often its training texts hold them. Asks are dealt into buckets by the hash's highest bits. A bucket sums the
 counts, fills its own part of the filter and answers with levels that repeated membership probes of it find. Only
-the answers, a byte an n-gram, go back to the blocks. Every n-gram of the training texts is in the filter: what
+the answers, a byte an n-gram, go back to the blocks. Where blocks are many, up to about FAN of them are merged into
+one asker first, FAN of those into one again, and so on, and answers go back the same way: an n-gram that all blocks
+have reaches its bucket from FAN askers at most, and buckets get finer with each step, so that an ask holds many
+n-grams. Every n-gram of the training texts is in the filter: what
 travels and what is kept grow with the corpus, and no task holds more than a bucket or a block.
 """
 
@@ -14,8 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import chunks, mix64, ngram_hashes, stored, text_buffer, tidy, word_hashes, work_dir
@@ -31,6 +35,8 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: A corpus of up to this much text has its filter broadcast. A token is 2 bytes or more and its two n-grams cost at
 #: most 2.4 entries for each occurrence, so such a filter has at most 96 MB; on prose it has about 6.
 BROADCAST_TEXT = 22 << 20
+#: Askers that meet in one group, and buckets that a block's own asks are dealt into while more steps follow.
+FAN, FIRST_BUCKETS = 256, 4096
 ASKS = "bucket long, block long, n tinyint, h binary, c binary"
 ANSWERS = "block long, bucket long, n tinyint, q binary, c binary, tokens long, distinct long, texts long"
 
@@ -196,6 +202,61 @@ def _filled(asks: pa.Table, bits_an_entry: int) -> tuple[LogBloom, np.ndarray, n
     return LogBloom.of(u, level_of(c), bits_an_entry), u, c, token, back, ends
 
 
+def merged_asks(asks: DataFrame, parent: Column, finer: int) -> DataFrame:
+    """Asks of parents: the union of their askers' n-grams, counts summed, dealt into finer buckets.
+
+    asks: as asks_of gives them; parent: the asker (column block) that each one goes to.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        parent, rows = part.column("parent")[0].as_py(), []
+        for n in (1, 2):
+            own = part.filter(pc.equal(part.column("n"), n))
+            if not own.num_rows:
+                continue
+            hs = [np.frombuffer(x, "<u8") for x in own.column("h").to_pylist()]
+            u, c, _ = _distinct([(h, _unpacked(x, len(h))) for h, x in zip(hs, own.column("c").to_pylist(), strict=True)])
+            named, at = np.unique(bucket_of(u, finer), return_index=True)
+            for bucket, a, b in zip(named.tolist(), at.tolist(), [*at[1:].tolist(), len(u)], strict=True):
+                rows.append((bucket, parent, n, u[a:b].tobytes(), _packed(c[a:b])))
+        columns = list(zip(*rows, strict=True))
+        types = (pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["bucket", "block", "n", "h", "c"])
+
+    return asks.withColumn("parent", parent).groupBy("parent", "bucket").applyInArrow(run, ASKS)
+
+
+def handed_down(asks: DataFrame, parent: Column, buckets: int, finer: int, answers: DataFrame) -> DataFrame:
+    """Answers (block, bucket, n, q, c) to asks in `buckets`, from those that their parents got in finer buckets."""
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        out: dict[str, list] = {x: [] for x in ("block", "bucket", "n", "q", "c")}
+        told = told.sort_by([("n", "ascending"), ("fine", "ascending")])
+        for n in (1, 2):
+            mine, theirs = (x.filter(pc.equal(x.column("n"), n)) for x in (own, told))
+            if not mine.num_rows:
+                continue
+            hs = [np.frombuffer(x, "<u8") for x in mine.column("h").to_pylist()]
+            u = np.unique(np.concatenate(hs))
+            q = [np.frombuffer(x, np.uint8) for x in theirs.column("q").to_pylist()]
+            level = np.concatenate(q)
+            count = np.concatenate([_unpacked(x, len(y)) for x, y in zip(theirs.column("c").to_pylist(), q, strict=True)]) if n == 1 else None
+            for block, bucket, h in zip(mine.column("block").to_pylist(), mine.column("bucket").to_pylist(), hs, strict=True):
+                at = np.searchsorted(u, h)
+                out["block"].append(block)
+                out["bucket"].append(bucket)
+                out["n"].append(n)
+                out["q"].append(level[at].tobytes())
+                out["c"].append(None if count is None else _packed(count[at]))
+        types = (pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], list(out))
+
+    left = asks.select("block", "bucket", "n", "h").withColumn("parent", parent).groupBy("parent", "bucket")
+    coarse = F.floor(F.col("bucket") / (finer // buckets)).cast("long")
+    right = answers.select(F.col("block").alias("parent"), coarse.alias("bucket"), F.col("bucket").alias("fine"), "n", "q", "c").groupBy("parent", "bucket")
+    return left.cogroup(right).applyInArrow(run, "block long, bucket long, n tinyint, q binary, c binary")
+
+
 def answers_of(asks: DataFrame, bits_an_entry: int = BITS_AN_ENTRY) -> DataFrame:
     """Levels (q, a byte each) of what each block asked a bucket, exact counts (c) of tokens, and a row of totals for each bucket."""
 
@@ -266,10 +327,28 @@ def _model(totals: DataFrame) -> Model:
     return Model(int(row["tokens"]), int(row["distinct"]), int(row["texts"]))
 
 
-def dealt_scores(blocks: DataFrame, buckets: int, folder: str, bits_an_entry: int = BITS_AN_ENTRY) -> tuple[DataFrame, Model]:
-    """Scores of all blocks from the buckets' answers, which meet their block's texts by shuffle."""
-    answers = stored(answers_of(asks_of(blocks, buckets), bits_an_entry), folder + "/answers")
-    model = _model(answers.where("n = 0"))
+def dealt_scores(blocks: DataFrame, buckets: int, folder: str, bits_an_entry: int = BITS_AN_ENTRY, fan: int = FAN, first_buckets: int = FIRST_BUCKETS) -> tuple[DataFrame, Model]:
+    """Scores of all blocks from the buckets' answers, which meet their block's texts by shuffle.
+
+    fan and first_buckets (a power of two) set how asks are merged on the way; scores don't depend on them.
+    """
+    askers = blocks.select("block").distinct().count()
+    asked, first = [], buckets
+    if askers > fan:
+        first = min(buckets, first_buckets)
+    asks, now = asks_of(blocks, first), first
+    while askers > fan:
+        # Blocks have no dense numbers: they are dealt by hash, about fan to each parent. Their parents have.
+        parents = -(-askers // fan)
+        parent = F.floor(F.col("block") / fan).cast("long") if asked else F.pmod(F.xxhash64("block"), F.lit(parents))
+        finer = buckets if parents <= fan else min(buckets, now << (fan.bit_length() - 1))
+        asks = stored(asks, f"{folder}/asks{len(asked)}")
+        asked.append((asks, parent, now, finer))
+        asks, now, askers = merged_asks(asks, parent, finer), finer, parents
+    top = stored(answers_of(asks, bits_an_entry), folder + "/answers")
+    model, answers = _model(top.where("n = 0")), top.where("n > 0").select("block", "bucket", "n", "q", "c")
+    for k, (asks, parent, own, finer) in reversed(list(enumerate(asked))):
+        answers = stored(handed_down(asks, parent, own, finer, answers), f"{folder}/told{k}")
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by([("n", "ascending"), ("bucket", "ascending")])
@@ -286,8 +365,7 @@ def dealt_scores(blocks: DataFrame, buckets: int, folder: str, bits_an_entry: in
         words, pairs = (np.unique(np.concatenate(x)) for x in held)
         return pa.Table.from_batches([model.scores(part, words, level[0], count, pairs, level[1]) for part in parts])
 
-    told = answers.where("n > 0").select("block", "bucket", "n", "q", "c")
-    return blocks.select("doc_id", "text", "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORES), model
+    return blocks.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES), model
 
 
 def broadcast_scores(blocks: DataFrame, buckets: int, bits_an_entry: int = BITS_AN_ENTRY) -> tuple[DataFrame, Model]:
@@ -324,7 +402,7 @@ def broadcast_scores(blocks: DataFrame, buckets: int, bits_an_entry: int = BITS_
     return blocks.select("doc_id", "text").mapInArrow(run, SCORES), model
 
 
-def evaluate(spark: SparkSession, docs: DataFrame, broadcast_text: int = BROADCAST_TEXT, bits_an_entry: int = BITS_AN_ENTRY, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def evaluate(spark: SparkSession, docs: DataFrame, broadcast_text: int = BROADCAST_TEXT, bits_an_entry: int = BITS_AN_ENTRY, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN, first_buckets: int = FIRST_BUCKETS) -> DataFrame:
     """Learns from documents whose crc32(doc_id as text) mod 7 is not 2 and scores all (a null doc_id is learned from).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. A null or empty text is its
@@ -340,5 +418,5 @@ def evaluate(spark: SparkSession, docs: DataFrame, broadcast_text: int = BROADCA
     if size <= broadcast_text:
         out, model = broadcast_scores(blocks, buckets, bits_an_entry)
     else:
-        out, model = dealt_scores(blocks, buckets, folder, bits_an_entry)
+        out, model = dealt_scores(blocks, buckets, folder, bits_an_entry, fan, first_buckets)
     return tidy(out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"), folder)

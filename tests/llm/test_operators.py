@@ -130,12 +130,13 @@ def lm_scores(rows):
 
 
 @pytest.mark.parametrize("name", ["documents", "edge"])
-@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("broadcast", [True, False, "merged"])
 def test_lm(spark, request, name, broadcast):
     """By broadcast or dealt, over many blocks and buckets, every figure is that of exact levels where the filter is wide."""
     docs = request.getfixturevalue(name)
     want = order(lm_scores(rows_of(docs)))
-    sizes = {"block_bytes": 60_000, "bucket_bytes": 20_000} | ({} if broadcast else {"broadcast_text": 0})
+    sizes = {"block_bytes": 60_000, "bucket_bytes": 20_000} | ({} if broadcast is True else {"broadcast_text": 0})
+    sizes |= {"block_bytes": 9_000, "fan": 3, "first_buckets": 4} if broadcast == "merged" else {}
     for bits in (60, lm_bloom.BITS_AN_ENTRY):
         got = order(tuple(r) for r in lm_bloom.evaluate(spark, docs, bits_an_entry=bits, **sizes).collect())
         assert [r[:5] for r in got] == [r[:5] for r in want]
@@ -151,6 +152,19 @@ def test_lm_broadcast_and_dealt_scores_are_equal(spark, documents):
     assert [r[:5] for r in a] == [r[:5] for r in b] and [r[5:] for r in a] == [pytest.approx(r[5:], rel=1e-12) for r in b]
 
 
+@pytest.mark.parametrize("copies", [10, 1000])
+def test_lm_asks_of_a_bucket_do_not_grow_with_the_blocks(spark, tmp_path, monkeypatch, copies):
+    """A text in every block: what reaches its buckets comes from a bounded number of askers, and all scores are equal."""
+    docs = spark.range(copies, numPartitions=4).selectExpr("id AS doc_id", "'the same old words of the text' AS text", "true AS train")
+    blocks = docs.withColumn("block", F.col("doc_id")).orderBy("doc_id")
+    seen, real = [], lm_bloom.answers_of
+    monkeypatch.setattr(lm_bloom, "answers_of", lambda asks, bits: seen.append(asks.groupBy("bucket", "n").count().agg(F.max("count")).first()[0]) or real(asks, bits))
+    out, model = lm_bloom.dealt_scores(blocks, 16, str(tmp_path), 60, fan=8, first_buckets=2)
+    got = out.collect()
+    assert seen[0] <= 8 and model.tokens == 8 * copies and model.distinct == 7 and model.texts == copies
+    assert len(got) == copies and len({tuple(r)[1:] for r in got}) == 1 and got[0]["n_known"] == 8
+
+
 def test_log_bloom_levels():
     h = np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64)
     level = 1 + np.arange(len(h)) % 9
