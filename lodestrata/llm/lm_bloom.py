@@ -36,7 +36,7 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: most 2.4 entries for each occurrence, so such a filter has at most 96 MB; on prose it has about 6.
 BROADCAST_TEXT = 22 << 20
 #: Askers that meet in one group, and buckets that a block's own asks are dealt into while more steps follow.
-FAN, FIRST_BUCKETS = 256, 4096
+FAN, FIRST_BUCKETS = 4096, 4096
 ASKS = "bucket long, block long, n tinyint, h binary, c binary"
 ANSWERS = "block long, bucket long, n tinyint, q binary, c binary, tokens long, distinct long, texts long"
 
