@@ -125,7 +125,7 @@ def rerouted(entities: DataFrame) -> DataFrame:
 
 def with_dose(name: Column, text: Column) -> Column:
     """Whether the text has the name with a dose right behind it."""
-    return F.coalesce(F.rlike(text, F.concat(quoted(name), F.lit(r"\s*\d+(\.\d+)?\s*(g|克|ml|mg)"))), F.lit(False))
+    return F.when(text.contains(name), F.rlike(text, F.concat(quoted(name), F.lit(r"\s*\d+(\.\d+)?\s*(g|克|ml|mg)")))).otherwise(F.lit(False))
 
 
 def noise_reason(field: Column, term: Column, text: Column) -> Column:
@@ -147,12 +147,12 @@ def dropped_noise(entities: DataFrame) -> DataFrame:
     A herb that the text never has with a dose goes if a longer one of the record, which begins with it, has one.
     """
     rows = entities.withColumn("reason", noise_reason(F.col("field"), F.col("term"), F.col("text")))
-    good = rows.where("field = 'herbs' and reason is null").select("id", "term", with_dose(F.col("term"), F.col("text")).alias("dosed"))
-    dosed = good.where("dosed").groupBy("id").agg(F.collect_set("term").alias("__dosed"))
-    out = rows.join(dosed, "id", "left")
-    longer = F.exists(F.coalesce("__dosed", F.array().cast("array<string>")), lambda n: (n != F.col("term")) & n.startswith(F.col("term")))
-    short = (F.col("field") == "herbs") & F.col("reason").isNull() & (F.length("term") >= 2) & ~with_dose(F.col("term"), F.col("text")) & longer
-    return out.withColumn("reason", F.when(short, "cut off").otherwise(F.col("reason"))).drop("__dosed")
+    herb = (F.col("field") == "herbs") & F.col("reason").isNull()
+    rows = rows.withColumn("__dose", F.when(herb, with_dose(F.col("term"), F.col("text"))))
+    out = rows.withColumn("__dosed", F.collect_set(F.when(F.col("__dose"), F.col("term"))).over(Window.partitionBy("id")))
+    longer = F.exists("__dosed", lambda n: (n != F.col("term")) & n.startswith(F.col("term")))
+    short = F.coalesce(~F.col("__dose"), F.lit(False)) & (F.length("term") >= 2) & longer
+    return out.withColumn("reason", F.when(short, "cut off").otherwise(F.col("reason"))).drop("__dose", "__dosed")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestrata.operators import entities as ent
-from lodestrata.plans import views
+from lodestrata.plans import catalogue, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +32,7 @@ def test_elements_of_every_shape(spark):
     assert [(r["id"], r["pos"], r["term"], r["source_text"], r["norm_level"], r["dosage"], r["plain"]) for r in rows] == [
         (1, 0, "a", None, None, None, True), (1, 1, "b", None, None, "1g", False), (1, 2, "c", None, 2, None, False), (1, 3, None, None, None, None, None), (1, 4, None, "d", None, None, False),
     ]
+
+
+def test_noise_reads_the_lists_once(spark):
+    assert _scans(catalogue.queries()["noise_reasons"](spark, SF), "l_orderkey") == 1
