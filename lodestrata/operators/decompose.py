@@ -149,11 +149,12 @@ def decomposed(inputs: DataFrame, terms: DataFrame) -> DataFrame:
 
     pulse: by pulse_parts(). tongue: two terms that cover it, or one beside skipped characters. symptom and pattern:
     two terms that cover it, else what is left without context, if that is a term; none with a negating character.
-    Inputs are cleaned at their ends first; those of one character, of other types or null give no row.
+    Inputs are cleaned at their ends first; those of one character, of other types or null give no row. Whatever inputs
+    are made of is worked out once: each rule reads the distinct inputs from where they are kept.
     """
     rows = inputs.select("type", "input").where(F.col("type").isin(*DECOMPOSABLE)).distinct().withColumn("text", clean_term(F.col("input"))).where(F.length("text") >= 2)
-    rows = rows.where(F.col("type").isin("pulse", "tongue") | ~F.col("text").rlike(f"[{BLOCK}]"))
-    words = surfaces(terms.where(F.col("type").isin(*DECOMPOSABLE)))
+    rows = cut(rows.where(F.col("type").isin("pulse", "tongue") | ~F.col("text").rlike(f"[{BLOCK}]")))
+    words = cut(surfaces(terms.where(F.col("type").isin(*DECOMPOSABLE))))
     kind, text = F.col("type"), F.col("text")
     skip = F.when(kind == "tongue", TONGUE_SKIP).when(kind == "pattern", PATTERN_SKIP).otherwise("")
     placed = placed_words(rows.where("type <> 'pulse'"), words).groupBy("type", "input").agg(F.collect_list(F.struct("at", "n", "standard_term")).alias("words"))

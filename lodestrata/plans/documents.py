@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import archive, chain, decompose, documents
@@ -43,9 +43,9 @@ def normalize_min_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each term of the charts' lists, and each with the next one of its list behind it."""
     rows = ent.exploded(views.charts(spark, sf_dir)).where("term is not null").select("id", F.col("kind").alias("type"), "pos", "term")
-    then = rows.select("id", "type", (F.col("pos") - 1).alias("pos"), F.col("term").alias("next"))
-    both = rows.join(then, ["id", "type", "pos"], "left")
-    return both.select("type", F.explode(F.array("term", F.concat("term", F.coalesce("next", F.lit(""))))).alias("input")).distinct()
+    after = F.lead(F.struct("pos", "term")).over(Window.partitionBy("id", "type").orderBy("pos"))
+    both = rows.withColumn("after", after).select("type", "term", F.when(F.col("after.pos") == F.col("pos") + 1, F.col("after.term")).otherwise("").alias("next")).distinct()
+    return both.select("type", F.explode(F.array("term", F.concat("term", "next"))).alias("input")).distinct()
 
 
 def decomposed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,7 @@ def test_elements_of_every_shape(spark):
 
 def test_noise_reads_the_lists_once(spark):
     assert _scans(catalogue.queries()["noise_reasons"](spark, SF), "l_orderkey") == 1
+
+
+def test_decomposition_keeps_its_inputs(spark):
+    assert _scans(catalogue.queries()["decomposed_terms"](spark, SF), "l_orderkey") == 0
