@@ -40,3 +40,7 @@ def test_noise_reads_the_lists_once(spark):
 
 def test_decomposition_keeps_its_inputs(spark):
     assert _scans(catalogue.queries()["decomposed_terms"](spark, SF), "l_orderkey") == 0
+
+
+def test_scores_read_the_lists_once(spark):
+    assert _scans(catalogue.queries()["qc_score_grade"](spark, SF), "l_orderkey") == 1
