@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import duckdb
+
 from lodestrata.operators import entities as ent
 from lodestrata.plans import catalogue, views
 
@@ -44,3 +46,10 @@ def test_decomposition_keeps_its_inputs(spark):
 
 def test_scores_read_the_lists_once(spark):
     assert _scans(catalogue.queries()["qc_score_grade"](spark, SF), "l_orderkey") == 1
+
+
+def test_spans_with_equal_bounds_are_one_run_in_sql():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT range % 3000 AS l_orderkey, 'A' AS l_returnflag, (range // 3000) % 5 * 10 AS l_partkey, 2 AS l_linenumber, range % 7 AS l_suppkey FROM range(900000)")
+    runs = con.execute(f"SELECT count(*), min(\"end\" - begin), max(\"end\" - begin) FROM ({catalogue.ORACLE['merged_spans']})").fetchall()
+    assert runs == [(15000, 7, 7)]
