@@ -9,6 +9,7 @@ from lodestrata.functions.text import cut, edge_stripped, number_text, text_hash
 from lodestrata.operators import cleaning, filters, ingest, records
 from lodestrata.operators import dictionary as dic
 from lodestrata.operators import entities as ent
+from lodestrata.operators.lineage import cut as cut_plan
 from lodestrata.plans import views
 from lodestrata.plans.structured import _ALL, _C, _M, _R
 from lodestrata.schema import QUALIFIED
@@ -93,14 +94,14 @@ def clean_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replacement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ent.exploded(views.charts(spark, sf_dir))
+    e = cut_plan(ent.exploded(views.charts(spark, sf_dir)).select("id", "field", "kind", "pos", "term", "source_text"))
     changed = e.where("term is not null").select("kind", "term").distinct().withColumn("standard_term", F.when(F.length("term") > 3, F.concat("term", F.lit("*"))).otherwise(F.col("term")))
     return ent.replacement_pairs(e, changed).select("id", "source_text", "standard_term", "rank")
 
 
 def effective_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.charts(spark, sf_dir)
-    e = ent.exploded(rows)
+    e = cut_plan(ent.exploded(rows).select("id", "field", "kind", "pos", "term", "source_text"))
     changed = e.where("term is not null").select("kind", "term").distinct().withColumn("standard_term", F.concat("term", F.lit("*")))
     return ent.effective_pairs(ent.replacement_pairs(e, changed), rows, ("chief_complaint", "self_report", "pattern")).select("id", "source_text", "standard_term")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 from lodestrata.operators import entities as ent
 from lodestrata.plans import catalogue, views
@@ -53,3 +54,8 @@ def test_spans_with_equal_bounds_are_one_run_in_sql():
     con.execute("CREATE TABLE lineitem AS SELECT range % 3000 AS l_orderkey, 'A' AS l_returnflag, (range // 3000) % 5 * 10 AS l_partkey, 2 AS l_linenumber, range % 7 AS l_suppkey FROM range(900000)")
     runs = con.execute(f"SELECT count(*), min(\"end\" - begin), max(\"end\" - begin) FROM ({catalogue.ORACLE['merged_spans']})").fetchall()
     assert runs == [(15000, 7, 7)]
+
+
+@pytest.mark.parametrize(("name", "most"), [("replacement_pairs", 0), ("effective_pairs", 1), ("pattern_freq_union", 1), ("backfill", 1), ("herb_normalize", 0), ("reroute_documents", 1), ("clean_documents", 2), ("normalize_chain", 0), ("placed_entities", 0)])
+def test_lists_are_kept_for_later_steps(spark, name, most):
+    assert _scans(catalogue.queries()[name](spark, SF), "l_orderkey") <= most
