@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions.text import chars, dice, edge_stripped, multiset_overlap, normalize_punctuation, polarity_only
+from lodestrata.operators.lineage import cut
 
 EXACT, CONTAIN, FUZZY = 1, 2, 3
 THRESHOLD, DELTA = 0.8, 1
@@ -51,7 +52,7 @@ def judge(inputs: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, del
     Ties: shortest, then first term in order.
     """
     words = owned_words(terms)
-    wanted = inputs.select("type", "input").where("input is not null").distinct()
+    wanted = cut(inputs.select("type", "input").where("input is not null").distinct())
     x, w, t = F.col("input"), F.col("word"), F.col("standard_term")
     exact = wanted.withColumn("word", x).join(_bounded(words), ["type", "word"]).select("type", "input", "standard_term", F.lit(EXACT).alias("level"), F.when(F.col("is_term"), 0).otherwise(1).cast("double").alias("order"))
     rest = wanted.join(exact.select("type", "input").distinct(), ["type", "input"], "left_anti").where(F.length("input") >= 2)
@@ -125,6 +126,7 @@ def backfilled(entities: DataFrame, raw: DataFrame, terms: DataFrame) -> DataFra
 
     Entities without a level that are part of a found term give way to it.
     """
+    entities = cut(entities)
     state = entities.groupBy("id", "type").agg(F.every(F.coalesce("level", F.lit(0)) > 0).alias("done"))
     open_rows = raw.join(state, ["id", "type"], "left").where(~F.coalesce("done", F.lit(False))).drop("done")
     found = scan(open_rows.select(F.struct("id", "type").alias("id"), "text"), terms).where(F.col("id.type") == F.col("type")).select("id.id", "type", F.col("standard_term").alias("content"))
@@ -138,6 +140,7 @@ def backfilled(entities: DataFrame, raw: DataFrame, terms: DataFrame) -> DataFra
 
 def herb_entities(herbs: DataFrame, terms: DataFrame, reset: bool = False) -> DataFrame:
     """herbs (id, name, raw, dosage) with their standard name and level; dosages are trimmed and lower-cased. reset: a miss takes the raw name."""
+    herbs = cut(herbs)
     hits = judge(herbs.select(F.lit("herb").alias("type"), F.col("name").alias("input")), terms).select(F.col("input").alias("name"), "standard_term", "level")
     miss = F.coalesce("raw", "name") if reset else F.col("name")
     out = herbs.join(hits, "name", "left")
