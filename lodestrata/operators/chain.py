@@ -60,7 +60,7 @@ def placed(entities: DataFrame, terms: DataFrame) -> DataFrame:
     """
     rows = entities.withColumn("__term", F.when(F.col("type") == "inquiry", F.coalesce(blank_to_null("source_text"), blank_to_null("content"))).otherwise(F.coalesce(blank_to_null("content"), blank_to_null("source_text"))))
     tries = {"symptom": ("symptom", "pulse", "tongue"), "disease": ("disease", "cause", "symptom", "pattern"), "inquiry": ("symptom",)}
-    wanted = rows.where(F.col("type").isin(*tries) & F.col("__term").isNotNull()).select(F.col("type").alias("from"), F.col("__term").alias("input")).distinct()
+    wanted = cut(rows.where(F.col("type").isin(*tries) & F.col("__term").isNotNull()).select(F.col("type").alias("from"), F.col("__term").alias("input")).distinct())
     order = F.create_map(*(x for k, to in tries.items() for x in (F.lit(k), F.array(*map(F.lit, to)))))
     asked = wanted.select("from", "input", F.posexplode(order[F.col("from")]).alias("k", "type"))
     known = asked.join(_bounded(surfaces(terms).select("type", F.col("word").alias("input"))), ["type", "input"], "left_semi")

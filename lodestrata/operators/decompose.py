@@ -184,8 +184,8 @@ def normalized_lists(entities: DataFrame, terms: DataFrame, types: tuple[str, ..
     in the first one's place (best_pos is its own). Types other than `types` keep their content; entities without any text are dropped.
     """
     raw = F.coalesce(blank_to_null("source_text"), blank_to_null("content"))
-    rows = entities.select("id", "field", "type", "pos", blank_to_null("content").alias("content"), "norm_level", raw.alias("raw")).where("raw is not null").withColumn("input", clean_term(F.col("raw")))
-    wanted = cut(rows.where(F.col("type").isin(*types)).select("type", "input", "raw").distinct())
+    rows = entities.select("id", "field", "type", "pos", blank_to_null("content").alias("content"), "norm_level", raw.alias("raw")).where("raw is not null")
+    wanted = cut(rows.where(F.col("type").isin(*types)).select("type", "raw").distinct().withColumn("input", clean_term(F.col("raw"))))
     plan = cut(wanted.join(judge(wanted.select("type", "input"), terms), ["type", "input"]))
     no = negated_context(F.col("raw")) & (F.col("level") == CONTAIN)
     one = F.array(F.struct(F.col("standard_term").alias("term"), F.col("level").alias("level")))
@@ -200,7 +200,7 @@ def normalized_lists(entities: DataFrame, terms: DataFrame, types: tuple[str, ..
         plan = plan.withColumn("to", F.when(F.size("parts") > 0, split).when(F.col("level") == 0, kept).when(no, none).otherwise(one))
     # What an earlier run wrote is taken back: with a level, the content is its product.
     own = F.when(F.lit(cleaning) | F.col("norm_level").isNotNull(), F.col("raw")).otherwise(F.coalesce("content", "raw"))
-    met = rows.join(_bounded(plan.select("type", "input", "raw", "to")), ["type", "input", "raw"], "left")
+    met = rows.join(_bounded(plan.select("type", "raw", "to")), ["type", "raw"], "left")
     met = met.select("id", "field", "pos", own.alias("own"), "raw", F.posexplode(F.coalesce("to", kept)).alias("part", "t"))
     ends = met.select("id", "field", F.struct("pos", "part").alias("pos"), F.coalesce("t.term", "own").alias("term"), F.col("raw").alias("source_text"), F.col("t.level").alias("norm_level"))
     out = representatives(ends)

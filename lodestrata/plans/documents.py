@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import archive, chain, decompose, documents
 from lodestrata.operators import entities as ent
+from lodestrata.operators.lineage import cut
 from lodestrata.plans import lifecycle, views
 from lodestrata.plans.lifecycle import _ACT
 from lodestrata.plans.rules import _PT
@@ -56,7 +57,7 @@ def decomposed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The charts' lists normalised end to end, composite terms taken apart; tested by brute force."""
     rows = ent.exploded(views.charts(spark, sf_dir)).select("id", "field", F.col("kind").alias("type"), "pos", F.col("term").alias("content"), "source_text", "norm_level")
-    return decompose.normalized_lists(rows, _terms(spark, sf_dir), TYPES).drop("best_pos")
+    return decompose.normalized_lists(cut(rows), _terms(spark, sf_dir), TYPES).drop("best_pos")
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def fragment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists that the charts' entities move to, by the small dictionary and what it makes up."""
     rows = ent.exploded(views.charts(spark, sf_dir)).select("id", "field", F.col("kind").alias("type"), "pos", F.col("term").alias("content"), "source_text", "norm_level")
-    return chain.placed(rows, _terms(spark, sf_dir)).groupBy("field", "type", "content", "source_text", "moved").agg(F.count("*").alias("n"))
+    return chain.placed(cut(rows), _terms(spark, sf_dir)).groupBy("field", "type", "content", "source_text", "moved").agg(F.count("*").alias("n"))
 
 
 def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
