@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import blank_to_null
 from lodestrata.operators.decompose import normalized_lists
-from lodestrata.operators.entities import FIELDS, parsed, stamped
+from lodestrata.operators.entities import FIELDS, element_lists, parsed, stamped
 from lodestrata.operators.extraction import SKIN, is_pulse_or_tongue, is_tongue
-from lodestrata.schema import ENTITY
+from lodestrata.operators.lineage import cut
 
 MEMBERS = "map<string,variant>"
 
 
-def elements(df: DataFrame, id_column: str = "id", document: str = "structured_data", keep: tuple[str, ...] = ()) -> DataFrame:
+def elements(df: DataFrame, id_column: str = "id", document: str = "structured_data", keep: tuple[str, ...] = (), entity: bool = False) -> DataFrame:
     """A row for each element of each list: id, field, kind, pos, element (its text; an object's is its JSON), plain and content.
 
-    content: an object's content, name or source text, the first that isn't blank; null for anything else.
+    content: an object's content, name or source text, the first that isn't blank; null for anything else. entity: with the object's members too.
     """
-    doc = parsed(F.col(document))
-    lists = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), doc[f].alias("elements")) for f, k in FIELDS.items()))
-    rows = df.select(F.col(id_column).alias("id"), *keep, F.explode(lists).alias("l")).select("id", *keep, "l.field", "l.kind", F.posexplode("l.elements").alias("pos", "element"))
-    e = F.from_json("element", ENTITY)
-    object_ = F.coalesce(F.col("element").startswith("{"), F.lit(False))
-    content = F.coalesce(*(blank_to_null(e[k]) for k in ("content", "name", "sourceText")))
-    return rows.withColumns({"plain": ~object_, "content": F.when(object_, content)})
+
+    def shape(text: Column, e: Column) -> Column:
+        object_ = F.coalesce(text.startswith("{"), F.lit(False))
+        content = F.coalesce(*(blank_to_null(e[k]) for k in ("content", "name", "sourceText")))
+        return F.struct(text.alias("element"), (~object_).alias("plain"), content.alias("content"), *([e.alias("entity")] if entity else []))
+
+    docs = df.select(F.col(id_column).alias("id"), *keep, parsed(F.col(document)).alias("__document"))
+    rows = docs.select("id", *keep, F.explode(F.array(*element_lists(F.col("__document"), shape))).alias("l"))
+    return rows.select("id", *keep, "l.field", "l.kind", F.posexplode("l.elements").alias("pos", "e")).select("id", *keep, "field", "kind", "pos", "e.*")
 
 
 def element_json(element: Column) -> Column:
@@ -76,12 +78,12 @@ def rerouted_rows(rows: DataFrame) -> DataFrame:
 
 def rerouted_documents(df: DataFrame, document: str = "structured_data") -> DataFrame:
     """df with misplaced elements of its documents moved to the lists that they belong to, and `changed`; documents without any stay as they are."""
-    rows = elements(df, document=document)
     lists = ("symptoms", "tongueList", "pulseList")
-    placed = rerouted_rows(rows.where(F.col("field").isin(*lists)))
+    rows = cut(elements(df, document=document).where(F.col("field").isin(*lists)))
+    placed = cut(rerouted_rows(rows))
     hit = placed.where("moved").select("id").distinct()
     # A repeated one that went has its like in the list, but the document may have no other move.
-    gone = rows.where(F.col("field").isin(*lists)).select("id", "field", "pos").join(placed.select("id", "field", "pos"), ["id", "field", "pos"], "left_anti").select("id")
+    gone = rows.select("id", "field", "pos").join(placed.select("id", "field", "pos"), ["id", "field", "pos"], "left_anti").select("id")
     hit = hit.unionByName(gone).distinct()
     rows = placed.join(hit, "id", "left_semi").select("id", F.col("to").alias("field"), "at", "element")
     flagged = df.join(hit.withColumn("changed", F.lit(True)), "id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
@@ -98,8 +100,8 @@ def normalized_documents(df: DataFrame, terms: DataFrame, types: tuple[str, ...]
     these rules don't know stay.
     """
     picked = df.where(F.coalesce(chosen, F.lit(False)))
-    rows = elements(picked, document=document)
-    e = F.from_json("element", ENTITY)
+    rows = cut(elements(picked, document=document, entity=True))
+    e = F.col("entity")
     live = rows.where(~F.col("plain") & F.col("content").isNotNull())
     inputs = live.select("id", "field", F.col("kind").alias("type"), "pos", F.coalesce(blank_to_null(e["content"]), blank_to_null(e["name"])).alias("content"), e["sourceText"].alias("source_text"), e["normLevel"].alias("norm_level"))
     done = normalized_lists(inputs, terms, types, cleaning=True).select("id", "field", F.col("pos").alias("at"), F.col("best_pos").alias("pos"), "term", "source_text", F.col("norm_level").alias("level"))
