@@ -101,11 +101,11 @@ def chart_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ent.hits_by_level(_entities(spark, sf_dir))
+    return ent.hits_by_level(ent.counted(_charts(spark, sf_dir)))
 
 
 def missed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ent.missed_terms(_entities(spark, sf_dir))
+    return ent.missed_terms(ent.counted(_charts(spark, sf_dir)))
 
 
 def manual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

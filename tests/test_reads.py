@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.operators import entities as ent
-from lodestrata.plans import catalogue, views
+from lodestrata.plans import catalogue, structured, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +32,25 @@ def test_charts_gather_a_record_once(spark):
     assert _plan(views.charts(spark, SF)).toString().count("collect_list(") == 1
 
 
+@pytest.mark.parametrize("query", [structured.missed_terms, structured.norm_hits])
+def test_equal_elements_are_counted_before_they_are_parsed(spark, query):
+    lines = _plan(query(spark, SF)).toString().splitlines()
+    counting = [i for i, line in enumerate(lines) if re.search(r"Aggregate \[kind#\d+, text#\d+\]", line)]
+    parsing = [i for i, line in enumerate(lines) if "from_json(StructField(content" in line]
+    assert len(counting) == len(parsing) == 1 and parsing <= counting  # a plan is written from its end; groups are parsed in the line that makes them
+
+
+def test_counted_elements_are_those_of_the_lists(spark):
+    herbs = '"herbs":["a"," a ","a",{"name":"b","normLevel":2},{"name":"b","normLevel":2},{"name":"b","normLevel":"2"},{"content":" ","name":"c","confidence":"x"},null,"",[1],7,{"sourceText":"d"}]'
+    documents = ["{" + herbs + "}", "{" + herbs + ',"symptoms":["a"],"_meta":5}', '{"inquiry":{"x":1},"symptoms":["a","{"],"herbs":"none"}', '{"symptoms":["a"],"_meta":{"dictTermCount":"x"}}', '{"symptoms": ["a"', "{}", "[]", "", None]
+    df = spark.createDataFrame(list(enumerate(documents)), "id long, structured_data string")
+    fields = ["kind", "term", "source_text", "norm_level", "dosage", "plain"]
+    want = ent.exploded(df).groupBy(fields).agg(F.count("*").alias("n")).collect()
+    got = ent.counted(df).groupBy(fields).agg(F.sum("n").alias("n")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {(r["kind"], r["term"]): r["n"] for r in ent.missed_terms(ent.counted(df)).collect()}["herb", "a"] == 6
+
+
 def test_elements_of_every_shape(spark):
     document = '{"herbs":[" a ",{"name":"b","dosage":"1g"},{"content":" ","name":"c","normLevel":2},null,{"sourceText":" d "}],"symptoms":"none"}'
     rows = ent.exploded(spark.createDataFrame([(1, document), (2, "{"), (3, None)], "id long, structured_data string")).orderBy("pos").collect()
